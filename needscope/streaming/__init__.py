@@ -1,0 +1,5 @@
+"""No stream exists in the modelled workload, so no streaming operator is built.
+
+Every stage is a DataFrame function without actions, so the row-wise stages
+can be applied to a streaming DataFrame unchanged.
+"""
