@@ -2,14 +2,16 @@
 
 The strings are written out from the metric definitions, not rendered from
 the package. ``ROUND`` of a double is half-up on its decimal text in Spark
-and binary in DuckDB, so ``r`` rounds the text as a decimal here.
+and binary in DuckDB, so ``r`` rounds the text as a decimal here. It keeps 24
+places: a double just under a tie, like 0.5499999999999999, must not reach the
+tie by being cut to fewer places first.
 """
 
 from __future__ import annotations
 
 
 def r(value: str, places: int) -> str:
-    return f"CAST(ROUND(CAST(CAST({value} AS VARCHAR) AS DECIMAL(38,15)), {places}) AS DOUBLE)"
+    return f"CAST(ROUND(CAST(CAST({value} AS VARCHAR) AS DECIMAL(38,24)), {places}) AS DOUBLE)"
 
 
 def total(value: str) -> str:
