@@ -38,5 +38,5 @@ class Config:
     efficiency_weight: float = 0.5
     coverage_weight: float = 0.3
     budget_weight: float = 5.0
-    leaf_rows: int = 512
+    leaf_rows: int = 1024
     """Most places one search cell may hold before it is split."""

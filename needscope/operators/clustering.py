@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from multiprocessing.pool import ThreadPool
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.clustering import KMeans
@@ -11,6 +12,7 @@ from pyspark.ml.feature import StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.util import inheritable_thread_target
 
 from needscope.config import Config
 from needscope.functions.labels import GROUP_LABELS
@@ -120,18 +122,22 @@ def _silhouette(df: DataFrame) -> float:
     return evaluator.evaluate(df)
 
 
-def sweep(df: DataFrame, ks: Sequence[int], cfg: Config = Config()) -> DataFrame:
+def sweep(df: DataFrame, ks: Sequence[int], cfg: Config = Config(), parallelism: int = 3) -> DataFrame:
     """Silhouette and group sizes per k over one cached scaled frame.
 
-    Only per-k figures come back to the driver.
+    Fits run side by side, so executors that wait for the end of one
+    iteration work on another fit. Only per-k figures reach the driver.
     """
     scaled = scale_features(index_category(df), [*FEATURES, f"{CATEGORY}_index"]).select("features").persist()
+
+    def measure(k: int) -> tuple[int, float, int, int]:
+        model = _kmeans(k, cfg).fit(scaled)
+        sizes = model.summary.clusterSizes
+        return k, _silhouette(model.transform(scaled)), min(sizes), max(sizes)
+
     try:
-        rows = []
-        for k in ks:
-            model = _kmeans(k, cfg).fit(scaled)
-            sizes = model.summary.clusterSizes
-            rows.append((k, _silhouette(model.transform(scaled)), min(sizes), max(sizes)))
+        with ThreadPool(parallelism) as pool:
+            rows = pool.map(inheritable_thread_target(measure), ks)
     finally:
         scaled.unpersist()
     found = inline_rows(df.sparkSession, rows, "k int, silhouette double, min_size bigint, max_size bigint")

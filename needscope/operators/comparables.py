@@ -27,20 +27,22 @@ Settle = Callable[[DataFrame, str], DataFrame]
 SLACK = 0.001001
 
 
-def _log_budget(name: str) -> Column:
-    return F.ln(F.greatest(F.col(name), F.lit(1)))
+MEASURES = ("ben_per_1000_usd", "funding_coverage_pct", "log_budget")
 
 
-def distance(here: str, there: str, cfg: Config) -> Column:
-    """Unrounded distance between the rows of two column prefixes."""
+def _with_log(df: DataFrame) -> DataFrame:
+    return df.withColumn("log_budget", F.ln(F.greatest(F.col("budget_usd"), F.lit(1))))
+
+
+def distance(other: str, cfg: Config) -> Column:
+    """Unrounded distance to the row whose columns carry the prefix ``other``."""
     def apart(name: str) -> Column:
-        return F.abs(F.col(f"{here}{name}") - F.col(f"{there}{name}"))
+        return F.abs(F.col(name) - F.col(f"{other}{name}"))
 
-    logs = F.abs(_log_budget(f"{here}budget_usd") - _log_budget(f"{there}budget_usd"))
     return (
         apart("ben_per_1000_usd") * cfg.efficiency_weight
         + apart("funding_coverage_pct") * cfg.coverage_weight
-        + logs * cfg.budget_weight
+        + apart("log_budget") * cfg.budget_weight
     )
 
 
@@ -59,9 +61,9 @@ def comparables_for(benchmarks: DataFrame, code: str, n: int | None = None, cfg:
 
 def comparables_of(benchmarks: DataFrame, target: DataFrame, n: int | None = None, cfg: Config = Config()) -> DataFrame:
     """Same for a one-row table holding the project."""
-    one = _prefixed(target.limit(1), "t_", "project_code", *PLACE)
+    one = _prefixed(_with_log(target.limit(1)), "t_", "project_code", *BLOCK, *MEASURES)
     same = (F.col("benchmark_group") == F.col("t_benchmark_group")) & (F.col("cluster") == F.col("t_cluster"))
-    others = benchmarks.join(F.broadcast(one), same).filter("project_code != t_project_code")
+    others = _with_log(benchmarks).join(F.broadcast(one), same).filter("project_code != t_project_code")
     return (
         others.select(
             "project_code", "country", "cluster",
@@ -70,7 +72,7 @@ def comparables_of(benchmarks: DataFrame, target: DataFrame, n: int | None = Non
             F.round("ben_per_1000_usd", 1).alias("efficiency"),
             F.round("funding_coverage_pct", 1).alias("coverage_pct"),
             F.col("outlier_classification").alias("status"),
-            F.round(distance("", "t_", cfg), 3).alias("similarity_distance"),
+            F.round(distance("t_", cfg), 3).alias("similarity_distance"),
         )
         .orderBy("similarity_distance", "project_code")
         .limit(cfg.neighbours if n is None else n)
@@ -148,11 +150,12 @@ def _places(clean: DataFrame, n: int, cfg: Config) -> DataFrame:
     order = Window.partitionBy(*PLACE).orderBy("project_code")
     first = clean.withColumn("__k", F.row_number().over(order)).filter(F.col("__k") <= n + 1)
     merged = first.groupBy(*PLACE).agg(F.sort_array(F.collect_list("project_code")).alias("codes"))
-    return merged.withColumns(
+    return _with_log(merged).withColumns(
         {
             "x0": F.col("ben_per_1000_usd") * cfg.efficiency_weight,
             "x1": F.col("funding_coverage_pct") * cfg.coverage_weight,
-            "x2": _log_budget("budget_usd") * cfg.budget_weight,
+            "x2": F.col("log_budget") * cfg.budget_weight,
+            "anchor": F.element_at("codes", 1),
             "n_codes": F.size("codes"),
             "cell": F.lit("c"),
             "reach": F.lit(float("inf")),
@@ -251,23 +254,26 @@ def _child(slot: Column) -> Column:
 
 def _with_reach(places: DataFrame, n: int) -> DataFrame:
     """Lower ``reach`` to the distance of the (n + 1)-th code in the own cell."""
-    columns = [*PLACE, *SEARCH, "n_codes", "cell", "reach"]
-    df = places.select(*columns)
+    df = places.select("anchor", *PLACE, "log_budget", *SEARCH, "n_codes", "cell", "reach")
 
     def cover(cell: pd.DataFrame) -> pd.DataFrame:
-        points = cell[list(SEARCH)].to_numpy()
         codes = cell["n_codes"].to_numpy()
         if codes.sum() <= n:
             return cell
-        gaps = np.abs(points[:, None, :] - points[None, :, :]).sum(axis=2)
+        gaps = np.zeros((len(cell), len(cell)))
+        for x in SEARCH:
+            at = cell[x].to_numpy()
+            gaps += np.abs(at[:, None] - at[None, :])
         order = np.argsort(gaps, axis=1)
         covered = np.cumsum(codes[order], axis=1) > n
         last = np.take_along_axis(order, covered.argmax(axis=1)[:, None], axis=1)
         inside = np.take_along_axis(gaps, last, axis=1)[:, 0]
         return cell.assign(reach=np.minimum(cell["reach"].to_numpy(), inside))
 
-    # a group is one cell, at most ``leaf_rows`` rows
-    return df.groupBy(*CELL).applyInPandas(cover, df.schema)
+    # A group is one cell, at most ``leaf_rows`` rows. The work per byte is
+    # high, so the partitions must not be merged for being small.
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(partitions, *CELL).groupBy(*CELL).applyInPandas(cover, df.schema)
 
 
 def _visits(seekers: DataFrame, places: DataFrame, splits: list[DataFrame]) -> DataFrame:
@@ -291,11 +297,18 @@ def _visits(seekers: DataFrame, places: DataFrame, splits: list[DataFrame]) -> D
 
 
 def _nearest_codes(visits: DataFrame, places: DataFrame, n: int, cfg: Config) -> DataFrame:
-    """Per place the first n + 1 codes by rounded distance, then by code."""
-    hosts = places.select(*CELL, *[F.col(a).alias(f"h_{a}") for a in AXES], "codes")
-    pairs = visits.select(*CELL, *AXES, "reach").join(hosts, list(CELL))
-    near = pairs.withColumn("dist", distance("", "h_", cfg)).filter(F.col("dist") <= F.col("reach"))
-    found = near.select(*PLACE, F.round("dist", 3).alias("dist"), F.explode("codes").alias("code"))
-    order = Window.partitionBy(*PLACE).orderBy("dist", "code")
+    """Per place the first n + 1 codes by rounded distance, then by code.
+
+    The anchor, the first code of a place, stands for its five key columns,
+    so ranking and collecting share one shuffle.
+    """
+    hosts = places.select(*CELL, *[F.col(name).alias(f"h_{name}") for name in MEASURES], "codes")
+    pairs = visits.join(hosts, list(CELL))
+    near = pairs.withColumn("dist", distance("h_", cfg)).filter(F.col("dist") <= F.col("reach"))
+    found = near.select("anchor", *PLACE, F.round("dist", 3).alias("dist"), F.explode("codes").alias("code"))
+    order = Window.partitionBy("anchor").orderBy("dist", "code")
     first = found.withColumn("__k", F.row_number().over(order)).filter(F.col("__k") <= n + 1)
-    return first.groupBy(*PLACE).agg(F.sort_array(F.collect_list(F.struct("dist", "code"))).alias("near"))
+    return first.groupBy("anchor").agg(
+        *[F.first(name).alias(name) for name in PLACE],
+        F.sort_array(F.collect_list(F.struct("dist", "code"))).alias("near"),
+    ).drop("anchor")
