@@ -178,9 +178,10 @@ project_metrics AS (
   FROM projects),
 project_stats AS (
   SELECT *,
-    {r('AVG(ben_per_1000_usd) OVER (PARTITION BY cluster)', 3)} AS cluster_avg_ben_ratio,
-    {r('STDDEV_SAMP(ben_per_1000_usd) OVER (PARTITION BY cluster)', 3)} AS cluster_std_ben_ratio
-  FROM project_metrics),
+    {r('CAST(SUM(CAST(CAST(ben_per_1000_usd AS VARCHAR) AS DECIMAL(38,9))) OVER w AS DOUBLE) / COUNT(ben_per_1000_usd) OVER w', 3)}
+      AS cluster_avg_ben_ratio,
+    {r('STDDEV_SAMP(ben_per_1000_usd) OVER w', 3)} AS cluster_std_ben_ratio
+  FROM project_metrics WINDOW w AS (PARTITION BY cluster)),
 project_z AS (
   SELECT *,
     {r('(ben_per_1000_usd - cluster_avg_ben_ratio) / GREATEST(cluster_std_ben_ratio, 0.001::DOUBLE)', 3)}

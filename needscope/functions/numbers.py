@@ -11,11 +11,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DecimalType
 
-_EXACT = DecimalType(28, 9)
+EXACT = DecimalType(28, 9)
 
 
 def exact_sum(value: Column) -> Column:
-    return F.sum(value.cast(_EXACT)).cast("double")
+    return F.sum(value.cast(EXACT)).cast("double")
 
 
 def exact_avg(value: Column) -> Column:

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from needscope.config import Config
+from needscope.functions.numbers import EXACT, exact_avg
 from needscope.functions.projects import add_outlier_columns
 
 
@@ -40,26 +41,50 @@ def min_max_score(
     return df.withColumn(out, F.round(level * (hi - lo) + lo, 2)).drop("__range")
 
 
-def rank_table(df: DataFrame, score: str, out: str, by: Sequence[str] = ()) -> DataFrame:
+def rank_table(df: DataFrame, score: str, out: str, by: Sequence[str] = (), bounded: bool = True) -> DataFrame:
     """(by..., score, rank): one row per distinct score.
 
     ``rank()`` over all rows would put them through one task, and over a
     region all rows of the region. Rows are first counted per distinct score,
-    combined before the shuffle; a two-place score from 0 to 100 leaves at
-    most 10,001 values and null per group. The window runs over those.
+    combined before the shuffle. A two-place score from 0 to 100 leaves at
+    most 10,001 values and null per group, and the window runs over those.
+    ``bounded=False`` is for any other score: the distinct values are cut
+    into ranges at quantiles and ranked range by range.
     """
     counts = df.groupBy(*by, score).agg(F.count(F.lit(1)).alias("__n"))
-    order = Window.partitionBy(*by) if by else Window
-    before = order.orderBy(F.desc_nulls_last(score)).rowsBetween(Window.unboundedPreceding, -1)
-    above = F.coalesce(F.sum("__n").over(before), F.lit(0).cast("bigint"))
-    return counts.withColumn(out, above + 1).drop("__n")
+    if bounded:
+        return counts.withColumn(out, _rows_above(score, by) + 1).drop("__n")
+
+    cuts = counts.agg(F.percentile_approx(score, [i / RANGES for i in range(1, RANGES)], 10 * RANGES)).scalar()
+    reached = F.size(F.filter("__cuts", lambda cut: cut <= F.col(score)))
+    # null scores come last and so form the lowest range
+    number = F.when(F.col(score).isNull(), F.lit(-1)).otherwise(reached)
+    ranged = counts.withColumn("__cuts", cuts).withColumn("__range", number).drop("__cuts")
+    sizes = ranged.groupBy(*by, "__range").agg(F.sum("__n").alias("__n"))
+    starts = sizes.withColumn("__above", _rows_above("__range", by)).drop("__n")
+    placed = join_null_safe(ranged, starts, [*by, "__range"])
+    inside = _rows_above(score, [*by, "__range"])
+    return placed.withColumn(out, F.col("__above") + inside + 1).drop("__n", "__range", "__above")
+
+
+RANGES = 500
+
+
+def _rows_above(order: str, by: Sequence[str]) -> Column:
+    """Rows counted in ``__n`` with a greater value of ``order``."""
+    window = (Window.partitionBy(*by) if by else Window).orderBy(F.desc_nulls_last(order))
+    before = window.rowsBetween(Window.unboundedPreceding, -1)
+    return F.coalesce(F.sum("__n").over(before), F.lit(0).cast("bigint"))
 
 
 def global_rank(df: DataFrame, score: str, out: str, ranks: DataFrame | None = None) -> DataFrame:
-    """Equal to ``rank() over (order by score desc)`` for two-place scores
-    from 0 to 100, which bounds the broadcast side to 10,002 small rows."""
+    """Equal to ``rank() over (order by score desc)``.
+
+    Pass a written rank table where the data is large: the planner then sees
+    its true size and broadcasts it, and no row of ``df`` is shuffled.
+    """
     ranks = rank_table(df, score, out) if ranks is None else ranks
-    return join_null_safe(df, F.broadcast(ranks), [score])
+    return join_null_safe(df, ranks, [score])
 
 
 def rank_within(
@@ -67,8 +92,8 @@ def rank_within(
 ) -> DataFrame:
     """Equal to ``rank() over (partition by ... order by score desc)``.
 
-    The number of groups is not bounded here, so the join is left to the
-    planner: broadcast when the rank table is small, else a skew-aware join.
+    The join is left to the planner: broadcast when the rank table is small,
+    else a skew-aware join on group and score.
     """
     ranks = rank_table(df, score, out, by) if ranks is None else ranks
     return join_null_safe(df, ranks, [*by, score])
@@ -77,11 +102,16 @@ def rank_within(
 def sector_stats(df: DataFrame, value: str = "ben_per_1000_usd", by: Sequence[str] = ("cluster",)) -> DataFrame:
     """Mean and sample deviation per sector, three places."""
     return df.groupBy(*by).agg(
-        F.round(F.avg(value), 3).alias("cluster_avg_ben_ratio"),
+        F.round(exact_avg(F.col(value)), 3).alias("cluster_avg_ben_ratio"),
         F.round(F.stddev_samp(value), 3).alias("cluster_std_ben_ratio"),
     )
 
 
+def _exact_avg_over(value: str, window: WindowSpec) -> Column:
+    total = F.sum(F.col(value).cast(EXACT)).over(window).cast("double")
+    return total / F.nullif(F.count(value).over(window), F.lit(0))
+
+
 def zscore(
     df: DataFrame,
     cfg: Config = Config(),
@@ -101,7 +131,7 @@ def zscore(
         whole = Window.partitionBy(*by)
         df = df.withColumns(
             {
-                "cluster_avg_ben_ratio": F.round(F.avg(value).over(whole), 3),
+                "cluster_avg_ben_ratio": F.round(_exact_avg_over(value, whole), 3),
                 "cluster_std_ben_ratio": F.round(F.stddev_samp(value).over(whole), 3),
             }
         )

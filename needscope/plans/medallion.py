@@ -19,10 +19,18 @@ from needscope.sources import sinks
 from needscope.sources.scratch import settle
 
 
-def silver_funding(needs: DataFrame, cfg: Config = Config()) -> DataFrame:
+def scored_needs(needs: DataFrame, cfg: Config = Config()) -> DataFrame:
+    return scoring.min_max_score(add_funding_metrics(needs, cfg), "overlook_score_raw", "overlook_score")
+
+
+def global_ranks(needs: DataFrame, cfg: Config = Config()) -> DataFrame:
+    """Rank per distinct score as a written table of known size."""
+    return settle(scoring.rank_table(scored_needs(needs, cfg), "overlook_score", "global_overlook_rank"), "ranks")
+
+
+def silver_funding(needs: DataFrame, cfg: Config = Config(), ranks: DataFrame | None = None) -> DataFrame:
     """Needs with metrics, normalised score and global rank."""
-    scored = scoring.min_max_score(add_funding_metrics(needs, cfg), "overlook_score_raw", "overlook_score")
-    return scoring.global_rank(scored, "overlook_score", "global_overlook_rank")
+    return scoring.global_rank(scored_needs(needs, cfg), "overlook_score", "global_overlook_rank", ranks)
 
 
 def silver_projects(projects: DataFrame, cfg: Config = Config(), stats: DataFrame | None = None) -> DataFrame:
@@ -77,7 +85,7 @@ def run(sources: Tables, sink: Sink = settle, cfg: Config = Config()) -> Tables:
     projects = write("projects", sources["projects"])
     allocations = write("allocations", sources["allocations"])
 
-    funding = write("silver_funding", silver_funding(needs, cfg))
+    funding = write("silver_funding", silver_funding(needs, cfg, global_ranks(needs, cfg)))
     silver = write("silver_projects", silver_projects(projects, cfg, project_stats(projects, cfg)))
     write("silver_allocations", silver_allocations(allocations, funding, cfg))
 

@@ -63,7 +63,8 @@ class Store:
 
     @cached_property
     def silver_funding(self) -> DataFrame:
-        return settle(medallion.silver_funding(self.needs, self.cfg), "silver-funding")
+        ranks = medallion.global_ranks(self.needs, self.cfg)
+        return settle(medallion.silver_funding(self.needs, self.cfg, ranks), "silver-funding")
 
     @cached_property
     def silver_projects(self) -> DataFrame:

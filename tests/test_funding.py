@@ -135,6 +135,21 @@ def test_rank_equals_window_rank(spark):
         assert found.select("region", "score", "r").exceptAll(expected).isEmpty()
 
 
+def test_unbounded_rank_equals_window_rank(spark, monkeypatch):
+    monkeypatch.setattr(scoring, "RANGES", 7)
+    rows = spark.range(2000).select(
+        (F.col("id") % 3).alias("region"),
+        F.when(F.col("id") % 89 != 0, F.round(F.rand(3) * 1e6, F.lit(0)) % 1500 / 7).alias("score"),
+    ).withColumn("region", F.when(F.col("region") != 2, F.col("region"))).cache()
+    for by in ([], ["region"]):
+        window = (Window.partitionBy(*by) if by else Window).orderBy(F.desc_nulls_last("score"))
+        expected = rows.withColumn("r", F.rank().over(window).cast("bigint"))
+        ranks = scoring.rank_table(rows, "score", "r", by, bounded=False)
+        found = scoring.join_null_safe(rows, ranks, [*by, "score"])
+        assert found.count() == 2000
+        assert found.select("region", "score", "r").exceptAll(expected).isEmpty()
+
+
 def test_score_reaches_both_ends(spark):
     low, high = medallion.silver_funding(golden.needs(spark)).agg(
         F.min("overlook_score"), F.max("overlook_score")
