@@ -264,10 +264,14 @@ def _with_reach(places: DataFrame, n: int) -> DataFrame:
         for x in SEARCH:
             at = cell[x].to_numpy()
             gaps += np.abs(at[:, None] - at[None, :])
+        # every place has at least one code, so n + 1 places always suffice
+        k = min(n, len(cell) - 1)
+        close = np.argpartition(gaps, k, axis=1)[:, : k + 1]
+        gaps = np.take_along_axis(gaps, close, axis=1)
         order = np.argsort(gaps, axis=1)
-        covered = np.cumsum(codes[order], axis=1) > n
-        last = np.take_along_axis(order, covered.argmax(axis=1)[:, None], axis=1)
-        inside = np.take_along_axis(gaps, last, axis=1)[:, 0]
+        covered = np.cumsum(np.take_along_axis(codes[close], order, axis=1), axis=1) > n
+        sorted_gaps = np.take_along_axis(gaps, order, axis=1)
+        inside = np.take_along_axis(sorted_gaps, covered.argmax(axis=1)[:, None], axis=1)[:, 0]
         return cell.assign(reach=np.minimum(cell["reach"].to_numpy(), inside))
 
     # A group is one cell, at most ``leaf_rows`` rows. The work per byte is
