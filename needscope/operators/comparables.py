@@ -155,7 +155,8 @@ def _places(clean: DataFrame, n: int, cfg: Config) -> DataFrame:
             "x0": F.col("ben_per_1000_usd") * cfg.efficiency_weight,
             "x1": F.col("funding_coverage_pct") * cfg.coverage_weight,
             "x2": F.col("log_budget") * cfg.budget_weight,
-            "anchor": F.element_at("codes", 1),
+            # fixed once the table is written; a number sorts faster than a code
+            "place_id": F.monotonically_increasing_id(),
             "n_codes": F.size("codes"),
             "cell": F.lit("c"),
             "reach": F.lit(float("inf")),
@@ -254,7 +255,7 @@ def _child(slot: Column) -> Column:
 
 def _with_reach(places: DataFrame, n: int) -> DataFrame:
     """Lower ``reach`` to the distance of the (n + 1)-th code in the own cell."""
-    df = places.select("anchor", *PLACE, "log_budget", *SEARCH, "n_codes", "cell", "reach")
+    df = places.select("place_id", *PLACE, "log_budget", *SEARCH, "n_codes", "cell", "reach")
 
     def cover(cell: pd.DataFrame) -> pd.DataFrame:
         codes = cell["n_codes"].to_numpy()
@@ -303,16 +304,16 @@ def _visits(seekers: DataFrame, places: DataFrame, splits: list[DataFrame]) -> D
 def _nearest_codes(visits: DataFrame, places: DataFrame, n: int, cfg: Config) -> DataFrame:
     """Per place the first n + 1 codes by rounded distance, then by code.
 
-    The anchor, the first code of a place, stands for its five key columns,
-    so ranking and collecting share one shuffle.
+    The place number stands for the five key columns, so ranking and
+    collecting share one shuffle.
     """
     hosts = places.select(*CELL, *[F.col(name).alias(f"h_{name}") for name in MEASURES], "codes")
     pairs = visits.join(hosts, list(CELL))
     near = pairs.withColumn("dist", distance("h_", cfg)).filter(F.col("dist") <= F.col("reach"))
-    found = near.select("anchor", *PLACE, F.round("dist", 3).alias("dist"), F.explode("codes").alias("code"))
-    order = Window.partitionBy("anchor").orderBy("dist", "code")
+    found = near.select("place_id", *PLACE, F.round("dist", 3).alias("dist"), F.explode("codes").alias("code"))
+    order = Window.partitionBy("place_id").orderBy("dist", "code")
     first = found.withColumn("__k", F.row_number().over(order)).filter(F.col("__k") <= n + 1)
-    return first.groupBy("anchor").agg(
+    return first.groupBy("place_id").agg(
         *[F.first(name).alias(name) for name in PLACE],
         F.sort_array(F.collect_list(F.struct("dist", "code"))).alias("near"),
-    ).drop("anchor")
+    ).drop("place_id")
