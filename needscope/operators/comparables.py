@@ -124,9 +124,11 @@ def comparables_all(
     n = cfg.neighbours if n is None else n
     clean = drop_null_features(benchmarks, ["project_code", *PLACE]).select("project_code", *PLACE)
     places = settle(_places(clean, n, cfg), "places")
-    places, splits = _split_cells(places, settle, max(cfg.leaf_rows, n + 1))
-    visits = _visits(_with_reach(places, n), places, splits)
-    nearest = _nearest_codes(visits, places, n, cfg)
+    cells, splits = _split_cells(places.drop("codes"), settle, max(cfg.leaf_rows, n + 1))
+    visits = _visits(_with_reach(cells, n), cells, splits)
+    # the code lists stay out of the split rounds, which rewrite every row
+    hosts = cells.join(places.select("place_id", "codes"), "place_id") if splits else places
+    nearest = _nearest_codes(visits, hosts, n, cfg)
 
     # a place may stand for very many projects: this join is left to the
     # skew handling of adaptive execution
@@ -301,14 +303,14 @@ def _visits(seekers: DataFrame, places: DataFrame, splits: list[DataFrame]) -> D
     return visits.join(boxes, list(CELL)).filter(away <= F.col("reach")).select(*visits.columns)
 
 
-def _nearest_codes(visits: DataFrame, places: DataFrame, n: int, cfg: Config) -> DataFrame:
+def _nearest_codes(visits: DataFrame, hosts: DataFrame, n: int, cfg: Config) -> DataFrame:
     """Per place the first n + 1 codes by rounded distance, then by code.
 
     The place number stands for the five key columns, so ranking and
     collecting share one shuffle.
     """
-    hosts = places.select(*CELL, *[F.col(name).alias(f"h_{name}") for name in MEASURES], "codes")
-    pairs = visits.join(hosts, list(CELL))
+    lists = hosts.select(*CELL, *[F.col(name).alias(f"h_{name}") for name in MEASURES], "codes")
+    pairs = visits.join(lists, list(CELL))
     near = pairs.withColumn("dist", distance("h_", cfg)).filter(F.col("dist") <= F.col("reach"))
     found = near.select("place_id", *PLACE, F.round("dist", 3).alias("dist"), F.explode("codes").alias("code"))
     order = Window.partitionBy("place_id").orderBy("dist", "code")
