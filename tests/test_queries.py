@@ -7,9 +7,11 @@ import pytest
 
 import __spark_entry__ as entry
 from checks.compare import connect, difference
+from checks.oracle import ORACLE as ENGINE_ORACLE
+from needscope.plans.queries import all_queries
 
 FOLDER = os.environ.get("CHECK_SF_DIR", "/root/testdata/sf0.001")
-QUERIES, ORACLE = entry.queries(), entry.oracle_sql()
+QUERIES, ORACLE = all_queries(), ENGINE_ORACLE
 ROWS_ONLY = {"kmeans_groups", "silhouette", "kmeans_sweep", "gold_benchmarks"}
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
@@ -35,6 +37,10 @@ def test_model_query_returns_rows(spark, name):
     assert QUERIES[name](spark, FOLDER).count() > 0
 
 
+def test_entry_registers_every_query():
+    assert set(QUERIES) <= set(entry.queries()) and set(ORACLE) <= set(entry.oracle_sql())
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() == 10
 
