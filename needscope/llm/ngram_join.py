@@ -12,13 +12,13 @@ verifications, both read from the frequency classes. A pair is a candidate
 when it shares min(k1, k2) prefix shingles.
 
 Frequencies only shape order and cost, never the result, so they are kept in
-a table of bounded size. They are counted over all documents: each task
-reports shingles that recur within a window of two million, and the reports
-are summed.
+a table of bounded size. They are counted over all documents, for the part of
+each set in which its prefix can lie.
 
-Lists of at most ``SMALL`` documents are paired in full. Longer lists link to
-a leader of similar size first; after that only documents of different
-components are paired. Equal shingle sets are one node throughout.
+Lists of at most ``SMALL`` documents are paired in full. The documents of
+longer lists first try the leader that meets most others; lists that then
+still hold several components are compared block against block, so that no
+row stands for a pair. Equal shingle sets are one node throughout.
 """
 
 from __future__ import annotations
@@ -27,20 +27,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from needscope.llm.common import Membership, WordHashes, binary, cell_of, shingle_hashes, table_bits, words_of
 from needscope.llm.graph import components
 from needscope.sources.scratch import settle
 
-WINDOW = 2_000_000  # shingles a task looks at together when it counts
-FREQUENT = 16  # counted occurrences from which a shingle gets a class
+WINDOW = 1_000_000  # shingles a task adds up before it passes them on
+FREQUENT = 8  # occurrences from which a shingle gets a class
 CLASS_BITS = 24  # frequency table: at most 16 MB
-LONGEST = 8  # most matches asked for
-VERIFY = 10.0  # cost of a verification, in list entries
+LONGEST = 64  # most matches asked for
+UNSEEN = 0.1  # entries expected to be met in the list of a shingle without a class
+VERIFY = 1 / 8  # cost of a verification for each shingle of the set, in list entries
+BLOCK = 400  # documents of a block of a long list
+COLUMNS = 4_096  # shingles counted at a time when blocks meet
 SMALL = 12  # documents in a list that is paired in full
-LIST_ROWS = 1_000_000  # list entries in a bucket, about
+LIST_ROWS = 2_000_000  # list entries in a bucket, about
 
 
 def jaccard_components(
@@ -57,7 +60,7 @@ def jaccard_components(
     told apart by 64-bit hashes.
     """
     rows = docs.select(F.col(id).cast("long").alias("doc_id"), binary(text).alias("text"))
-    signs = settle(_signatures(rows, n, percent, _frequency_classes(rows, n)), "signatures")
+    signs = settle(_signatures(rows, n, percent, _frequency_classes(rows, n, percent)), "signatures")
     nodes = (
         signs.where("n > 0")
         .groupBy("node")
@@ -79,29 +82,56 @@ def jaccard_components(
 
 # ---- frequency classes ----
 
-def _frequency_classes(rows: DataFrame, n: int) -> tuple[int, np.ndarray]:
-    """(bits, table): class of the shingles that share the top bits of a hash."""
+def _frequency_classes(rows: DataFrame, n: int, percent: int) -> tuple[int, np.ndarray]:
+    """(bits, table): class of the shingles that share the top bits of a hash.
 
-    def recurring(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    Each document reports the part of its set, by hash, in which its prefix
+    will lie; arrays of 40-bit hashes meet by hash range and are counted.
+    """
+    buckets = max(8, len(rows.inputFiles()), rows.sparkSession.sparkContext.defaultParallelism)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, held, size = WordHashes(), [], 0
 
         def report() -> pa.RecordBatch:
-            found, times = np.unique(np.concatenate(held), return_counts=True)
-            often = times > 1
-            return pa.RecordBatch.from_arrays([pa.array(found[often].view(np.int64)), pa.array(times[often])], ["shingle", "times"])
+            found, times = np.unique(np.concatenate(held) >> np.uint64(24), return_counts=True)
+            bucket = ((found >> np.uint64(8)) * np.uint64(buckets)) >> np.uint64(32)
+            here, starts = np.unique(bucket, return_index=True)
+            return pa.RecordBatch.from_arrays(
+                [
+                    pa.array(here.astype(np.int32)),
+                    pa.array([packed(x << np.uint64(24)) for x in np.split(found, starts[1:])], pa.binary()),
+                    pa.array([np.minimum(x, 65535).astype(np.uint16).tobytes() for x in np.split(times, starts[1:])], pa.binary()),
+                ],
+                ["bucket", "shingle", "times"],
+            )
 
         for batch in batches:
             for text in batch.column(0):
-                held.append(shingle_hashes(words_of(text.as_py()), hashes, n))
+                found = shingle_hashes(words_of(text.as_py()), hashes, n)
+                need = (percent * len(found) + 99) // 100
+                held.append(found[: 2 * (len(found) - need) + LONGEST])
                 size += len(held[-1])
                 if size >= WINDOW:
                     yield report()
                     held, size = [], 0
-        if held:
+        if size:
             yield report()
 
-    counted = rows.select("text").mapInArrow(recurring, "shingle long, times long").groupBy("shingle").agg(F.sum("times").alias("times"))
-    often = settle(counted.where(F.col("times") >= FREQUENT), "frequent")
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: dict[int, list] = {}
+        for batch in batches:
+            for bucket, *blob in zip(*(column.to_pylist() for column in batch.columns)):
+                parts.setdefault(bucket, []).append(blob)
+        for bucket in list(parts):
+            shingles, times = zip(*parts.pop(bucket))
+            found, at = np.unique(np.concatenate([unpacked(x) for x in shingles]), return_inverse=True)
+            total = np.bincount(at, np.concatenate([np.frombuffer(x, np.uint16) for x in times])).astype(np.int64)
+            often = total >= FREQUENT
+            yield pa.RecordBatch.from_arrays([pa.array((found[often] << np.uint64(24)).view(np.int64)), pa.array(total[often])], ["shingle", "times"])
+
+    dealt = rows.select("text").mapInArrow(deal, "bucket int, shingle binary, times binary")
+    often = settle(dealt.repartition(buckets, "bucket").mapInArrow(count, "shingle long, times long"), "frequent")
     bits = table_bits(often.count(), CLASS_BITS, per_entry=32)
     level = F.floor(F.log2("times")).cast("int")
     cells = often.groupBy(cell_of(F.col("shingle"), bits).alias("cell")).agg(F.max(level).alias("level")).toPandas()
@@ -113,17 +143,28 @@ def _frequency_classes(rows: DataFrame, n: int) -> tuple[int, np.ndarray]:
 # ---- prefixes ----
 
 def choose_matches(levels: np.ndarray, size: int, need: int) -> int:
-    """Matches to ask for: least entries + VERIFY * (entries / matches).
+    """Matches to ask for: least prefix + entries met + verifications.
 
     ``levels`` are the classes of the set in prefix order. No more candidates
     can share k lists than the lists hold entries divided by k.
     """
     most = min(LONGEST, need)
     last = size - need
-    entries = np.cumsum(np.where(levels[: last + most] > 0, np.exp2(levels[: last + most].astype(float)), 0.0))
+    level = levels[: last + most].astype(float)
+    met = np.cumsum(np.where(level > 0, np.exp2(level), UNSEEN))[last:]
     asked = np.arange(1, most + 1)
-    met = entries[last : last + most]
-    return int(asked[np.argmin(met * (1 + VERIFY / asked))])
+    return int(asked[np.argmin(last + asked + met * (1 + VERIFY * size / asked))])
+
+
+def packed(shingles: np.ndarray) -> bytes:
+    """The top 40 bits of each hash."""
+    return (shingles >> np.uint64(24)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+
+
+def unpacked(blob: bytes) -> np.ndarray:
+    wide = np.zeros((len(blob) // 5, 8), np.uint8)
+    wide[:, :5] = np.frombuffer(blob, np.uint8).reshape(-1, 5)
+    return wide.view("<u8")[:, 0]
 
 
 def _signatures(rows: DataFrame, n: int, percent: int, classes: tuple[int, np.ndarray]) -> DataFrame:
@@ -149,7 +190,7 @@ def _signatures(rows: DataFrame, n: int, percent: int, classes: tuple[int, np.nd
                 need = (percent * size + 99) // 100
                 k = choose_matches(levels, size, need)
                 asked.append(k)
-                prefixes.append(found[: size - need + k].tobytes())
+                prefixes.append(packed(found[: size - need + k]))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(asked, pa.int32()), pa.array(prefixes, pa.binary())],
                 ["doc_id", "n", "node", "k", "prefix"],
@@ -169,31 +210,35 @@ def set_hash(found: np.ndarray) -> int:
 
 def _buckets(signs: DataFrame) -> int:
     entries = signs.agg(F.sum(F.length("prefix"))).first()[0] or 0
-    return max(8, -(-entries // 8 // LIST_ROWS))
+    return max(8, -(-entries // 5 // LIST_ROWS))
 
 
 def _lists(nodes: DataFrame, buckets: int) -> DataFrame:
-    """Entries of every list with two or more nodes, a row per bucket and block.
+    """Entries of every list with two or more nodes, a row per bucket.
 
-    Entries travel as arrays: 32 bits of the shingle (enough to tell lists of
-    one bucket apart up to a few extra candidates) and the node.
+    Entries travel as arrays, grouped by node: 32 bits of the shingle (enough
+    to tell lists of one bucket apart, up to a few extra candidates), and once
+    per node its size, its matches and how many entries are its own.
     """
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            tokens = [np.frombuffer(x.as_py(), np.uint64) for x in batch.column(3)]
+            tokens = [unpacked(x.as_py()) for x in batch.column(3)]
             if not tokens:
                 continue
-            lengths = [len(x) for x in tokens]
-            token = np.concatenate(tokens)
-            ids, size, k = (np.repeat(batch.column(i).to_numpy(), lengths) for i in range(3))
-            bucket = ((token >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+            token, row = np.concatenate(tokens), np.repeat(np.arange(len(tokens)), [len(x) for x in tokens])
+            bucket = ((token >> np.uint64(8)) * np.uint64(buckets)) >> np.uint64(32)
             order = np.argsort(bucket, kind="stable")
-            found, starts = np.unique(bucket[order], return_index=True)
-            cut = lambda values, kind: pa.array([x.tobytes() for x in np.split(values[order].astype(kind), starts[1:])], pa.binary())
+            token, row, bucket = token[order].astype(np.uint32), row[order], bucket[order]
+            run = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (bucket[1:] != bucket[:-1])])
+            own, row = np.diff(np.r_[run, len(row)]), row[run]
+            found, starts = np.unique(bucket, return_index=True)
+            at_run = np.searchsorted(run, starts)
+            cut = lambda values, kind, at: pa.array([x.tobytes() for x in np.split(values.astype(kind), at[1:])], pa.binary())
+            node, n, k = (batch.column(i).to_numpy()[row] for i in range(3))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(found.astype(np.int32)), cut(token, np.uint32), cut(ids, np.int64), cut(size, np.int32), cut(k, np.int8)],
-                ["bucket", "token", "node", "n", "k"],
+                [pa.array(found.astype(np.int32)), cut(token, np.uint32, starts), cut(node, np.int64, at_run), cut(n, np.int32, at_run), cut(k, np.int8, at_run), cut(own, np.int32, at_run)],
+                ["bucket", "token", "node", "n", "k", "own"],
             )
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,22 +247,25 @@ def _lists(nodes: DataFrame, buckets: int) -> DataFrame:
             for bucket, *blob in zip(*(column.to_pylist() for column in batch.columns)):
                 parts.setdefault(bucket, []).append(blob)
         for bucket in list(parts):
-            token, node, n, k = (
+            token, node, n, k, own = (
                 np.concatenate([np.frombuffer(x, kind) for x in column])
-                for column, kind in zip(zip(*parts.pop(bucket)), (np.uint32, np.int64, np.int32, np.int8))
+                for column, kind in zip(zip(*parts.pop(bucket)), (np.uint32, np.int64, np.int32, np.int8, np.int32))
             )
-            order = np.lexsort((node, token))
-            token, node, n, k = token[order], node[order], n[order], k[order]
-            _, start, times = np.unique(token, return_index=True, return_counts=True)
+            order = np.argsort(token, kind="stable")
+            token = token[order]
+            _, times = np.unique(token, return_counts=True)
             keep = np.repeat(times > 1, times)
             if keep.any():
+                token, at = token[keep], np.repeat(np.arange(len(own), dtype=np.int32), own)[order[keep]]
+                again = np.lexsort((node[at], token))
+                token, at = token[again], at[again]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([bucket], pa.int32()), *(pa.array([x[keep].tobytes()], pa.binary()) for x in (token, node, n, k))],
+                    [pa.array([bucket], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in (token, node[at], n[at], k[at]))],
                     ["bucket", "token", "node", "n", "k"],
                 )
 
     kind = "bucket int, token binary, node binary, n binary, k binary"
-    dealt = nodes.select("node", "n", "k", "prefix").mapInArrow(deal, kind)
+    dealt = nodes.select("node", "n", "k", "prefix").mapInArrow(deal, f"{kind}, own binary")
     return dealt.repartition(buckets, "bucket").mapInArrow(gather, kind)
 
 
@@ -244,57 +292,40 @@ def pairs_within(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _links(lists: DataFrame, signs: DataFrame, rows: DataFrame, n: int, percent: int) -> DataFrame:
     """Verified links (a, b) between nodes; they connect what all links connect."""
-    in_long = F.col("long_a") | F.col("long_b")
     found = (
-        lists.mapInArrow(lambda batches: _pairs_of_short(batches, percent), "a long, b long, matches int, need int, long_a boolean, long_b boolean")
+        lists.mapInArrow(lambda batches: _pairs_of_short(batches, percent), "a long, b long, matches int, need int")
         .groupBy("a", "b")
-        .agg(F.sum("matches").alias("matches"), F.first("need").alias("need"), F.max("long_a").alias("long_a"), F.max("long_b").alias("long_b"))
-        .where((F.col("matches") >= F.col("need")) | in_long)
-        .select("a", "b")
+        .agg(F.sum("matches").alias("matches"), F.first("need").alias("need"))
     )
-    # one leader for each document of a long list: the one it meets most often
-    met = lists.mapInArrow(lambda batches: _leaders_of_long(batches), "a long, b long, matches int").groupBy("a", "b").agg(F.sum("matches").alias("matches"))
-    best = met.groupBy("a").agg(F.max_by("b", F.struct("matches", "b")).alias("b"))
-    first = settle(found.union(best).distinct(), "candidates")
+    # long lists may hold the missing matches, but no more than either has entries there
+    entries = settle(lists.mapInArrow(_entries_of_long, "list long, node long, n int, k int"), "long-lists")
+    more = settle(entries.groupBy("node").agg(F.count("*").alias("more")), "long-entries")
+    for side in ("a", "b"):
+        found = found.join(more.select(F.col("node").alias(side), F.col("more").alias(f"more_{side}")), side, "left")
+    hidden = F.least(F.coalesce("more_a", F.lit(0)), F.coalesce("more_b", F.lit(0)))
+    found = found.where(F.col("matches") + hidden >= F.col("need")).select("a", "b")
+    # the documents of long lists first try leaders: those that meet most others
+    sizes = entries.groupBy("list").agg(F.count("*").alias("size"))
+    central = entries.join(sizes, "list").groupBy("node").agg(F.sum("size").alias("central"))
+    entries = settle(entries.join(central, "node"), "long-lists")
+    first = settle(found.union(_led(entries.withColumn("component", F.col("node")), F.col("central"))).distinct(), "candidates")
     known = signs.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    ends = first.select(F.col("a").alias("node")).union(first.select(F.col("b").alias("node"))).distinct()
+    ends = first.select(F.col("a").alias("node")).union(first.select(F.col("b").alias("node"))).union(entries.select("node")).distinct()
     sets = settle(_sets(rows, settle(ends.join(known, "node"), "flagged"), n), "sets")
     links = settle(_verified(first, sets, percent), "links")
 
-    entries = settle(lists.mapInArrow(_entries_of_long, "list long, node long, n int, k int"), "long-lists")
     if entries.isEmpty():
         return links
-    while True:
-        parts = settle(_mixed(entries, components(links)), "mixed")
-        leaders = parts.groupBy("list").agg(F.min(F.struct("component", "node")).alias("leader"))
-        star = (
-            parts.join(leaders, "list")
-            .where("component <> leader.component")
-            .groupBy(F.col("node").alias("a"), F.col("leader.node").alias("b"))
-            .agg(F.count("*").alias("matches"))
-        )
-        star = star.groupBy("a").agg(F.max_by("b", F.struct("matches", "b")).alias("b"))
-        more = settle(_verified(star, sets, percent), "links")
-        if more.isEmpty():
-            break
-        links = settle(links.union(more), "links")
-    # what is left: pairs of one list whose components differ
-    one, two = parts.alias("x"), parts.alias("y")
-    fits = (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")) & (F.col("x.component") < F.col("y.component"))
-    cross = (
-        one.join(two, (F.col("x.list") == F.col("y.list")) & fits)
-        .groupBy(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-        .agg(F.count("*").alias("matches"), F.first(F.least("x.k", "y.k")).alias("need"))
-        .where("matches >= need")
-        .select("a", "b")
-    )
-    return settle(links.union(_verified(cross, sets, percent)), "links")
+    parts = settle(_mixed(entries, components(links)), "mixed")
+    # lists of the same documents count once
+    alike = parts.groupBy("list").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("node")).alias("members"))
+    kept = alike.groupBy("size", "members").agg(F.min("list").alias("list")).select("list")
+    return settle(links.union(_linked_in_blocks(parts.join(kept, "list"), sets, percent)), "links")
 
 
 def _pairs_of_short(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for _, token, node, n, k, counts in _each_list(batch):
-            long = np.unique(node[np.repeat(counts > SMALL, counts)])
             short = np.repeat(counts <= SMALL, counts)
             i, j = pairs_within(counts[counts <= SMALL])
             node, n, k = node[short], n[short].astype(np.int64), k[short]
@@ -308,27 +339,21 @@ def _pairs_of_short(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator
             start = np.flatnonzero(np.r_[True, (pair[1:] != pair[:-1]).any(1)])
             times = np.diff(np.r_[start, len(pair)])
             a, b = pair[start].T
-            columns = [a, b, times.astype(np.int32), need[start].astype(np.int32), np.isin(a, long), np.isin(b, long)]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["a", "b", "matches", "need", "long_a", "long_b"])
-
-
-def _leaders_of_long(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each document of a long list with the least node of its size band."""
-    for batch in batches:
-        for _, token, node, n, k, counts in _each_list(batch):
-            long = np.repeat(counts > SMALL, counts)
-            if not long.any():
-                continue
-            token, node, n = token[long], node[long], n[long]
-            band = np.floor(np.log(n) / np.log(1.25)).astype(np.int64)
-            order = np.lexsort((node, band, token))
-            token, node, band = token[order], node[order], band[order]
-            start = np.flatnonzero(np.r_[True, (token[1:] != token[:-1]) | (band[1:] != band[:-1])])
-            leader = np.repeat(node[start], np.diff(np.r_[start, len(token)]))
-            other = node != leader
-            pair, times = np.unique(np.stack([node[other], leader[other]], 1), axis=0, return_counts=True)
-            if len(pair):
-                yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1]), pa.array(times.astype(np.int32))], ["a", "b", "matches"])
+            columns = [a, b, times.astype(np.int32), need[start].astype(np.int32)]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["a", "b", "matches", "need"])
+
+
+def _led(entries: DataFrame, rank: Column) -> DataFrame:
+    """(a, b): each document with the leader it meets most often; a list's
+    leader has the highest rank, and another component than the document."""
+    leaders = entries.groupBy("list").agg(F.max_by(F.struct("node", "component"), F.struct(rank, "node")).alias("leader"))
+    met = (
+        entries.join(leaders, "list")
+        .where("component <> leader.component")
+        .groupBy(F.col("node").alias("a"), F.col("leader.node").alias("b"))
+        .agg(F.count("*").alias("matches"))
+    )
+    return met.groupBy("a").agg(F.max_by("b", F.struct("matches", "b")).alias("b"))
 
 
 def _entries_of_long(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -348,6 +373,70 @@ def _mixed(entries: DataFrame, found: DataFrame) -> DataFrame:
     return placed.join(mixed.select("list"), "list", "left_semi")
 
 
+def _linked_in_blocks(parts: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links inside lists that hold several components, without a row per pair.
+
+    A list is cut into blocks of documents, in order of component and size.
+    Two blocks meet in one task, which counts all overlaps as matrix products
+    and returns a spanning set of links. Blocks of one and the same component,
+    or whose sizes exclude a link, don't meet.
+    """
+    order = Window.partitionBy("list").orderBy("component", "n", "node")
+    place = (F.row_number().over(order) - 1) / BLOCK
+    placed = settle(parts.select("list", "node", "n", "component", F.floor(place).cast("int").alias("block")), "blocks")
+    blocks = placed.groupBy("list", "block").agg(
+        F.min("component").alias("low"), F.max("component").alias("high"), F.min("n").alias("least"), F.max("n").alias("most")
+    )
+    x, y = blocks.alias("x"), blocks.alias("y")
+    several = F.least("x.low", "y.low") < F.greatest("x.high", "y.high")
+    fits = (100 * F.col("x.most") >= percent * F.col("y.least")) & (100 * F.col("y.most") >= percent * F.col("x.least"))
+    met = x.join(y, (F.col("x.list") == F.col("y.list")) & (F.col("x.block") <= F.col("y.block")) & several & fits)
+    met = settle(met.select(F.col("x.list").alias("list"), F.col("x.block").alias("i"), F.col("y.block").alias("j")), "block-pairs")
+    left = placed.join(met, [placed["list"] == met["list"], placed["block"] == met["i"]]).select(met["list"], "i", "j", "node")
+    right = placed.join(met.where("i < j"), [placed["list"] == met["list"], placed["block"] == met["j"]]).select(met["list"], "i", "j", "node")
+
+    def link(rows: pa.Table) -> pa.Table:
+        node = rows["node"].to_numpy()
+        found = [np.frombuffer(x.as_buffer(), np.uint64) for x in rows["shingles"]]
+        at = spanning(overlaps(found), np.array([len(x) for x in found]), percent)
+        other = at != np.arange(len(node))
+        return pa.table([pa.array(node[other]), pa.array(node[at[other]])], ["a", "b"])
+
+    held = left.union(right).join(sets.dropDuplicates(["node"]), "node").select("list", "i", "j", "node", "shingles")
+    return held.groupBy("list", "i", "j").applyInArrow(link, "a long, b long").distinct()
+
+
+def overlaps(found: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all pairwise intersections of sorted sets."""
+    token, column, times = np.unique(np.concatenate(found), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(found)), [len(x) for x in found])
+    shared = times[column] > 1
+    row, column = row[shared], (np.cumsum(times > 1) - 1)[column[shared]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    total = np.zeros((len(found), len(found)), np.float32)
+    width = int(column[-1]) + 1 if len(column) else 0
+    for start in range(0, width, COLUMNS):
+        low, high = np.searchsorted(column, [start, start + COLUMNS])
+        present = np.zeros((len(found), min(COLUMNS, width - start)), np.float32)
+        present[row[low:high], column[low:high] - start] = 1
+        total += present @ present.T
+    return total.astype(np.int64)
+
+
+def spanning(shared: np.ndarray, sizes: np.ndarray, percent: int) -> np.ndarray:
+    """For each set the least place that links reach inside the block."""
+    linked = 100 * shared >= percent * (sizes[:, None] + sizes[None, :] - shared)
+    np.fill_diagonal(linked, True)
+    at = np.arange(len(sizes))
+    while True:
+        lower = np.where(linked, at[None, :], len(sizes)).min(1)
+        lower = lower[lower]
+        if (lower == at).all():
+            return at
+        at = lower
+
+
 # ---- verification ----
 
 def _sets(rows: DataFrame, flagged: DataFrame, n: int) -> DataFrame:
