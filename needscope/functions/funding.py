@@ -129,14 +129,19 @@ def cbpf_adequacy(cfg: Config) -> Column:
 
 def key_insight(cfg: Config) -> Column:
     """One sentence; ``concat_ws`` leaves null parts out."""
-    parts = [
+    # The wording of the sentence.
+    return F.concat_ws(
+        " ",
         F.col("country"),
+        F.lit("has"),
         F.round("people_in_need_millions", 1).cast("string"),
+        F.lit("million people in need but only"),
         F.col("coverage_rate_pct").cast("string"),
+        F.lit("% funded —"),
         F.round("estimated_unfunded_people_millions", 1).cast("string"),
-    ]
-    woven = [piece for part, words in zip(parts, labels.INSIGHT_WORDS) for piece in (part, F.lit(words))]
-    return F.concat_ws(" ", *woven)
+        F.lit("million people without adequate support."),
+    )
+    # End of fixed values.
 
 
 def mismatch_score(cfg: Config) -> Column:

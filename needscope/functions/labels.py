@@ -55,13 +55,6 @@ GROUP_LABELS = (
     "Group E: Large-Budget, Specialist Projects",
     "Group F: Extra-Large or Logistics Projects",
 )
-
-INSIGHT_WORDS = (
-    "has",
-    "million people in need but only",
-    "% funded —",
-    "million people without adequate support.",
-)
 # End of fixed values.
 
 Steps = Sequence[tuple[float, str]]

@@ -22,6 +22,13 @@ def exact_avg(value: Column) -> Column:
     return exact_sum(value) / F.nullif(F.count(value), F.lit(0))
 
 
+def exact_stddev(value: Column) -> Column:
+    """Sample deviation from exact sums of x and x²; null for fewer than two values."""
+    n = F.count(value)
+    spread = exact_sum(value * value) - exact_sum(value) * exact_sum(value) / F.nullif(n, F.lit(0))
+    return F.when(n > 1, F.sqrt(F.greatest(spread, F.lit(0.0)) / F.nullif(n - 1, F.lit(0))))
+
+
 def ratio(top: Column, bottom: Column) -> Column:
     """Division that yields null for a zero divisor instead of failing."""
     return top / F.nullif(bottom, F.lit(0))

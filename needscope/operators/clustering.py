@@ -178,16 +178,16 @@ def label_groups(df: DataFrame, cfg: Config = Config()) -> DataFrame:
     """Adds ``benchmark_label``: labels go up with the average budget.
 
     Cluster ids are arbitrary, so the place in the budget order picks the
-    label, not the id. The lookup holds only ids below the configured number
-    of groups, which bounds it; any other id gets the plain label.
+    label, not the id; places beyond the texts get the plain label. The join
+    is left to the planner.
     """
-    known = df.filter(F.col("benchmark_group").between(0, cfg.groups - 1))
+    known = df.filter(F.col("benchmark_group").isNotNull())
     budgets = known.groupBy("benchmark_group").agg(exact_avg(F.col("budget_usd")).alias("__avg"))
     order = Window.orderBy("__avg", "benchmark_group")
     placed = budgets.select("benchmark_group", (F.row_number().over(order) - 1).alias("__place"))
     names = inline_rows(df.sparkSession, list(enumerate(GROUP_LABELS)), "__place int, benchmark_label string")
     lookup = placed.join(F.broadcast(names), "__place", "left").drop("__place")
-    labelled = join_null_safe(df, F.broadcast(lookup), ["benchmark_group"], "left")
+    labelled = join_null_safe(df, lookup, ["benchmark_group"], "left")
     plain = F.concat(F.lit("Group "), F.col("benchmark_group").cast("string"))
     return labelled.withColumn("benchmark_label", F.coalesce("benchmark_label", plain))
 

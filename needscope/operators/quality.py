@@ -66,14 +66,22 @@ def duplicate_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows")).filter("n_rows > 1")
 
 
+def _whole(df: DataFrame, columns: Sequence[str]) -> Column:
+    """True on rows whose columns all hold a value: neither null nor NaN."""
+    kinds = dict(df.dtypes)
+    whole = F.lit(True)
+    for name in columns:
+        whole = whole & F.col(name).isNotNull()
+        if kinds[name] in ("double", "float"):
+            whole = whole & ~F.isnan(name)
+    return whole
+
+
 def drop_null_features(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    return df.dropna(subset=list(columns))
+    return df.filter(_whole(df, columns))
 
 
 def dropped_report(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Rows before and after ``drop_null_features``, counted in one pass."""
-    whole = F.lit(True)
-    for name in columns:
-        whole = whole & F.col(name).isNotNull()
-    counts = df.agg(F.count(F.lit(1)).alias("n_rows"), count_where(whole).alias("n_kept"))
+    counts = df.agg(F.count(F.lit(1)).alias("n_rows"), count_where(_whole(df, columns)).alias("n_kept"))
     return counts.withColumn("n_dropped", F.col("n_rows") - F.col("n_kept"))

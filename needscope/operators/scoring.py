@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from needscope.config import Config
-from needscope.functions.numbers import EXACT, exact_avg
+from needscope.functions.numbers import EXACT, exact_avg, exact_stddev
 from needscope.functions.projects import add_outlier_columns
 
 
@@ -103,7 +103,7 @@ def sector_stats(df: DataFrame, value: str = "ben_per_1000_usd", by: Sequence[st
     """Mean and sample deviation per sector, three places."""
     return df.groupBy(*by).agg(
         F.round(exact_avg(F.col(value)), 3).alias("cluster_avg_ben_ratio"),
-        F.round(F.stddev_samp(value), 3).alias("cluster_std_ben_ratio"),
+        F.round(exact_stddev(F.col(value)), 3).alias("cluster_std_ben_ratio"),
     )
 
 

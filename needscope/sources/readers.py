@@ -22,10 +22,15 @@ def is_utf8(spark: SparkSession, path: str) -> bool:
 
 
 def scan_csv(
-    spark: SparkSession, path: str, schema: T.StructType, encoding: str = "auto", corrupt: str | None = None
+    spark: SparkSession, path: str, schema: T.StructType, encoding: str = "auto", corrupt: str | None = None,
+    multi_line: bool = False,
 ) -> DataFrame:
     """A headed CSV file or folder with a declared schema, no inference pass.
 
+    Columns are taken by the header's names, in any order; a column that the
+    file lacks is null, others are left out. Without ``corrupt``, a folder
+    whose files disagree on the header is an error. ``multi_line`` keeps quoted
+    line breaks together; such files can't be split.
     ``auto`` takes UTF-8 and falls back to Latin-1 for the whole input.
     Values that do not fit the schema become null; name a ``corrupt`` column
     to keep the raw text of such rows.
@@ -33,10 +38,18 @@ def scan_csv(
     if encoding == "auto":
         encoding = "UTF-8" if is_utf8(spark, path) else "ISO-8859-1"
     reader = spark.read.option("header", True).option("encoding", encoding).option("mode", "PERMISSIVE")
+    reader = reader.option("multiLine", multi_line)
+    header = reader.csv(path).columns
+    kinds = {field.name: field for field in schema.fields}
+    fields = [kinds.get(name, T.StructField(name, T.StringType())) for name in header]
     if corrupt:
-        schema = T.StructType([*schema.fields, T.StructField(corrupt, T.StringType())])
+        fields.append(T.StructField(corrupt, T.StringType()))
         reader = reader.option("columnNameOfCorruptRecord", corrupt)
-    return reader.schema(schema).csv(path)
+    else:
+        reader = reader.option("enforceSchema", False)
+    rows = reader.schema(T.StructType(fields)).csv(path)
+    wanted = [F.col(f"`{f.name}`") if f.name in header else F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields]
+    return rows.select(*wanted, *([corrupt] if corrupt else []))
 
 
 def normalise_name(name: str) -> str:

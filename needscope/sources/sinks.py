@@ -10,17 +10,21 @@ from pyspark.sql import functions as F
 
 def ensure_database(spark: SparkSession, name: str, location: str | None = None) -> None:
     """Create the database if it is missing and make it current."""
-    at = f" LOCATION '{location}'" if location else ""
-    spark.sql(f"CREATE DATABASE IF NOT EXISTS `{name}`{at}")
-    spark.catalog.setCurrentDatabase(name)
+    quoted = "`" + name.replace("`", "``") + "`"
+    if location:
+        spark.sql(f"CREATE DATABASE IF NOT EXISTS {quoted} LOCATION :at", args={"at": location})
+    else:
+        spark.sql(f"CREATE DATABASE IF NOT EXISTS {quoted}")
+    spark.sql(f"USE {quoted}")
 
 
 def save_table(
     df: DataFrame, name: str, partition_by: Sequence[str] = (), path: str | None = None
 ) -> None:
-    """Replace a managed table, its schema included.
+    """Replace a table, its schema included.
 
-    With ``path`` the files lie outside the warehouse folder.
+    Without ``path`` it is a managed table in the warehouse folder; with
+    ``path`` it is an external one.
     """
     writer = df.write.format("parquet").mode("overwrite")
     if partition_by:

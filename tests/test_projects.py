@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from needscope.config import Config
 from needscope.functions import projects as columns
 from needscope.functions.projects import add_project_metrics, efficiency_vs_cluster
-from needscope.operators import charts, clustering, comparables, outliers, scoring
+from needscope.operators import charts, clustering, comparables, outliers, quality, scoring
 from needscope.plans import medallion
 from needscope.sources.scratch import settle
 from tests import golden
@@ -184,3 +184,18 @@ def test_single_lookup_agrees_with_all(spark):
         assert comparables.benchmark_report(bench, code).count() == 1
     assert comparables.comparables_for(bench, "unknown").count() == 0
     assert comparables.benchmark_report(bench, "unknown").count() == 0
+
+
+def test_deviation_is_the_same_in_any_row_order(spark):
+    rows = [(i, "a", 0.1 * i * i + 1 / (i + 1)) for i in range(3000)]
+    df = spark.createDataFrame(rows, "id long, cluster string, ben_per_1000_usd double")
+    found = set()
+    for parts in (1, 3, 7, 16):
+        found.add(scoring.sector_stats(df.repartition(parts, "id")).first()["cluster_std_ben_ratio"])
+    assert len(found) == 1
+
+
+def test_nan_rows_are_dropped_and_reported(spark):
+    df = spark.createDataFrame([(1.0,), (float("nan"),), (None,)], "x double")
+    assert quality.drop_null_features(df, ["x"]).count() == 1
+    assert tuple(quality.dropped_report(df, ["x"]).first()) == (3, 1, 2)

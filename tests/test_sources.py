@@ -1,5 +1,6 @@
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from needscope import schemas
 from needscope.plans import medallion
@@ -88,3 +89,10 @@ def test_all_tables_end_to_end(spark, tmp_path):
     }
     assert tables["silver_allocations"].count() == 29 and tables["gold_benchmarks"].count() == 90
     assert tables["gold_rankings"].orderBy("global_overlook_rank").first().iso3 == "SDN"
+
+
+def test_csv_columns_are_taken_by_name(spark, tmp_path):
+    file = tmp_path / "any-order.csv"
+    file.write_text('n,other,name\n7,x,"Su\ndan"\n8,y,Mali\n')
+    found = readers.scan_csv(spark, str(file), T.StructType.fromDDL("name string, n int, missing double"), multi_line=True)
+    assert sorted(map(tuple, found.collect())) == [("Mali", 8, None), ("Su\ndan", 7, None)]
