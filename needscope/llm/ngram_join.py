@@ -17,8 +17,8 @@ each set in which its prefix can lie.
 
 Lists of at most ``SMALL`` documents are paired in full. The documents of
 longer lists first try the leader that meets most others; lists that then
-still hold several components are compared block against block, so that no
-row stands for a pair. Equal shingle sets are one node throughout.
+still hold several components are merged where they hold much the same
+documents, and compared block against block, so that no row stands for a pair. Equal shingle sets are one node throughout.
 """
 
 from __future__ import annotations
@@ -317,10 +317,7 @@ def _links(lists: DataFrame, signs: DataFrame, rows: DataFrame, n: int, percent:
     if entries.isEmpty():
         return links
     parts = settle(_mixed(entries, components(links)), "mixed")
-    # lists of the same documents count once
-    alike = parts.groupBy("list").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("node")).alias("members"))
-    kept = alike.groupBy("size", "members").agg(F.min("list").alias("list")).select("list")
-    return settle(links.union(_linked_in_blocks(parts.join(kept, "list"), sets, percent)), "links")
+    return settle(links.union(_linked_in_blocks(_merged(parts), sets, percent)), "links")
 
 
 def _pairs_of_short(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
@@ -373,6 +370,24 @@ def _mixed(entries: DataFrame, found: DataFrame) -> DataFrame:
     return placed.join(mixed.select("list"), "list", "left_semi")
 
 
+def _merged(parts: DataFrame) -> DataFrame:
+    """Entries in which lists of much the same documents are one list.
+
+    Near copies of one text meet in a list for each common shingle. Lists with
+    the same leader merge into the largest of them if it holds half of their
+    documents or more; others stay. Every pair of a list is still in a list.
+    """
+    leader = F.max_by("node", F.struct("central", "node"))
+    lists = settle(parts.groupBy("list").agg(F.count("*").alias("size"), leader.alias("leader")), "list-leaders")
+    largest = lists.groupBy("leader").agg(F.max_by("list", F.struct("size", "list")).alias("largest"))
+    near = lists.join(largest, "leader").select("list", "size", "largest")
+    held = parts.select(F.col("list").alias("largest"), "node")
+    shared = parts.join(near, "list").join(held, ["largest", "node"]).groupBy("list", "size", "largest").agg(F.count("*").alias("shared"))
+    into = shared.where("2 * shared >= size").select("list", "largest")
+    merged = parts.join(into, "list", "left").withColumn("list", F.coalesce("largest", "list"))
+    return merged.select("list", "node", "n", "component").distinct()
+
+
 def _linked_in_blocks(parts: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links inside lists that hold several components, without a row per pair.
 
