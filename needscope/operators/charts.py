@@ -77,22 +77,32 @@ def chart_pooled_bars(mismatches: DataFrame, cfg: Config = Config(), n: int = 12
     )
 
 
-def chart_efficiency_hist(projects: DataFrame, bins: int = 12) -> DataFrame:
-    """Equal-width bins of the normal projects of each sector, empty ones too.
+def _normal(projects: DataFrame) -> DataFrame:
+    return projects.filter(~F.col("is_efficiency_outlier")).select("cluster", "ben_per_1000_usd")
 
-    Each row finds its bin from the sector range, so only one count per
-    sector and bin is shuffled.
-    """
-    normal = projects.filter(~F.col("is_efficiency_outlier")).select("cluster", "ben_per_1000_usd")
+
+def efficiency_ranges(projects: DataFrame) -> DataFrame:
+    """Least and greatest efficiency of the normal projects of each sector."""
     value = F.col("ben_per_1000_usd")
-    ranges = normal.groupBy("cluster").agg(F.min(value).alias("lo"), F.max(value).alias("hi"))
+    ranges = _normal(projects).groupBy("cluster").agg(F.min(value).alias("lo"), F.max(value).alias("hi"))
     # a single value gets a bin range of width one around it
     flat = F.col("lo") == F.col("hi")
-    ranges = ranges.select(
+    return ranges.select(
         "cluster",
         F.when(flat, F.col("lo") - 0.5).otherwise(F.col("lo")).alias("lo"),
         F.when(flat, F.col("hi") + 0.5).otherwise(F.col("hi")).alias("hi"),
     )
+
+
+def chart_efficiency_hist(projects: DataFrame, bins: int = 12, ranges: DataFrame | None = None) -> DataFrame:
+    """Equal-width bins of the normal projects of each sector, empty ones too.
+
+    Each row finds its bin from the sector range, so only one count per
+    sector and bin is shuffled. Pass written ``efficiency_ranges`` where the
+    data is large: they are used twice, and the planner then sees their size.
+    """
+    normal, value = _normal(projects), F.col("ben_per_1000_usd")
+    ranges = efficiency_ranges(projects) if ranges is None else ranges
     position = F.floor((value - F.col("lo")) / F.nullif(F.col("hi") - F.col("lo"), F.lit(0.0)) * bins)
     filled = (
         join_null_safe(normal, ranges, ["cluster"])

@@ -8,7 +8,7 @@ from multiprocessing.pool import ThreadPool
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.ml.feature import StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -20,10 +20,10 @@ from needscope.functions.numbers import exact_avg
 from needscope.operators.quality import drop_null_features
 from needscope.operators.scoring import join_null_safe
 from needscope.sources.readers import inline_rows
+from needscope.sources.scratch import settle
 
 FEATURES = ("budget_usd", "target_beneficiaries", "ben_per_1000_usd", "funding_coverage_pct")
 CATEGORY = "cluster"
-CATEGORY_LIMIT = 100_000
 
 # Column order of the benchmark table.
 BENCHMARK_COLUMNS = (
@@ -40,23 +40,34 @@ def clean_features(df: DataFrame) -> DataFrame:
     return drop_null_features(df, [*FEATURES, CATEGORY])
 
 
-def _indexer(category: str) -> StringIndexer:
-    return StringIndexer(inputCol=category, outputCol=f"{category}_index", handleInvalid="keep")
+def category_places(df: DataFrame, category: str = CATEGORY) -> DataFrame:
+    """(category, index) as a written table: most frequent first, ties by name.
 
-
-def index_category(df: DataFrame, category: str = CATEGORY) -> DataFrame:
-    """Category to index: most frequent first, ties by name.
-
-    The fitted labels live on the driver, so their number is checked first.
+    The distinct values are sorted into ranges and numbered range by range, so
+    any number of them is fine. Null has no place.
     """
-    _check_categories(df, category)
-    return _indexer(category).fit(df.select(category)).transform(df)
-
-
-def _check_categories(df: DataFrame, category: str) -> None:
-    seen = df.select(category).distinct().limit(CATEGORY_LIMIT + 1).count()
-    if seen > CATEGORY_LIMIT:
-        raise ValueError(f"{category} has more than {CATEGORY_LIMIT} values; it is no category")
+    known = df.filter(F.col(category).isNotNull())
+    counts = known.groupBy(category).agg(F.count(F.lit(1)).alias("__n"))
+    ranged = counts.repartitionByRange(F.desc("__n"), F.col(category))
+    ranged = settle(ranged.withColumn("__range", F.spark_partition_id()), "categories")
+    sizes = ranged.groupBy("__range").agg(F.count(F.lit(1)).alias("__size"))
+    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("__range", F.coalesce(F.sum("__size").over(before), F.lit(0)).alias("__start"))
+    inside = F.row_number().over(Window.partitionBy("__range").orderBy(F.desc("__n"), category))
+    place = (F.col("__start") + inside - 1).cast("double")
+    return settle(ranged.join(starts, "__range").select(category, place.alias(f"{category}_index")), "category-index")
+
+
+def index_category(df: DataFrame, category: str = CATEGORY, places: DataFrame | None = None) -> DataFrame:
+    """Adds ``<category>_index``; null and values without a place get the next number.
+
+    Give the ``places`` a model was fitted with to index other rows alike.
+    """
+    places = category_places(df, category) if places is None else places
+    index = f"{category}_index"
+    extra = places.agg(F.count(F.lit(1)).cast("double")).scalar()
+    joined = df.join(places, category, "left")
+    return joined.select(*df.columns, F.coalesce(F.col(index), extra).alias(index))
 
 
 def assemble_features(df: DataFrame, features: Sequence[str]) -> DataFrame:
@@ -92,26 +103,37 @@ def _kmeans(k: int, cfg: Config) -> KMeans:
 def fit_groups(
     df: DataFrame, features: Sequence[str] = FEATURES, category: str = CATEGORY, cfg: Config = Config()
 ) -> PipelineModel:
-    """Index, assemble, scale, cluster. Only the feature columns are read."""
-    _check_categories(df, category)
+    """Assemble, scale, cluster rows of ``index_category``; best given as a written table."""
     columns = [*features, f"{category}_index"]
     stages = [
-        _indexer(category),
         VectorAssembler(inputCols=columns, outputCol="raw_features", handleInvalid="keep"),
         _scaler(),
         _kmeans(cfg.groups, cfg),
     ]
-    return Pipeline(stages=stages).fit(df.select(*features, category))
+    return Pipeline(stages=stages).fit(df.select(*columns))
 
 
 def assign_groups(model: PipelineModel, df: DataFrame) -> DataFrame:
     return model.transform(df)
 
 
+def in_nearest_group(df: DataFrame, model: PipelineModel) -> DataFrame:
+    """Adds ``in_nearest_group``: whether no centre is nearer than that of the own group."""
+    value = vector_to_array("features")
+    apart = [
+        sum(((value[i] - F.lit(float(at))) ** 2 for i, at in enumerate(centre)), F.lit(0.0))
+        for centre in model.stages[-1].clusterCenters()
+    ]
+    own = F.get(F.array(*apart), F.col("benchmark_group"))
+    nearest = F.coalesce(own <= F.least(*apart) + 1e-9, F.lit(False)) if len(apart) > 1 else own.isNotNull()
+    return df.withColumn("in_nearest_group", nearest)
+
+
 def quality(df: DataFrame, cfg: Config = Config()) -> DataFrame:
-    """Silhouette of assigned groups with a verdict."""
-    score = _silhouette(df)
-    verdict = F.when(F.col("silhouette") > 0.5, "good").when(F.col("silhouette") > 0.3, "acceptable").otherwise("weak")
+    """Silhouette of assigned groups with a verdict; null for a single group."""
+    score = None if df.select("benchmark_group").distinct().limit(2).count() < 2 else _silhouette(df)
+    verdict = F.when(F.col("silhouette") > 0.5, "good").when(F.col("silhouette") > 0.3, "acceptable")
+    verdict = verdict.when(F.col("silhouette").isNull(), "single group").otherwise("weak")
     return inline_rows(df.sparkSession, [(score,)], "silhouette double").withColumn("verdict", verdict)
 
 
@@ -123,25 +145,30 @@ def _silhouette(df: DataFrame) -> float:
 
 
 def sweep(df: DataFrame, ks: Sequence[int], cfg: Config = Config(), parallelism: int = 3) -> DataFrame:
-    """Silhouette and group sizes per k over one cached scaled frame.
+    """Projects, silhouette and group sizes per k over one written scaled table.
+
+    The silhouette is null where fewer than two groups hold rows.
 
     Fits run side by side, so executors that wait for the end of one
     iteration work on another fit. Only per-k figures reach the driver.
     """
-    scaled = scale_features(index_category(df), [*FEATURES, f"{CATEGORY}_index"]).select("features").persist()
+    indexed = settle(index_category(df.select(*FEATURES, CATEGORY)), "indexed")
+    scaled = settle(scale_features(indexed, [*FEATURES, f"{CATEGORY}_index"]).select("features"), "scaled").persist()
 
-    def measure(k: int) -> tuple[int, float, int, int]:
+    def measure(k: int) -> tuple[int, int, float | None, int, int]:
         model = _kmeans(k, cfg).fit(scaled)
         sizes = model.summary.clusterSizes
-        return k, _silhouette(model.transform(scaled)), min(sizes), max(sizes)
+        score = _silhouette(model.transform(scaled)) if sum(size > 0 for size in sizes) > 1 else None
+        return k, sum(sizes), score, min(sizes), max(sizes)
 
     try:
         with ThreadPool(parallelism) as pool:
             rows = pool.map(inheritable_thread_target(measure), ks)
     finally:
         scaled.unpersist()
-    found = inline_rows(df.sparkSession, rows, "k int, silhouette double, min_size bigint, max_size bigint")
-    best = max(rows, key=lambda row: (row[1], -row[0]))[0]
+    schema = "k int, n_projects bigint, silhouette double, min_size bigint, max_size bigint"
+    found = inline_rows(df.sparkSession, rows, schema)
+    best = max(rows, key=lambda row: (row[2] is not None, row[2] or 0.0, -row[0]))[0]
     return found.withColumn("is_best", F.col("k") == best)
 
 

@@ -7,6 +7,7 @@ the weighted differences in efficiency, coverage and log budget.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -22,9 +23,12 @@ PLACE = (*BLOCK, *AXES)
 
 Settle = Callable[[DataFrame, str], DataFrame]
 
-# Distances are compared after rounding to three places, so a candidate can
-# tie with the n-th one although it is up to 0.001 farther.
-SLACK = 0.001001
+# Order compares distances after rounding to nine places, where engines agree;
+# the shown figure has three. A candidate can tie with the n-th one although it
+# is up to 1e-9 farther, and far coordinates carry rounding errors of their own.
+PLACES = 9
+SLACK = 1.1e-9
+ROUNDING = 4e-15
 
 
 MEASURES = ("ben_per_1000_usd", "funding_coverage_pct", "log_budget")
@@ -64,18 +68,20 @@ def comparables_of(benchmarks: DataFrame, target: DataFrame, n: int | None = Non
     one = _prefixed(_with_log(target.limit(1)), "t_", "project_code", *BLOCK, *MEASURES)
     same = (F.col("benchmark_group") == F.col("t_benchmark_group")) & (F.col("cluster") == F.col("t_cluster"))
     others = _with_log(benchmarks).join(F.broadcast(one), same).filter("project_code != t_project_code")
+    apart = distance("t_", cfg)
     return (
-        others.select(
+        others.withColumn("__order", F.round(apart, PLACES))
+        .orderBy("__order", "project_code")
+        .limit(cfg.neighbours if n is None else n)
+        .select(
             "project_code", "country", "cluster",
             F.round(F.col("budget_usd") / 1_000_000, 2).alias("budget_musd"),
             "target_beneficiaries",
             F.round("ben_per_1000_usd", 1).alias("efficiency"),
             F.round("funding_coverage_pct", 1).alias("coverage_pct"),
             F.col("outlier_classification").alias("status"),
-            F.round(distance("t_", cfg), 3).alias("similarity_distance"),
+            F.round(apart, 3).alias("similarity_distance"),
         )
-        .orderBy("similarity_distance", "project_code")
-        .limit(cfg.neighbours if n is None else n)
     )
 
 
@@ -113,6 +119,9 @@ def comparables_all(
     with the nearest ``n`` of every project: exact, and without pairing all
     projects of a block.
 
+    Order goes by the distance to nine places, then by code; the shown distance
+    has three.
+
     1. Projects with equal figures are one *place* that keeps its first n + 1
        codes; no project can need more of them.
     2. Crowded blocks are split at quantiles until no cell holds more than
@@ -139,7 +148,7 @@ def comparables_all(
         "project_code",
         (F.col("pos") + 1).alias("comparable_rank"),
         F.col("found.code").alias("comparable_code"),
-        F.col("found.dist").alias("similarity_distance"),
+        F.round("found.dist", 3).alias("similarity_distance"),
     )
 
 
@@ -176,17 +185,19 @@ def _split_cells(places: DataFrame, settle: Settle, most: int) -> tuple[DataFram
 
     Places are distinct, so some coordinate always separates two of them and
     the loop ends. One round divides a cell by about eight: ten rounds reach
-    a billion cells. Only the question whether a crowded cell is left comes
-    back to the driver.
+    a billion cells. A round counts and rewrites only what the round before
+    split. Only the question whether a crowded cell is left comes back to the
+    driver.
     """
     splits: list[DataFrame] = []
+    finished: list[DataFrame] = []
     while True:
         crowded = settle(_cuts(places, most), "splits")
         if crowded.isEmpty():
-            return places, splits
+            return reduce(DataFrame.unionByName, finished, places), splits
         splits.append(crowded.select(*CELL, "axis", "cuts"))
-        joined = places.join(crowded, list(CELL), "left")
-        was_split = F.col("cuts").isNotNull()
+        finished.append(places.join(crowded.select(*CELL), list(CELL), "left_anti").select(*places.columns))
+        joined = places.join(crowded, list(CELL))
         far = sum(
             (F.greatest(F.col(x) - F.col(f"{x}_lo"), F.col(f"{x}_hi") - F.col(x)) for x in SEARCH), F.lit(0.0)
         )
@@ -194,8 +205,8 @@ def _split_cells(places: DataFrame, settle: Settle, most: int) -> tuple[DataFram
             joined.withColumns(
                 {
                     # every place of the cell before the split is this near
-                    "reach": F.when(was_split, far).otherwise(F.col("reach")),
-                    "cell": F.when(was_split, _child(_slot(_on_axis(), F.lit(0.0)))).otherwise(F.col("cell")),
+                    "reach": far,
+                    "cell": _child(_slot(_on_axis(), F.lit(0.0))),
                 }
             ).select(*places.columns),
             "places",
@@ -285,7 +296,8 @@ def _with_reach(places: DataFrame, n: int) -> DataFrame:
 
 def _visits(seekers: DataFrame, places: DataFrame, splits: list[DataFrame]) -> DataFrame:
     """One row per place and cell that its reach touches."""
-    reach = F.col("reach") + SLACK
+    error = sum((F.abs(x) for x in SEARCH), F.col("reach")) * ROUNDING
+    reach = F.col("reach") + SLACK + error
     visits = seekers.withColumns({"cell": F.lit("c"), "reach": reach}).drop("n_codes")
     for split in splits:
         joined = visits.join(split, list(CELL), "left")
@@ -303,16 +315,20 @@ def _visits(seekers: DataFrame, places: DataFrame, splits: list[DataFrame]) -> D
     return visits.join(boxes, list(CELL)).filter(away <= F.col("reach")).select(*visits.columns)
 
 
+def _pairs_in_reach(visits: DataFrame, hosts: DataFrame, cfg: Config) -> DataFrame:
+    lists = hosts.select(*CELL, *[F.col(name).alias(f"h_{name}") for name in MEASURES], "codes")
+    pairs = visits.join(lists, list(CELL))
+    return pairs.withColumn("dist", distance("h_", cfg)).filter(F.col("dist") <= F.col("reach"))
+
+
 def _nearest_codes(visits: DataFrame, hosts: DataFrame, n: int, cfg: Config) -> DataFrame:
     """Per place the first n + 1 codes by rounded distance, then by code.
 
     The place number stands for the five key columns, so ranking and
     collecting share one shuffle.
     """
-    lists = hosts.select(*CELL, *[F.col(name).alias(f"h_{name}") for name in MEASURES], "codes")
-    pairs = visits.join(lists, list(CELL))
-    near = pairs.withColumn("dist", distance("h_", cfg)).filter(F.col("dist") <= F.col("reach"))
-    found = near.select("place_id", *PLACE, F.round("dist", 3).alias("dist"), F.explode("codes").alias("code"))
+    near = _pairs_in_reach(visits, hosts, cfg)
+    found = near.select("place_id", *PLACE, F.round("dist", PLACES).alias("dist"), F.explode("codes").alias("code"))
     order = Window.partitionBy("place_id").orderBy("dist", "code")
     first = found.withColumn("__k", F.row_number().over(order)).filter(F.col("__k") <= n + 1)
     return first.groupBy("place_id").agg(

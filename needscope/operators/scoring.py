@@ -23,33 +23,43 @@ def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
 
 
 def min_max_score(
-    df: DataFrame, value: str, out: str, lo: float = 0, hi: float = 100, by: Sequence[str] = ()
+    df: DataFrame, value: str, out: str, lo: float = 0, hi: float = 100, by: Sequence[str] = (),
+    bounds: DataFrame | None = None,
 ) -> DataFrame:
     """Rescale ``value`` to [lo, hi], two places; equal values all get ``lo``.
 
     The bounds are one aggregate. Over the whole table they come back as a
     scalar subquery, so no row is joined; with ``by`` they join on the keys.
+    Pass written ``score_bounds`` where the data is large.
     """
-    bounds = F.struct(F.min(value).alias("least"), F.max(value).alias("most"))
     if by:
-        df = join_null_safe(df, df.groupBy(*by).agg(bounds.alias("__range")), by, "left")
+        df = join_null_safe(df, score_bounds(df, value, by) if bounds is None else bounds, by, "left")
     else:
-        df = df.withColumn("__range", df.agg(bounds.alias("range")).scalar())
+        df = df.withColumn("__range", df.agg(_range_of(value)).scalar())
     least, most = F.col("__range.least"), F.col("__range.most")
     share = (F.col(value) - least) / F.nullif(most - least, F.lit(0.0))
     level = F.when(F.col(value).isNotNull(), F.coalesce(share, F.lit(0.0)))
     return df.withColumn(out, F.round(level * (hi - lo) + lo, 2)).drop("__range")
 
 
-def rank_table(df: DataFrame, score: str, out: str, by: Sequence[str] = (), bounded: bool = True) -> DataFrame:
+def score_bounds(df: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
+    """Least and greatest value per group."""
+    return df.groupBy(*by).agg(_range_of(value).alias("__range"))
+
+
+def _range_of(value: str) -> Column:
+    return F.struct(F.min(value).alias("least"), F.max(value).alias("most"))
+
+
+def rank_table(df: DataFrame, score: str, out: str, by: Sequence[str] = (), bounded: bool = False) -> DataFrame:
     """(by..., score, rank): one row per distinct score.
 
     ``rank()`` over all rows would put them through one task, and over a
     region all rows of the region. Rows are first counted per distinct score,
-    combined before the shuffle. A two-place score from 0 to 100 leaves at
-    most 10,001 values and null per group, and the window runs over those.
-    ``bounded=False`` is for any other score: the distinct values are cut
-    into ranges at quantiles and ranked range by range.
+    combined before the shuffle. The distinct values are cut into ranges at
+    quantiles and ranked range by range. ``bounded=True`` is for scores with
+    few values: a two-place score from 0 to 100 leaves at most 10,001 values
+    and null per group, and one window runs over those.
     """
     counts = df.groupBy(*by, score).agg(F.count(F.lit(1)).alias("__n"))
     if bounded:

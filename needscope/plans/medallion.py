@@ -25,7 +25,7 @@ def scored_needs(needs: DataFrame, cfg: Config = Config()) -> DataFrame:
 
 def global_ranks(needs: DataFrame, cfg: Config = Config()) -> DataFrame:
     """Rank per distinct score as a written table of known size."""
-    return settle(scoring.rank_table(scored_needs(needs, cfg), "overlook_score", "global_overlook_rank"), "ranks")
+    return settle(scoring.rank_table(scored_needs(needs, cfg), "overlook_score", "global_overlook_rank", bounded=True), "ranks")
 
 
 def silver_funding(needs: DataFrame, cfg: Config = Config(), ranks: DataFrame | None = None) -> DataFrame:
@@ -47,14 +47,15 @@ def project_stats(projects: DataFrame, cfg: Config = Config()) -> DataFrame:
 
 
 def regional_ranks(silver: DataFrame) -> DataFrame:
-    return settle(scoring.rank_table(silver, "overlook_score", "regional_overlook_rank", ["region"]), "regional-ranks")
+    ranks = scoring.rank_table(silver, "overlook_score", "regional_overlook_rank", ["region"], bounded=True)
+    return settle(ranks, "regional-ranks")
 
 
 def gold_benchmarks(projects: DataFrame, cfg: Config = Config()) -> DataFrame:
     """Projects with KMeans group and label."""
-    clean = clustering.clean_features(projects)
-    model = clustering.fit_groups(clean, cfg=cfg)
-    grouped = clustering.assign_groups(model, clean)
+    indexed = settle(clustering.index_category(clustering.clean_features(projects)), "indexed")
+    model = clustering.fit_groups(indexed, cfg=cfg)
+    grouped = settle(clustering.assign_groups(model, indexed), "grouped")
     return clustering.benchmarks(clustering.label_groups(grouped, cfg))
 
 

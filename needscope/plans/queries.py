@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
@@ -212,7 +213,7 @@ def overlook_score(s: Store) -> DataFrame:
 @query
 def regional_overlook_score(s: Store) -> DataFrame:
     """The same normalisation inside each region."""
-    return scoring.min_max_score(s.metrics, "overlook_score_raw", "regional_score", by=["region"]).select(
+    return scoring.min_max_score(s.metrics, "overlook_score_raw", "regional_score", by=["region"], bounds=s.regional_bounds).select(
         "iso3", "region", "regional_score"
     )
 
@@ -233,7 +234,7 @@ for _build in projects.PROJECT_LEVELS[0]:
 
 
 def _scored(s: Store) -> DataFrame:
-    return scoring.zscore(s.project_metrics, s.cfg)
+    return scoring.zscore(s.project_metrics, s.cfg, stats=s.sector_stats)
 
 
 for _name in (
@@ -260,12 +261,12 @@ def outlier_count_share_by_cluster(s: Store) -> DataFrame:
 
 @query
 def outlier_report(s: Store) -> DataFrame:
-    return outliers.outlier_report(s.silver_projects)
+    return outliers.outlier_report(s.fixed_benchmarks)
 
 
 @query
 def outlier_direction_split(s: Store) -> DataFrame:
-    return outliers.outlier_direction_split(s.silver_projects)
+    return outliers.outlier_direction_split(s.fixed_benchmarks)
 
 
 # ---- allocations ----
@@ -305,13 +306,13 @@ def allocations_by_country(s: Store) -> DataFrame:
 @query
 def global_overlook_rank(s: Store) -> DataFrame:
     scores = s.silver_funding.select("iso3", "overlook_score")
-    return scoring.global_rank(scores, "overlook_score", "global_overlook_rank")
+    return scoring.global_rank(scores, "overlook_score", "global_overlook_rank", s.global_ranks)
 
 
 @query
 def regional_overlook_rank(s: Store) -> DataFrame:
     scores = s.silver_funding.select("iso3", "region", "overlook_score")
-    return scoring.rank_within(scores, ["region"], "overlook_score", "regional_overlook_rank")
+    return scoring.rank_within(scores, ["region"], "overlook_score", "regional_overlook_rank", s.regional_ranks)
 
 
 def _ranking_column(build: funding.Builder) -> None:
@@ -408,22 +409,39 @@ def scale_features(s: Store) -> DataFrame:
 
 @query
 def kmeans_groups(s: Store) -> DataFrame:
-    return s.clustered.select("project_code", "benchmark_group")
+    """Whether each project is in the group whose centre is nearest; ids are arbitrary."""
+    return clustering.in_nearest_group(s.clustered, s.group_model).select("project_code", "in_nearest_group")
 
 
 @query
 def silhouette(s: Store) -> DataFrame:
-    return clustering.quality(s.clustered, s.cfg)
+    """Of the fixed budget groups, which SQL can form too."""
+    scaled = clustering.scale_features(s.fixed_benchmarks, clustering.FEATURES)
+    return clustering.quality(scaled, s.cfg).withColumn("silhouette", F.round("silhouette", 6))
 
 
 @query
 def kmeans_sweep(s: Store) -> DataFrame:
-    return clustering.sweep(clustering.clean_features(s.silver_projects), range(4, 10), s.cfg)
+    """What holds for any fit: all projects in a group, figures within bounds, one best k."""
+    found = clustering.sweep(clustering.clean_features(s.silver_projects), range(4, 10), s.cfg)
+    k, n = F.col("k"), F.col("n_projects")
+    return found.select(
+        "k", "n_projects",
+        F.col("silhouette").between(-1, 1).alias("silhouette_in_bounds"),
+        ((F.col("min_size") * k <= n) & (F.col("max_size") * k >= n)).alias("sizes_in_bounds"),
+        found.agg(F.count_if("is_best")).scalar().alias("n_best"),
+    )
 
 
 @query
 def gold_benchmarks(s: Store) -> DataFrame:
-    return clustering.benchmarks(clustering.label_groups(s.clustered, s.cfg))
+    """The benchmark table; of the fitted group only that it is there, its id is arbitrary."""
+    table = clustering.benchmarks(clustering.label_groups(s.clustered, s.cfg))
+    return table.select(
+        *[name for name in table.columns if name not in ("benchmark_group", "benchmark_label")],
+        F.col("benchmark_group").isNotNull().alias("has_group"),
+        F.col("benchmark_label").isNotNull().alias("has_label"),
+    )
 
 
 @query
@@ -462,6 +480,12 @@ def comparables_all(s: Store) -> DataFrame:
     return comparables.comparables_all(s.fixed_benchmarks, settle, cfg=s.cfg)
 
 
+@query
+def comparables_all_split(s: Store) -> DataFrame:
+    """The same over small cells, so that blocks are split in several rounds."""
+    return comparables.comparables_all(s.fixed_benchmarks, settle, cfg=replace(s.cfg, leaf_rows=16))
+
+
 @query
 def efficiency_vs_cluster(s: Store) -> DataFrame:
     return projects.efficiency_vs_cluster(s.silver_projects, s.cfg).select(
@@ -550,7 +574,7 @@ def chart_pooled_bars(s: Store) -> DataFrame:
 
 @query
 def chart_efficiency_hist(s: Store) -> DataFrame:
-    return charts.chart_efficiency_hist(s.silver_projects)
+    return charts.chart_efficiency_hist(s.silver_projects, ranges=s.efficiency_ranges)
 
 
 @query

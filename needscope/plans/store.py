@@ -8,12 +8,13 @@ from __future__ import annotations
 
 from functools import cached_property
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 
 from needscope.config import Config
 from needscope.functions.funding import add_funding_metrics
 from needscope.functions.projects import add_project_metrics
-from needscope.operators import clustering, rollups
+from needscope.operators import charts, clustering, rollups, scoring
 from needscope.plans import medallion
 from needscope.sources import star
 from needscope.sources.readers import scan
@@ -59,17 +60,37 @@ class Store:
     def project_metrics(self) -> DataFrame:
         return add_project_metrics(self.projects, self.cfg)
 
+    # small tables that large ones are joined with, written so that the planner knows their size
+
+    @cached_property
+    def global_ranks(self) -> DataFrame:
+        return medallion.global_ranks(self.needs, self.cfg)
+
+    @cached_property
+    def regional_ranks(self) -> DataFrame:
+        return medallion.regional_ranks(self.silver_funding)
+
+    @cached_property
+    def regional_bounds(self) -> DataFrame:
+        return settle(scoring.score_bounds(self.metrics, "overlook_score_raw", ["region"]), "regional-bounds")
+
+    @cached_property
+    def sector_stats(self) -> DataFrame:
+        return medallion.project_stats(self.projects, self.cfg)
+
+    @cached_property
+    def efficiency_ranges(self) -> DataFrame:
+        return settle(charts.efficiency_ranges(self.silver_projects), "efficiency-ranges")
+
     # enriched, written
 
     @cached_property
     def silver_funding(self) -> DataFrame:
-        ranks = medallion.global_ranks(self.needs, self.cfg)
-        return settle(medallion.silver_funding(self.needs, self.cfg, ranks), "silver-funding")
+        return settle(medallion.silver_funding(self.needs, self.cfg, self.global_ranks), "silver-funding")
 
     @cached_property
     def silver_projects(self) -> DataFrame:
-        stats = medallion.project_stats(self.projects, self.cfg)
-        return settle(medallion.silver_projects(self.projects, self.cfg, stats), "silver-projects")
+        return settle(medallion.silver_projects(self.projects, self.cfg, self.sector_stats), "silver-projects")
 
     @cached_property
     def silver_allocations(self) -> DataFrame:
@@ -80,8 +101,7 @@ class Store:
 
     @cached_property
     def rankings(self) -> DataFrame:
-        ranks = medallion.regional_ranks(self.silver_funding)
-        return settle(rollups.rankings(self.silver_funding, self.cfg, ranks), "rankings")
+        return settle(rollups.rankings(self.silver_funding, self.cfg, self.regional_ranks), "rankings")
 
     @property
     def mismatch(self) -> DataFrame:
@@ -96,8 +116,15 @@ class Store:
     @cached_property
     def clustered(self) -> DataFrame:
         """Projects with KMeans group, scaled features kept for evaluation."""
-        clean = clustering.clean_features(self.silver_projects)
-        return clustering.assign_groups(clustering.fit_groups(clean, cfg=self.cfg), clean)
+        return settle(clustering.assign_groups(self.group_model, self.indexed_projects), "clustered")
+
+    @cached_property
+    def indexed_projects(self) -> DataFrame:
+        return settle(clustering.index_category(clustering.clean_features(self.silver_projects)), "indexed")
+
+    @cached_property
+    def group_model(self) -> PipelineModel:
+        return clustering.fit_groups(self.indexed_projects, cfg=self.cfg)
 
     TABLES = (
         "entity_lines", "needs", "projects", "allocations", "silver_funding", "silver_projects",

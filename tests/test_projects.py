@@ -91,12 +91,18 @@ def test_kmeans_end_to_end(spark):
     )
     budgets = [r.avg_budget_musd for r in by_label.collect()]
     assert budgets == sorted(budgets)
-    model = clustering.fit_groups(silver)
-    assigned = clustering.assign_groups(model, silver)
+    places = clustering.category_places(silver)
+    indexed = clustering.index_category(silver, places=places)
+    model = clustering.fit_groups(indexed)
+    assigned = clustering.assign_groups(model, indexed)
+    assert clustering.in_nearest_group(assigned, model).filter("not in_nearest_group").isEmpty()
     row = clustering.quality(assigned).first()
     assert -1 <= row.silhouette <= 1 and row.verdict in ("good", "acceptable", "weak")
-    unseen = silver.limit(3).withColumn("cluster", F.lit("never seen"))
+    unseen = clustering.index_category(silver.limit(3).withColumn("cluster", F.lit("never seen")), places=places)
+    assert {r.cluster_index for r in unseen.collect()} == {2.0}
     assert clustering.assign_groups(model, unseen).count() == 3
+    single = clustering.quality(assigned.withColumn("benchmark_group", F.lit(0))).first()
+    assert single.silhouette is None and single.verdict == "single group"
 
 
 def test_sweep_names_one_best(spark):
@@ -115,10 +121,25 @@ def test_dominant_sector_and_index_ties_go_by_name(spark):
     assert index == {"A": 0.0, "B": 1.0}
 
 
-def test_unknown_group_ids_get_a_plain_label(spark):
-    df = spark.createDataFrame([(0, 10.0), (3, 5.0), (9, 1.0)], "benchmark_group int, budget_usd double")
+def test_any_number_of_categories(spark):
+    n = 120_000
+    names = F.format_string("c%06d", F.lit(n - 1) - F.col("id"))
+    df = spark.range(n).select(names.alias("cluster")).union(spark.sql("select 'c000007' union all select null"))
+    got = clustering.index_category(df)
+    wide = F.col("cluster_index").cast("long")
+    assert got.select(wide).distinct().count() == n + 1
+    # the repeated one comes first, the others by name, null last
+    number = F.substring("cluster", 2, 6).cast("long")
+    expected = F.when(number == 7, 0).when(number < 7, number + 1).when(number > 7, number).otherwise(n)
+    assert got.filter(wide != expected).isEmpty()
+
+
+def test_labels_follow_the_budget_and_then_run_out(spark):
+    """Any ids; places beyond the six texts get a plain label."""
+    df = spark.createDataFrame([(g, 100.0 - g) for g in range(1, 9)], "benchmark_group int, budget_usd double")
     labels = {r.benchmark_group: r.benchmark_label for r in clustering.label_groups(df).collect()}
-    assert labels[3].startswith("Group A") and labels[0].startswith("Group B") and labels[9] == "Group 9"
+    assert [labels[g][:7] for g in range(8, 2, -1)] == [f"Group {letter}" for letter in "ABCDEF"]
+    assert labels[2] == "Group 2" and labels[1] == "Group 1"
 
 
 # ---- comparables ----
@@ -139,11 +160,12 @@ def brute_force(bench, n):
     logs = F.abs(F.ln(F.greatest("budget_usd", F.lit(1))) - F.ln(F.greatest("o_budget_usd", F.lit(1))))
     dist = F.round(
         F.abs(F.col("ben_per_1000_usd") - F.col("o_ben_per_1000_usd")) * 0.5
-        + F.abs(F.col("funding_coverage_pct") - F.col("o_funding_coverage_pct")) * 0.3 + logs * 5, 3)
+        + F.abs(F.col("funding_coverage_pct") - F.col("o_funding_coverage_pct")) * 0.3 + logs * 5, 9)
     best: dict[str, list] = {}
-    for r in pairs.select("project_code", dist.alias("d"), F.col("o_project_code").alias("o")).collect():
-        best.setdefault(r.project_code, []).append((r.d, r.o))
-    return {code: sorted(found)[:n] for code, found in best.items()}
+    shown = F.round("d", 3).alias("shown")
+    for r in pairs.select("project_code", dist.alias("d"), F.col("o_project_code").alias("o")).select("*", shown).collect():
+        best.setdefault(r.project_code, []).append((r.d, r.o, r.shown))
+    return {code: [(shown, o) for _, o, shown in sorted(found)[:n]] for code, found in best.items()}
 
 
 def all_in_one_job(bench, n, leaf_rows):
@@ -174,6 +196,23 @@ def test_comparables_with_a_third_of_equal_projects(spark):
     assert len(expected["O'K-0001"]) == 1
 
 
+def test_a_tight_crowd_is_not_paired(spark):
+    """Budgets one dollar apart around ten billion: pairs grow with the places."""
+    cfg = Config(leaf_rows=64)
+    for n in (4_000, 16_000):
+        crowd = spark.range(n).select(
+            F.format_string("P-%06d", "id").alias("project_code"), F.lit(0).alias("benchmark_group"),
+            F.lit("Food").alias("cluster"), F.lit(1.0).alias("ben_per_1000_usd"),
+            F.lit(50.0).alias("funding_coverage_pct"), (F.col("id") + 10_000_000_000).alias("budget_usd"),
+        )
+        places = settle(comparables._places(crowd, 5, cfg), "places")
+        cells, splits = comparables._split_cells(places.drop("codes"), settle, cfg.leaf_rows)
+        assert cells.count() == n and cells.select("place_id").distinct().count() == n
+        visits = comparables._visits(comparables._with_reach(cells, 5), cells, splits)
+        hosts = cells.join(places.select("place_id", "codes"), "place_id")
+        assert comparables._pairs_in_reach(visits, hosts, cfg).count() < 50 * n
+
+
 def test_single_lookup_agrees_with_all(spark):
     rows = random_projects(7, 80, ("Food",)) + [("it's \"quoted\"", "Food", 500_000, 2_000, 100)]
     bench = benchmark_rows(spark, rows).cache()

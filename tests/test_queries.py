@@ -12,7 +12,7 @@ from needscope.plans.queries import all_queries
 
 FOLDER = os.environ.get("CHECK_SF_DIR", "/root/testdata/sf0.001")
 QUERIES, ORACLE = all_queries(), ENGINE_ORACLE
-ROWS_ONLY = {"kmeans_groups", "silhouette", "kmeans_sweep", "gold_benchmarks"}
+IN_CELLS = {"comparables_all", "comparables_all_split"}
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
 
@@ -23,8 +23,8 @@ def con():
         yield connection
 
 
-def test_only_model_queries_lack_an_oracle():
-    assert set(QUERIES) - set(ORACLE) == ROWS_ONLY and not set(ORACLE) - set(QUERIES)
+def test_every_query_has_an_oracle():
+    assert set(QUERIES) == set(ORACLE)
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE))
@@ -32,11 +32,6 @@ def test_query_equals_oracle(spark, con, name):
     assert difference(QUERIES[name](spark, FOLDER), con, ORACLE[name]) is None
 
 
-@pytest.mark.parametrize("name", sorted(ROWS_ONLY))
-def test_model_query_returns_rows(spark, name):
-    assert QUERIES[name](spark, FOLDER).count() > 0
-
-
 def test_entry_registers_every_query():
     assert set(QUERIES) <= set(entry.queries()) and set(ORACLE) <= set(entry.oracle_sql())
 
@@ -58,4 +53,22 @@ def test_no_pairing_of_all_rows(spark, name):
 def test_python_only_in_the_cell_step(spark):
     for name in sorted(set(QUERIES) - {"kmeans_sweep"}):
         found = re.findall(r"\b(\w*(?:Python|Pandas)\w*)\b", plan(QUERIES[name](spark, FOLDER)))
-        assert not found or name == "comparables_all", (name, found)
+        assert not found or name in IN_CELLS, (name, found)
+
+
+HOT_JOINS = (
+    "cluster_avg_ben_ratio", "cluster_std_ben_ratio", "ben_ratio_zscore", "is_efficiency_outlier",
+    "outlier_classification", "global_overlook_rank", "regional_overlook_rank", "regional_overlook_score",
+)
+
+
+@pytest.mark.parametrize("name", HOT_JOINS)
+def test_large_side_stays_where_it_is(spark, name):
+    """The settled small side is broadcast, though estimates of large tables are above the limit."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "30k")
+    try:
+        text = plan(QUERIES[name](spark, FOLDER))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "SortMergeJoin" not in text and "hashpartitioning" not in text
