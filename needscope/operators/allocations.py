@@ -23,14 +23,15 @@ def enrich_allocations(
 
     Both sides grow with the data, so neither is forced to be broadcast. The
     preserved left side may be skewed: adaptive execution splits it. A key
-    that ``funding`` holds twice would repeat allocations, so the job fails.
+    that ``funding`` holds twice would repeat its allocations, so the job fails
+    where an allocation meets one.
     """
     once = funding.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"), *[F.first(name).alias(name) for name in CONTEXT])
     named = F.concat_ws(" ", F.lit("several funding rows for"), *keys)
-    context = [
-        F.when(F.col("__n") > 1, F.raise_error(named)).otherwise(F.col(name)).alias(name) for name in CONTEXT
-    ]
-    return allocations.join(once.select(*keys, *context), list(keys), "left")
+    joined = allocations.join(once, list(keys), "left")
+    return joined.withColumns(
+        {name: F.when(F.col("__n") > 1, F.raise_error(named)).otherwise(F.col(name)) for name in CONTEXT}
+    ).drop("__n")
 
 
 def allocations_by(allocations: DataFrame, by: str = "country") -> DataFrame:

@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -78,6 +79,16 @@ def test_unknown_entity_keeps_its_allocation(spark):
     assert row.cbpf_per_person_in_need_usd == row.allocation_musd * 1e6
 
 
+def test_allocations_meet_their_year_once(spark):
+    silver = medallion.silver_funding(golden.needs(spark))
+    given = golden.allocations(spark)
+    later = silver.withColumns({"year": F.col("year") + 1, "overlook_score": F.lit(-1.0)})
+    both = medallion.silver_allocations(given, silver.unionByName(later))
+    assert both.count() == given.count() and both.filter("overlook_score = -1").isEmpty()
+    with pytest.raises(Exception, match="several funding rows for"):
+        medallion.silver_allocations(given, silver.unionByName(silver)).collect()
+
+
 def one_need(spark, **change):
     base = dict(required_funding_musd=100.0, funding_received_musd=50.0, people_in_need_millions=2.0,
                 cbpf_allocation_musd=1.0, severity=3)
