@@ -22,6 +22,7 @@ from needscope.llm.common import binary
 CELLS = 1 << 14  # hashed n-grams
 PER_LANGUAGE = 400  # training texts of a language
 MOST_TRAINING = 8_000  # training texts in all; with many languages each gets fewer, but 20
+PARTS = 32  # of a language, ranked apart before they meet
 LANDMARKS = 128
 RIDGE = 1e-3
 BATCH = 128
@@ -93,8 +94,12 @@ def fit_languages(docs: DataFrame, id: str = "doc_id", text: str = "text", lang:
     rows = rows.where(F.col("id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out("id"))
     languages = rows.select(F.count_distinct("lang")).first()[0]
     each = min(PER_LANGUAGE, max(20, MOST_TRAINING // max(languages, 1)))
-    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id"))
-    chosen = rows.select("id", "lang").withColumn("place", place).where(F.col("place") <= each).select("id", "lang")
+    # first within parts of a language, so that no task ranks more than PARTS * each rows of one
+    chosen = rows.select("id", "lang", F.pmod(F.xxhash64("id", "lang"), F.lit(PARTS)).alias("part"))
+    for group in (["lang", "part"], ["lang"]):
+        place = F.row_number().over(Window.partitionBy(*group).orderBy(F.xxhash64("id"), "id"))
+        chosen = chosen.withColumn("place", place).where(F.col("place") <= each).drop("place")
+    chosen = chosen.select("id", "lang")
 
     def presence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
