@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from needscope.llm.common import binary
+from needscope.sources.scratch import settle
 
 CELLS = 1 << 14  # hashed n-grams
 PER_LANGUAGE = 400  # training texts of a language
@@ -99,7 +100,8 @@ def fit_languages(docs: DataFrame, id: str = "doc_id", text: str = "text", lang:
     for group in (["lang", "part"], ["lang"]):
         place = F.row_number().over(Window.partitionBy(*group).orderBy(F.xxhash64("id"), "id"))
         chosen = chosen.withColumn("place", place).where(F.col("place") <= each).drop("place")
-    chosen = chosen.select("id", "lang")
+    # written, so that the planner sees its size and leaves the texts unshuffled
+    chosen = settle(chosen.select("id", "lang"), "training-ids")
 
     def presence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
