@@ -1,4 +1,4 @@
-"""Line dedup by a log-template tree of fixed depth.
+"""Line dedup by a log-template tree of fixed depth, and by exact lines.
 
 A line falls into a leaf by its number of words and its leading words; words
 with a digit are variable from the start. Inside a leaf, a word stays constant
@@ -8,10 +8,15 @@ template that recurs in ``least_docs`` documents, and is constant in at least
 ``constant`` of its places, is boilerplate: only the document with the
 smallest id keeps its lines.
 
-Only leaves that enough documents reach are parsed, equal lines once, and all
-counts are combined before they are shuffled, so a line that a third of all
-documents share is a single row after the first step. Equal texts count as one
-document: copies are not boilerplate.
+A line whose words are all the same, digits included, needs no such support:
+from LONG words on it recurs in ``least_exact`` documents. A shorter
+line says little by itself; it has no variable places and recurs in
+``least_docs`` documents.
+
+Only leaves and lines that enough documents reach are parsed, equal lines once,
+and all counts are combined before they are shuffled, so a line that a third of
+all documents share is a single row after the first step. Equal texts count as
+one document: copies are not boilerplate.
 """
 
 from __future__ import annotations
@@ -22,24 +27,31 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from needscope.llm.common import Membership, binary
+from needscope.llm.common import Membership, WordHashes, binary, shingle_hashes, words_of
 from needscope.sources.scratch import settle
 
 LEAD = 3  # leading words that pick the leaf
-LEAST_WORDS = 4  # shorter lines are never boilerplate
+LONG = 4  # words from which a line has a template
 _VARIABLE = re.compile(rb"[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*")
 MARK = b"<*>"
 
 
-def parse_line(line: bytes) -> tuple[int, list[bytes]] | None:
-    """(leaf, words) with variable words marked; None for short lines."""
-    words = _VARIABLE.sub(MARK, line).split()
-    if len(words) < LEAST_WORDS:
+def parse_line(line: bytes, least_words: int = LONG) -> tuple[int | None, list[bytes], int] | None:
+    """(leaf, words with variable ones marked, hash of the words as they are).
+
+    None for lines under ``least_words`` words; no leaf for lines under LONG.
+    """
+    plain = line.split()
+    if len(plain) < max(least_words, 1):
         return None
-    return _hash(b"%d " % len(words) + b" ".join(words[:LEAD])), words
+    exact = _hash(b"= " + b" ".join(plain))
+    if len(plain) < LONG:
+        return None, plain, exact
+    words = _VARIABLE.sub(MARK, line).split()
+    return _hash(b"%d " % len(words) + b" ".join(words[:LEAD])), words, exact
 
 
 def _hash(value: bytes) -> int:
@@ -51,10 +63,19 @@ def _signed(values: list[int]) -> pa.Array:
 
 
 def drop_recurring_lines(
-    docs: DataFrame, id: str = "doc_id", text: str = "text", least_docs: int = 10, constant: float = 0.5
+    docs: DataFrame, id: str = "doc_id", text: str = "text", least_docs: int = 10, constant: float = 0.5,
+    least_exact: int = 10, least_words: int = LONG, leave_similar: int | None = None,
 ) -> DataFrame:
     """``docs`` with n_lines and n_dropped added and boilerplate lines taken out of the text.
 
+    A template with variable places recurs from ``least_docs`` distinct texts
+    on, an exact line of at least LONG words from ``least_exact``, a shorter
+    one from ``least_docs``. Lines under ``least_words`` words stay; 1 leaves
+    only blank lines out. With ``leave_similar``, an exact line of fewer than
+    ``least_docs`` texts stays where the text has at least that % of 5-word
+    Jaccard similarity with the one that keeps the line, so that a later join
+    sees near copies whole.
+
     Lines end at ``\\n``. Null text stays null and has no lines; empty text is
     one empty line and stays. A document whose lines all go keeps an empty
     text. Repeated rows and equal texts count once and lose the same lines,
@@ -67,28 +88,41 @@ def drop_recurring_lines(
     plain = docs.toDF(*names)
     rows = plain.select(F.col(own[id]).cast("long").alias("id"), F.xxhash64(own[text]).alias("digest"), binary(own[text]).alias("text"))
 
-    hot = _hot_leaves(rows, least_docs)
-    lines = settle(_lines_of(rows, hot), "lines").join(hot, "leaf", "left_semi")
+    keys = _recurring_keys(rows, least_docs, least_exact, least_words)
+    lines = settle(_lines_of(rows, keys, least_words), "lines")
+    hot = lines.where("leaf is not null").join(keys.select(F.col("key").alias("leaf")), "leaf", "left_semi")
     # equal lines once; digests stand for distinct texts
-    seen = settle(lines.groupBy("leaf", "line", "digest").agg(F.min("id").alias("id")), "seen-lines")
-    distinct = settle(lines.groupBy("leaf", "line").agg(F.first("words").alias("words")), "distinct-lines")
+    seen = settle(hot.groupBy("leaf", "line", "digest").agg(F.min("id").alias("id")), "seen-lines")
+    distinct = settle(hot.groupBy("leaf", "line").agg(F.first("words").alias("words")), "distinct-lines")
     weight = seen.groupBy("line").agg(F.count("*").alias("docs"))
     templates = settle(_templates(distinct.join(weight, "line"), least_docs, constant), "templates")
     held = seen.join(templates, "line").groupBy("template", "digest").agg(F.min("id").alias("id"))
     recurring = held.groupBy("template").agg(F.count("*").alias("docs"), F.min("id").alias("first"))
     recurring = recurring.where(F.col("docs") >= least_docs)
     known = settle(templates.join(recurring, "template").select("line", "first"), "recurring-lines")
-    gone = (
-        lines.select("id", "digest", "line", "place").join(known, "line")
-        .where(~F.col("id").eqNullSafe(F.col("first")))
-        .groupBy("id", "digest").agg(F.collect_set("place").alias("gone"))
-    )
-    gone = settle(gone, "dropped-lines").select(F.col("id").alias("__id"), F.col("digest").alias("__digest"), F.col("gone").alias("__gone"))
+    not_first = ~F.col("id").eqNullSafe(F.col("first"))
+    places = hot.select("id", "digest", "line", "place").join(known, "line").where(not_first).select("id", "digest", "place")
+
+    exact = lines.select("id", "digest", "place", "exact").join(keys.select(F.col("key").alias("exact"), "docs"), "exact")
+    keeper = F.min(F.when(F.col("id").isNotNull(), F.struct("id", "digest")))
+    keepers = exact.groupBy("exact", "docs").agg(keeper.alias("keeper"))
+    keepers = settle(keepers.select("exact", "docs", F.col("keeper.id").alias("first"), F.col("keeper.digest").alias("first_digest")), "exact-lines")
+    again = exact.drop("docs").join(keepers, "exact").where(not_first)
+    if leave_similar is None:
+        places = places.unionByName(again.select("id", "digest", "place"))
+    else:
+        places = places.unionByName(again.where(F.col("docs") >= least_docs).select("id", "digest", "place"))
+        few = settle(again.where(F.col("docs") < least_docs).select("id", "digest", "place", "first", "first_digest"), "few-lines")
+        similar = _similar(rows, few.drop("place").distinct(), settle(_by_text(places), "many-dropped"), leave_similar)
+        pair = [F.col(f"few.{x}").eqNullSafe(F.col(f"similar.{x}")) for x in similar.columns]
+        few = few.alias("few").join(similar.alias("similar"), pair, "left_anti")
+        places = places.unionByName(few.select("id", "digest", "place"))
+    gone = settle(_by_text(places), "dropped-lines").select(F.col("id").alias("__id"), F.col("digest").alias("__digest"), F.col("gone").alias("__gone"))
     joined = plain.join(
         gone, F.col(own[id]).cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(own[text]) == F.col("__digest")), "left"
     )
     parts = F.split(own[text], "\n", -1)
-    left = F.array_join(F.filter(parts, lambda _, i: ~F.array_contains("__gone", i)), "\n")
+    left = _left_of(own[text], "__gone")
     joined = joined.withColumn("__new", F.when(F.col("__gone").isNull(), F.col(own[text])).otherwise(left))
     out = {name: F.col(own[name]) for name in docs.columns}
     out[text] = F.col("__new")
@@ -100,50 +134,111 @@ def drop_recurring_lines(
     return joined.select(*[column.alias(name) for name, column in out.items()])
 
 
-def _hot_leaves(rows: DataFrame, least_docs: int) -> DataFrame:
-    """Leaves that at least ``least_docs`` distinct texts reach."""
+def _by_text(places: DataFrame) -> DataFrame:
+    return places.groupBy("id", "digest").agg(F.collect_set("place").alias("gone"))
+
+
+def _left_of(text: str, gone: str) -> Column:
+    """The lines of the text that are not in ``gone``."""
+    return F.array_join(F.filter(F.split(text, "\n", -1), lambda _, i: ~F.array_contains(gone, i)), "\n")
+
 
-    def leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _recurring_keys(rows: DataFrame, least_docs: int, least_exact: int, least_words: int) -> DataFrame:
+    """(key, docs) of leaves and exact lines that enough distinct texts reach."""
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found: set[tuple[int, int]] = set()
+            found: set[tuple[int, int, int]] = set()
             for digest, text in zip(batch.column(1).to_pylist(), batch.column(2)):
                 for line in (text.as_py() or b"").split(b"\n"):
-                    if parsed := parse_line(line):
-                        found.add((parsed[0], digest))
-            yield pa.RecordBatch.from_arrays([_signed([x for x, _ in found]), pa.array([y for _, y in found], pa.int64())], ["leaf", "digest"])
+                    if parsed := parse_line(line, least_words):
+                        leaf, _, exact = parsed
+                        found.add((exact, least_docs if leaf is None else least_exact, digest))
+                        if leaf is not None:
+                            found.add((leaf, least_docs, digest))
+            columns = [_signed([x for x, _, _ in found]), pa.array([x for _, x, _ in found], pa.int32()), pa.array([x for _, _, x in found], pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["key", "least", "digest"])
+
+    reached = rows.mapInArrow(keys, "key long, least int, digest long").distinct()
+    counted = reached.groupBy("key", "least").agg(F.count("*").alias("docs"))
+    return settle(counted.where(F.col("docs") >= F.col("least")).select("key", "docs"), "line-keys")
 
-    reached = rows.mapInArrow(leaves, "leaf long, digest long").distinct()
-    return settle(reached.groupBy("leaf").agg(F.count("*").alias("docs")).where(F.col("docs") >= least_docs).select("leaf"), "leaves")
 
+def _lines_of(rows: DataFrame, keys: DataFrame, least_words: int) -> DataFrame:
+    """Lines that may recur, as hashes: (id, digest, place, leaf, line, words, exact).
 
-def _lines_of(rows: DataFrame, hot: DataFrame) -> DataFrame:
-    """Lines that may lie in a hot leaf, as hashes: (id, digest, place, leaf, line, words)."""
-    shared = rows.sparkSession.sparkContext.broadcast(Membership.of(hot, "leaf"))
+    Leaf, line and words are null where only the exact line may recur.
+    """
+    shared = rows.sparkSession.sparkContext.broadcast(Membership.of(keys, "key"))
 
     def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         word_hash: dict[bytes, int] = {}
         for batch in batches:
-            at, places, leaves, parsed_words = [], [], [], []
+            at, places, leaves, parsed_words, exacts = [], [], [], [], []
             for row, text in enumerate(batch.column(2)):
                 for place, line in enumerate((text.as_py() or b"").split(b"\n")):
-                    if parsed := parse_line(line):
-                        at.append(row), places.append(place), leaves.append(parsed[0]), parsed_words.append(parsed[1])
-            leaf = np.array(leaves, np.uint64)
-            keep = np.flatnonzero(shared.value.may_have(leaf)) if len(leaf) else []
+                    if parsed := parse_line(line, least_words):
+                        at.append(row), places.append(place), leaves.append(parsed[0]), parsed_words.append(parsed[1]), exacts.append(parsed[2])
+            exact = np.array(exacts, np.uint64)
+            leaf = np.array([x or 0 for x in leaves], np.uint64)
+            in_leaf = np.array([x is not None for x in leaves], bool)
+            if len(leaf):
+                in_leaf &= shared.value.may_have(leaf)
+            keep = np.flatnonzero(in_leaf | shared.value.may_have(exact)) if len(leaf) else np.empty(0, np.int64)
             hashes, words = [], []
             for i in keep:
+                if not in_leaf[i]:
+                    hashes.append(0), words.append(None)
+                    continue
                 line = parsed_words[i]
                 hashes.append(_hash(b" ".join(line)))
                 if len(word_hash) > 200_000:
                     word_hash.clear()
                 words.append(np.array([word_hash.setdefault(w, xxhash.xxh32_intdigest(w)) if w != MARK else 0 for w in line], np.uint32).tobytes())
             take = pa.array([at[i] for i in keep], pa.int64())
+            none = ~in_leaf[keep]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(take), batch.column(1).take(take), pa.array([places[i] for i in keep], pa.int32()), pa.array(leaf[keep].view(np.int64) if len(keep) else [], pa.int64()), _signed(hashes), pa.array(words, pa.binary())],
-                ["id", "digest", "place", "leaf", "line", "words"],
+                [
+                    batch.column(0).take(take), batch.column(1).take(take), pa.array([places[i] for i in keep], pa.int32()),
+                    pa.array(leaf[keep].view(np.int64), mask=none), pa.array(np.array(hashes, np.uint64).view(np.int64), mask=none),
+                    pa.array(words, pa.binary()), pa.array(exact[keep].view(np.int64)),
+                ],
+                ["id", "digest", "place", "leaf", "line", "words", "exact"],
             )
 
-    return rows.mapInArrow(lines, "id long, digest long, place int, leaf long, line long, words binary")
+    return rows.mapInArrow(lines, "id long, digest long, place int, leaf long, line long, words binary, exact long")
+
+
+def _similar(rows: DataFrame, pairs: DataFrame, gone: DataFrame, percent: int) -> DataFrame:
+    """The pairs (id, digest, first, first_digest) of similar texts, without the lines ``gone``."""
+
+    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for batch in batches:
+            sets = [shingle_hashes(words_of(x.as_py()), hashes).tobytes() for x in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sets, pa.binary())], ["id", "digest", "shingles"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            near = []
+            for one, other in zip(batch.column(4), batch.column(5)):
+                a, b = (np.frombuffer(x.as_py(), np.uint64) for x in (one, other))
+                both = len(np.intersect1d(a, b, assume_unique=True))
+                near.append(both > 0 and 100 * both >= percent * (len(a) + len(b) - both))
+            yield batch.select([0, 1, 2, 3]).filter(pa.array(near, pa.bool_()))
+
+    pairs = settle(pairs, "line-pairs")
+    wanted = pairs.select("id", "digest").unionByName(pairs.select(F.col("first").alias("id"), F.col("first_digest").alias("digest"))).distinct()
+    same = lambda a, b: F.col(f"{a}.id").eqNullSafe(F.col(f"{b}.id")) & (F.col(f"{a}.digest") == F.col(f"{b}.digest"))
+    texts = rows.alias("r").join(settle(wanted, "paired-texts").alias("w"), same("r", "w"), "left_semi")
+    texts = texts.alias("r").join(gone.alias("g"), same("r", "g"), "left").select("r.id", "r.digest", F.col("r.text").cast("string").alias("text"), "gone")
+    texts = texts.withColumn("text", F.when(F.col("gone").isNull(), F.col("text")).otherwise(_left_of("text", "gone")).cast("binary"))
+    sets = settle(texts.select("id", "digest", "text").mapInArrow(shingles, "id long, digest long, shingles binary"), "paired-shingles")
+    sets = sets.dropDuplicates(["id", "digest"])
+    one = pairs.alias("p").join(sets.alias("s"), same("p", "s")).select("p.*", F.col("s.shingles").alias("one"))
+    other = sets.select(F.col("id").alias("first"), F.col("digest").alias("first_digest"), F.col("shingles").alias("other"))
+    both = one.join(other, ["first", "first_digest"]).select("id", "digest", "first", "first_digest", "one", "other")
+    return settle(both.mapInArrow(compare, "id long, digest long, first long, first_digest long"), "similar-texts")
 
 
 def _templates(lines: DataFrame, least_docs: int, constant: float) -> DataFrame:

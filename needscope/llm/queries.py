@@ -24,7 +24,7 @@ URL_RULES = [
 
 def op1_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     docs = scan(spark, folder, "documents").select("doc_id", "text")
-    return line_dedup.drop_recurring_lines(docs)
+    return line_dedup.drop_recurring_lines(docs, least_words=1)
 
 
 def op2_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:

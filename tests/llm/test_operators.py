@@ -114,6 +114,17 @@ def test_line_templates_generalise(spark):
     assert sum(r["n_dropped"] for r in found) == 11
 
 
+def test_short_lines_recur(spark):
+    short = ["All rights reserved.", "Les."]
+    texts = [f"own line number {passage(i, 8)}\n{short[0]}\n{short[1]}\n\nrare" for i in range(12)]
+    texts = [t if i < 9 else t.replace("rare", f"rare {i}") for i, t in enumerate(texts)]  # nine documents are too few
+    found = {r["doc_id"]: r for r in line_dedup.drop_recurring_lines(docs(spark, texts), least_words=1).collect()}
+    assert found[0]["text"] == texts[0]
+    for i in range(1, 12):
+        own = texts[i].split("\n")
+        assert found[i]["text"].split("\n") == [own[0], "", own[4]] and found[i]["n_dropped"] == 2
+
+
 def test_warc_round_trip(spark, tmp_path):
     long = "é" * 700
     html = [long, long, long, None, "", "short", "short", passage(1, 400)]
