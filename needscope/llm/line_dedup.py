@@ -9,7 +9,7 @@ template that recurs in ``least_docs`` documents, and is constant in at least
 smallest id keeps its lines.
 
 A line whose words are all the same, digits included, needs no such support:
-from LONG words on it recurs in ``least_exact`` documents. A shorter
+from LONG words on it recurs once ``least_exact`` documents have it. A shorter
 line says little by itself; it has no variable places and recurs in
 ``least_docs`` documents.
 
@@ -34,7 +34,7 @@ from needscope.llm.common import Membership, WordHashes, binary, shingle_hashes,
 from needscope.sources.scratch import settle
 
 LEAD = 3  # leading words that pick the leaf
-LONG = 4  # words from which a line has a template
+LONG = 4  # words from which a line has a template, and from which two documents make an exact line recur
 _VARIABLE = re.compile(rb"[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*")
 MARK = b"<*>"
 
@@ -64,7 +64,7 @@ def _signed(values: list[int]) -> pa.Array:
 
 def drop_recurring_lines(
     docs: DataFrame, id: str = "doc_id", text: str = "text", least_docs: int = 10, constant: float = 0.5,
-    least_exact: int = 10, least_words: int = LONG, leave_similar: int | None = None,
+    least_exact: int = 2, least_words: int = LONG, leave_similar: int | None = None,
 ) -> DataFrame:
     """``docs`` with n_lines and n_dropped added and boilerplate lines taken out of the text.
 

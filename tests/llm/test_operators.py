@@ -125,6 +125,23 @@ def test_short_lines_recur(spark):
         assert found[i]["text"].split("\n") == [own[0], "", own[4]] and found[i]["n_dropped"] == 2
 
 
+def test_exact_lines_of_two_documents(spark):
+    shared, digits = passage(70, 60), "order 12 of 40 on 3"
+    texts = [f"{passage(10 + i, 30)}\n{shared}\n{digits}" for i in range(2)] + [passage(30, 30) + "\norder 13 of 40 on 3"]
+    found = {r["doc_id"]: r for r in line_dedup.drop_recurring_lines(docs(spark, texts)).collect()}
+    assert [found[i]["n_dropped"] for i in range(3)] == [0, 2, 0]
+    assert found[0]["text"] == texts[0] and found[1]["text"] == texts[1].split("\n")[0] and found[2]["text"] == texts[2]
+
+
+def test_near_copies_may_stay_whole(spark):
+    base = [passage(80 + i, 40) for i in range(6)]
+    near = base[:5] + [base[5] + " more"]
+    texts = ["\n".join(base), "\n".join(near), base[0] + "\n" + passage(99, 60), None]
+    drop = lambda **more: {r["doc_id"]: r["n_dropped"] for r in line_dedup.drop_recurring_lines(docs(spark, texts), **more).collect()}
+    assert drop() == {0: 0, 1: 5, 2: 1, 3: 0}
+    assert drop(leave_similar=80) == {0: 0, 1: 0, 2: 1, 3: 0}
+
+
 def test_warc_round_trip(spark, tmp_path):
     long = "é" * 700
     html = [long, long, long, None, "", "short", "short", passage(1, 400)]
