@@ -1,10 +1,12 @@
 """Secret scan with corpus-wide ownership frequency, in DataFrame functions only.
 
 Candidates come from three patterns. The hash of each candidate value is
-counted by distinct repositories and distinct owners over the whole corpus. A
-value held by more than ``most_owners`` owners is a copied example; a value of
-few owners with enough different characters and a digit looks live, and its
-place is added as a ``live`` span.
+counted by distinct repositories and distinct owners over the whole corpus;
+equal texts are one repository. A value is a copied example if more than
+``most_owners`` owners hold it in more than ``most_owners`` repositories, or
+if more than ``most_repositories`` repositories hold it, whatever their
+owners. A value of few owners and few repositories with enough different
+characters and a digit looks live, and its place is added as a ``live`` span.
 """
 
 from __future__ import annotations
@@ -34,13 +36,15 @@ def scan_secrets(
     owner: str = "source",
     most_owners: int = 2,
     least_characters: int = 8,
+    most_repositories: int = 10,
 ) -> DataFrame:
     """(doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_copied), one row per row.
 
     Spans are ``kind:start:end`` in code points, end exclusive, ordered by
     start and then kind (assign, access, hex, live). Null text is empty text.
     Null owners count as one owner, null repositories as one repository.
-    Repeated rows keep their rows and count once for ownership. Extra columns
+    Repeated rows keep their rows and count once for ownership; rows of equal
+    text count as the least of their repositories. Extra columns
     are ignored; an empty table gives no rows.
     """
     rows = docs.select(
@@ -52,21 +56,22 @@ def scan_secrets(
     spans = F.array_sort(F.concat(*[kind for kind, *_ in KINDS]))
     # the written number tells repeated rows apart
     base = settle(
-        rows.select("doc_id", "repository", "owner", spans.alias("spans")).withColumn("row", F.monotonically_increasing_id()), "spans"
+        rows.select("doc_id", "repository", "owner", F.xxhash64("text").alias("digest"), spans.alias("spans")).withColumn("row", F.monotonically_increasing_id()), "spans"
     )
     values = base.where(F.size("spans") > 0).select(
-        "row", "repository", "owner", F.explode(F.array_distinct("spans.value")).alias("value")
+        "row", "repository", "owner", "digest", F.explode(F.array_distinct("spans.value")).alias("value")
     )
     values = values.withColumn("hash", F.sha2("value", 256))
-    held = values.groupBy("hash", "owner", "repository").agg(F.first("value").alias("value"))
-    by_owner = held.groupBy("hash", "owner").agg(F.first("value").alias("value"))
+    by_owner = values.groupBy("hash", "owner").agg(F.first("value").alias("value"))
     owners = by_owner.groupBy("hash").agg(F.count("*").alias("owners"), F.first("value").alias("value"))
-    repositories = held.select("hash", "repository").distinct().groupBy("hash").agg(F.count("*").alias("repositories"))
+    by_text = values.groupBy("hash", "digest").agg(F.min("repository").alias("repository"))
+    repositories = by_text.select("hash", "repository").distinct().groupBy("hash").agg(F.count("*").alias("repositories"))
     varied = F.size(F.array_distinct(F.split("value", ""))) >= least_characters
+    many = F.col("repositories") > most_repositories
     known = owners.join(repositories, "hash").select(
         "hash",
-        ((F.col("owners") <= most_owners) & varied & F.col("value").rlike("[0-9]")).alias("live"),
-        ((F.col("owners") > most_owners) & (F.col("repositories") > most_owners)).alias("copied"),
+        ((F.col("owners") <= most_owners) & ~many & varied & F.col("value").rlike("[0-9]")).alias("live"),
+        (many | (F.col("owners") > most_owners) & (F.col("repositories") > most_owners)).alias("copied"),
     )
     spread = known.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     told = values.select("row", "hash", F.pmod("row", F.lit(SALTS)).cast("int").alias("salt")).join(spread, ["hash", "salt"])

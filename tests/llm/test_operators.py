@@ -234,6 +234,14 @@ def test_secrets(spark):
     assert secret_scan.scan_secrets(docs(spark, [])).count() == 0
 
 
+def test_secret_of_one_source_in_many_documents(spark):
+    copied, mirrored, few = "c0047fc67d33e87ad3aa", "d1158ad78e44f98be4bb", "e2269be89f55a09cf5cc"
+    texts = [f"doc {i} token={copied}" for i in range(12)] + [f"token={mirrored}"] * 12 + [f"doc {i} token={few}" for i in range(10)]
+    found = {r["doc_id"]: r for r in secret_scan.scan_secrets(docs(spark, texts, source=["one"] * len(texts))).collect()}
+    assert all(found[i]["n_live"] == 0 and found[i]["n_copied"] == 1 for i in range(12))
+    assert all(found[i]["n_live"] == 1 and found[i]["n_copied"] == 0 for i in range(12, 34))  # copies of one text, and ten texts
+
+
 def test_decontamination_equals_brute_force(spark):
     items = [(i, passage(300 + i, int(n)), "x") for i, n in enumerate(np.random.default_rng(1).integers(6, 60, 40))] + [(90, None, "x"), (91, "two words", "x")]
     texts = [passage(600 + i, 200) + " " + " ".join(items[j][1] for j in range(i % 5)) + " end" for i in range(20)]
