@@ -2,9 +2,10 @@
 
 DataFrame operations only. Words are dealt out in equal blocks: first to
 sources, then to the shards of each source, each time to the highest quotient
-``vote / (2 * seats + 1)``. Inside a shard, documents stand in seeded order on
+``vote / (2 * seats + 1)``. The number of a source's shards follows from its
+own rows and words alone. Inside a shard, documents stand in seeded order on
 one axis of words; the shard's quota is a number of whole passes plus a run of
-blocks from a seeded start.
+words from a seeded block on.
 """
 
 from __future__ import annotations
@@ -17,8 +18,9 @@ from pyspark.sql import functions as F
 from needscope.sources.scratch import settle
 
 WORD = r"[^\x20\x09-\x0D]+"
-SHARD_ROWS = 2_000  # documents of a shard, about, while there are fewer than MOST_SHARDS
-MOST_SHARDS = 4_096  # hash shards of the corpus; each source has a part of every one
+SHARD_ROWS = 2_000  # documents of a shard, about, while its source has fewer than MOST_SHARDS
+SHARD_BLOCKS = 256  # and at least so many blocks, about, so that rounding to blocks is small
+MOST_SHARDS = 4_096  # hash shards of a source
 
 
 def mix_sources(
@@ -51,9 +53,20 @@ def mix_sources(
         *[F.col(name).alias(f"__carry_{i}") for i, name in enumerate(carry)],
     )
     narrow = settle(sized.select("doc_id", "__source", "size", "__tie"), "sizes")
-    shards = min(MOST_SHARDS, max(1, -(-narrow.count() // SHARD_ROWS)))
-    shard = F.pmod(F.xxhash64("doc_id", "__tie"), F.lit(shards)).alias("__shard")
-    parts = settle(narrow.groupBy("__source", shard).agg(F.sum("size").alias("words")), "shard-words")
+    some, empty = F.count_if(F.col("size") > 0), F.count_if(F.col("size") == 0)
+    full = F.floor(F.sum("size") / (SHARD_BLOCKS * block_words))
+    shards = settle(
+        narrow.groupBy("__source").agg(
+            _shards(F.least(F.ceil(some / SHARD_ROWS), full)).alias("__shards"),
+            _shards(F.ceil(empty / SHARD_ROWS)).alias("__empty"),
+        ),
+        "source-shards",
+    )
+    # documents without words take nothing; they get shards of their own, below 0
+    hashed = F.xxhash64("doc_id", "__tie")
+    shard = F.when(F.col("size") > 0, F.pmod(hashed, "__shards")).otherwise(-1 - F.pmod(hashed, "__empty"))
+    in_shards = lambda rows: rows.join(shards, "__source").withColumn("__shard", shard).drop("__shards", "__empty")
+    parts = settle(in_shards(narrow).groupBy("__source", "__shard").agg(F.sum("size").alias("words")), "shard-words")
 
     targets = settle(_targets(parts, weights, share, repeats), "targets")
     total = targets.agg(F.sum("target")).first()[0] or 0.0
@@ -62,20 +75,21 @@ def mix_sources(
     voting = parts.join(settle(dealt, "source-blocks"), "__source").withColumn("vote", F.col("words").cast("double"))
     quotas = settle(apportion(voting, ["__source"], ["__shard"]), "shard-blocks")
 
-    start = F.pmod(F.xxhash64("__source", "__shard", F.lit(seed)), F.col("__blocks"))
+    blocks = F.ceil(F.col("words") / block_words)
+    start = F.pmod(F.xxhash64("__source", "__shard", F.lit(seed)), blocks) * block_words
     plan = (
-        quotas.withColumn("__blocks", F.ceil(F.col("words") / block_words))
-        .withColumn("won", F.least("won", F.col("__blocks") * repeats))
+        # in words, so that the empty end of a last block is not dealt
+        quotas.withColumn("__quota", F.least(F.col("won") * block_words, F.col("words") * repeats))
         .where("words > 0")
         .select(
             "__source", "__shard", "words",
-            F.expr("won div __blocks").alias("__passes"),
-            (start * block_words).alias("__from"),
-            ((start + F.col("won") % F.col("__blocks")) * block_words).alias("__to"),
-            (F.col("__blocks") * block_words).alias("__turn"),
+            F.expr("__quota div words").alias("__passes"),
+            start.alias("__from"),
+            (start + F.col("__quota") % F.col("words")).alias("__to"),
+            F.col("words").alias("__turn"),
         )
     )
-    rows = (sized if carry else narrow).withColumn("__shard", shard)
+    rows = in_shards(sized if carry else narrow)
     order = Window.partitionBy("__source", "__shard").orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id", "size", "__tie")
     low = F.coalesce(F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     placed = rows.withColumn("__low", low).join(settle(plan, "mix-plan"), ["__source", "__shard"], "left")
@@ -88,6 +102,10 @@ def mix_sources(
     )
 
 
+def _shards(wanted: Column) -> Column:
+    return F.greatest(F.lit(1), F.least(F.lit(MOST_SHARDS), wanted)).cast("long")
+
+
 def _overlap(start: Column, end: Column) -> Column:
     """Words of the document between two places of its shard."""
     return F.greatest(F.lit(0), F.least(end, F.col("__low") + F.col("size")) - F.greatest(start, F.col("__low")))

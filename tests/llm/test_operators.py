@@ -316,6 +316,19 @@ def test_mixing(spark):
     assert mixing.mix_sources(docs(spark, [])).count() == 0
 
 
+def test_small_source_beside_a_large_one(spark):
+    small = [("a", "w " * 5)] * 100 + [("b", "w " * 20)] * 100 + [("c", None)] * 3
+    texts, source = [t for _, t in small], [s for s, _ in small]
+    large = spark.range(203, 60_203).selectExpr("id AS doc_id", "repeat('w ', 50) AS text", "'z' AS source")
+    frame = docs(spark, texts, source=source).select("doc_id", "text", "source").unionByName(large)
+    found = mixing.mix_sources(frame, weights=(1, 1, 1, 1))
+    rows = found.join(frame.select("doc_id", "source"), "doc_id").groupBy("source").agg({"taken": "sum", "target": "max", "doc_id": "count"}).collect()
+    told = {r["source"]: r for r in rows}
+    assert {s: told[s]["count(doc_id)"] for s in told} == {"a": 100, "b": 100, "c": 3, "z": 60_000}
+    assert told["a"]["max(target)"] == 1000 and told["b"]["max(target)"] == 4000 and told["c"]["sum(taken)"] == 0
+    assert all(abs(told[s]["sum(taken)"] - told[s]["max(target)"]) <= 16 for s in "abz")
+
+
 def test_apportion_equals_highest_quotients(spark):
     votes = [1000.0, 3.0, 3.0, 7.5, 0.0, 250.0] + [0.49] * 30
     table = spark.createDataFrame([(f"{i:02d}", v, 137) for i, v in enumerate(votes)], "key string, vote double, seats long")
