@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -104,17 +106,12 @@ class Membership:
         return (self.table[cells >> np.uint64(6)] >> (cells & np.uint64(63))) & np.uint64(1) == 1
 
 
-def blobs(values: np.ndarray, starts: np.ndarray) -> list[bytes]:
-    """The pieces of an array between the given starts, as bytes."""
-    return [piece.tobytes() for piece in np.split(values, starts[1:])]
-
-
-def batches_of(items: Iterator, size: int) -> Iterator[list]:
-    block: list = []
-    for item in items:
-        block.append(item)
-        if len(block) >= size:
-            yield block
-            block = []
-    if block:
-        yield block
+def slices(batch: pa.RecordBatch, text: int, rows: int = 256, size: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch with few rows and few bytes of text: long texts come alone."""
+    ends = np.cumsum(np.nan_to_num(pc.binary_length(batch.column(text)).to_numpy(zero_copy_only=False).astype(float)))
+    start = 0
+    while start < batch.num_rows:
+        before = ends[start - 1] if start else 0
+        stop = min(max(int(np.searchsorted(ends, before + size, "right")), start + 1), start + rows)
+        yield batch.slice(start, stop - start)
+        start = stop

@@ -1,22 +1,21 @@
-"""Line dedup by a log-template tree of fixed depth, and by exact lines.
+"""Line dedup by a log-template tree of fixed depth.
 
 A line falls into a leaf by its number of words and its leading words; words
 with a digit are variable from the start. Inside a leaf, a word stays constant
-at its place if at least ``least_docs`` documents have it there; all other
-places are variable. Lines with the same constants share a template. A
-template that recurs in ``least_docs`` documents, and is constant in at least
-``constant`` of its places, is boilerplate: only the document with the
-smallest id keeps its lines.
-
-A line whose words are all the same, digits included, needs no such support:
-from LONG words on it recurs once ``least_exact`` documents have it. A shorter
-line says little by itself; it has no variable places and recurs in
-``least_docs`` documents.
-
-Only leaves and lines that enough documents reach are parsed, equal lines once,
-and all counts are combined before they are shuffled, so a line that a third of
-all documents share is a single row after the first step. Equal texts count as
-one document: copies are not boilerplate.
+at its place if enough documents have it there; all other places are variable.
+Lines with the same constants share a template, and a line whose words are all
+the same, digits included, is a template without variable places.
+
+One rule says what is enough: something recurs if at least two distinct texts
+have it and texts x constant words reach ``support``. With the default of 20,
+ten words need two texts, four words five and a single word twenty. Only the
+document with the smallest id keeps the lines of a template that recurs.
+
+The first pass reports the leaves and exact lines of each document as hashes.
+The second parses only lines whose leaf or exact line may recur. All counts are
+combined before they are shuffled, so a line that a third of all documents
+share is a single row after the first step. Equal texts count as one document:
+copies are not boilerplate.
 """
 
 from __future__ import annotations
@@ -30,28 +29,29 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from needscope.llm.common import Membership, WordHashes, binary, shingle_hashes, words_of
+from needscope.llm.common import Membership, WordHashes, binary, shingle_hashes, slices, words_of
 from needscope.sources.scratch import settle
 
-LEAD = 3  # leading words that pick the leaf
-LONG = 4  # words from which a line has a template, and from which two documents make an exact line recur
+LEAD = 3  # leading words that pick the leaf; only longer lines have variable places
+SUPPORT = 20  # distinct texts x constant words from which lines recur
+FEW = 10  # texts of a line below which near copies may stay whole (leave_similar)
+CACHED_LINES = 1 << 14
 _VARIABLE = re.compile(rb"[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*")
+_DIGIT = re.compile(rb"[0-9]")
 MARK = b"<*>"
 
 
-def parse_line(line: bytes, least_words: int = LONG) -> tuple[int | None, list[bytes], int] | None:
-    """(leaf, words with variable ones marked, hash of the words as they are).
+def line_keys(words: list[bytes]) -> tuple[bytes, int, int | None]:
+    """(line, key of the exact line, key of its leaf) of a line with words."""
+    line = b" ".join(words)
+    exact = _hash(b"= " + line)
+    if len(words) <= LEAD:
+        return line, exact, None
+    return line, exact, _hash(b"%d " % len(words) + _masked(b" ".join(words[:LEAD])))
 
-    None for lines under ``least_words`` words; no leaf for lines under LONG.
-    """
-    plain = line.split()
-    if len(plain) < max(least_words, 1):
-        return None
-    exact = _hash(b"= " + b" ".join(plain))
-    if len(plain) < LONG:
-        return None, plain, exact
-    words = _VARIABLE.sub(MARK, line).split()
-    return _hash(b"%d " % len(words) + b" ".join(words[:LEAD])), words, exact
+
+def _masked(line: bytes) -> bytes:
+    return _VARIABLE.sub(MARK, line) if _DIGIT.search(line) else line
 
 
 def _hash(value: bytes) -> int:
@@ -62,57 +62,47 @@ def _signed(values: list[int]) -> pa.Array:
     return pa.array(np.array(values, np.uint64).view(np.int64))
 
 
+def _recurs(texts: str, words: str, support: int) -> Column:
+    return (F.col(texts) >= 2) & (F.col(texts) * F.col(words) >= support)
+
+
 def drop_recurring_lines(
-    docs: DataFrame, id: str = "doc_id", text: str = "text", least_docs: int = 10, constant: float = 0.5,
-    least_exact: int = 2, least_words: int = LONG, leave_similar: int | None = None,
+    docs: DataFrame, id: str = "doc_id", text: str = "text", support: int = SUPPORT, constant: float = 0.5,
+    leave_similar: int | None = None,
 ) -> DataFrame:
     """``docs`` with n_lines and n_dropped added and boilerplate lines taken out of the text.
 
-    A template with variable places recurs from ``least_docs`` distinct texts
-    on, an exact line of at least LONG words from ``least_exact``, a shorter
-    one from ``least_docs``. Lines under ``least_words`` words stay; 1 leaves
-    only blank lines out. With ``leave_similar``, an exact line of fewer than
-    ``least_docs`` texts stays where the text has at least that % of 5-word
-    Jaccard similarity with the one that keeps the line, so that a later join
-    sees near copies whole.
-
-    Lines end at ``\\n``. Null text stays null and has no lines; empty text is
-    one empty line and stays. A document whose lines all go keeps an empty
-    text. Repeated rows and equal texts count once and lose the same lines,
-    but for the smallest id. A null id never keeps. Columns n_lines and
-    n_dropped of the input are replaced, n_chars follows the new text if
-    present, others stay as they are. An empty table gives no rows.
+    A template recurs once two or more distinct texts have it and texts x
+    constant words reach ``support``; one with variable places must be
+    constant in at least ``constant`` of its places. With ``leave_similar``,
+    an exact line of fewer than FEW texts stays where the text has at least
+    that % of 5-word Jaccard similarity with the one that keeps the line, so
+    that a later join sees near copies whole.
+
+    Lines end at ``\\n``; words are told apart as ``[^\\x20\\x09-\\x0D]+`` and
+    blank lines stay. Null text stays null and has no lines; empty text is one
+    empty line and stays. A document whose lines all go keeps an empty text.
+    Repeated rows and equal texts count once and lose the same lines, but for
+    the smallest id. A null id never keeps. Columns n_lines and n_dropped of
+    the input are replaced, n_chars follows the new text if present, others
+    stay as they are. An empty table gives no rows.
     """
     names = [f"__{i}" for i in range(len(docs.columns))]
     own = dict(zip(docs.columns, names))
     plain = docs.toDF(*names)
     rows = plain.select(F.col(own[id]).cast("long").alias("id"), F.xxhash64(own[text]).alias("digest"), binary(own[text]).alias("text"))
 
-    keys = _recurring_keys(rows, least_docs, least_exact, least_words)
-    lines = settle(_lines_of(rows, keys, least_words), "lines")
-    hot = lines.where("leaf is not null").join(keys.select(F.col("key").alias("leaf")), "leaf", "left_semi")
-    # equal lines once; digests stand for distinct texts
-    seen = settle(hot.groupBy("leaf", "line", "digest").agg(F.min("id").alias("id")), "seen-lines")
-    distinct = settle(hot.groupBy("leaf", "line").agg(F.first("words").alias("words")), "distinct-lines")
-    weight = seen.groupBy("line").agg(F.count("*").alias("docs"))
-    templates = settle(_templates(distinct.join(weight, "line"), least_docs, constant), "templates")
-    held = seen.join(templates, "line").groupBy("template", "digest").agg(F.min("id").alias("id"))
-    recurring = held.groupBy("template").agg(F.count("*").alias("docs"), F.min("id").alias("first"))
-    recurring = recurring.where(F.col("docs") >= least_docs)
-    known = settle(templates.join(recurring, "template").select("line", "first"), "recurring-lines")
-    not_first = ~F.col("id").eqNullSafe(F.col("first"))
-    places = hot.select("id", "digest", "line", "place").join(known, "line").where(not_first).select("id", "digest", "place")
-
-    exact = lines.select("id", "digest", "place", "exact").join(keys.select(F.col("key").alias("exact"), "docs"), "exact")
-    keeper = F.min(F.when(F.col("id").isNotNull(), F.struct("id", "digest")))
-    keepers = exact.groupBy("exact", "docs").agg(keeper.alias("keeper"))
-    keepers = settle(keepers.select("exact", "docs", F.col("keeper.id").alias("first"), F.col("keeper.digest").alias("first_digest")), "exact-lines")
-    again = exact.drop("docs").join(keepers, "exact").where(not_first)
+    keys = _recurring_keys(rows, support)
+    lines = settle(_lines_of(rows, keys), "lines")
+    places = _in_templates(lines, keys, support, constant)
+    exact = lines.select("id", "digest", "place", F.col("exact").alias("key"))
+    again = exact.join(keys, "key").where(~F.col("id").eqNullSafe(F.col("first")))
     if leave_similar is None:
         places = places.unionByName(again.select("id", "digest", "place"))
     else:
-        places = places.unionByName(again.where(F.col("docs") >= least_docs).select("id", "digest", "place"))
-        few = settle(again.where(F.col("docs") < least_docs).select("id", "digest", "place", "first", "first_digest"), "few-lines")
+        again = settle(again, "again-lines")
+        places = places.unionByName(again.where(F.col("texts") >= FEW).select("id", "digest", "place"))
+        few = again.where(F.col("texts") < FEW).select("id", "digest", "place", "first", "first_digest")
         similar = _similar(rows, few.drop("place").distinct(), settle(_by_text(places), "many-dropped"), leave_similar)
         pair = [F.col(f"few.{x}").eqNullSafe(F.col(f"similar.{x}")) for x in similar.columns]
         few = few.alias("few").join(similar.alias("similar"), pair, "left_anti")
@@ -143,28 +133,38 @@ def _left_of(text: str, gone: str) -> Column:
     return F.array_join(F.filter(F.split(text, "\n", -1), lambda _, i: ~F.array_contains(gone, i)), "\n")
 
 
-def _recurring_keys(rows: DataFrame, least_docs: int, least_exact: int, least_words: int) -> DataFrame:
-    """(key, docs) of leaves and exact lines that enough distinct texts reach."""
+def _recurring_keys(rows: DataFrame, support: int) -> DataFrame:
+    """(key, texts, first, first_digest) of leaves and exact lines that may recur.
+
+    A leaf is as good as its words would be if all were constant. ``first`` is
+    the smallest id, null if all ids are.
+    """
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found: set[tuple[int, int, int]] = set()
-            for digest, text in zip(batch.column(1).to_pylist(), batch.column(2)):
-                for line in (text.as_py() or b"").split(b"\n"):
-                    if parsed := parse_line(line, least_words):
-                        leaf, _, exact = parsed
-                        found.add((exact, least_docs if leaf is None else least_exact, digest))
-                        if leaf is not None:
-                            found.add((leaf, least_docs, digest))
-            columns = [_signed([x for x, _, _ in found]), pa.array([x for _, x, _ in found], pa.int32()), pa.array([x for _, _, x in found], pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, ["key", "least", "digest"])
-
-    reached = rows.mapInArrow(keys, "key long, least int, digest long").distinct()
-    counted = reached.groupBy("key", "least").agg(F.count("*").alias("docs"))
-    return settle(counted.where(F.col("docs") >= F.col("least")).select("key", "docs"), "line-keys")
-
-
-def _lines_of(rows: DataFrame, keys: DataFrame, least_words: int) -> DataFrame:
+            for part in slices(batch, 2):
+                found, sizes, counts = [], [], []
+                for text in part.column(2):
+                    here: dict[int, int] = {}
+                    for line in (text.as_py() or b"").split(b"\n"):
+                        if words := line.split():
+                            _, exact, leaf = line_keys(words)
+                            here[exact] = len(words)
+                            if leaf is not None:
+                                here[leaf] = len(words)
+                    found.extend(here), sizes.extend(here.values()), counts.append(len(here))
+                row = pa.array(np.repeat(np.arange(part.num_rows), counts))
+                yield pa.RecordBatch.from_arrays(
+                    [_signed(found), pa.array(sizes, pa.int32()), part.column(0).take(row), part.column(1).take(row)], ["key", "words", "id", "digest"]
+                )
+
+    reached = rows.mapInArrow(keys, "key long, words int, id long, digest long").groupBy("key", "words", "digest").agg(F.min("id").alias("id"))
+    keeper = F.min(F.when(F.col("id").isNotNull(), F.struct("id", "digest")))
+    counted = reached.groupBy("key", "words").agg(F.count("*").alias("texts"), keeper.alias("keeper")).where(_recurs("texts", "words", support))
+    return settle(counted.select("key", "texts", F.col("keeper.id").alias("first"), F.col("keeper.digest").alias("first_digest")), "line-keys")
+
+
+def _lines_of(rows: DataFrame, keys: DataFrame) -> DataFrame:
     """Lines that may recur, as hashes: (id, digest, place, leaf, line, words, exact).
 
     Leaf, line and words are null where only the exact line may recur.
@@ -172,51 +172,105 @@ def _lines_of(rows: DataFrame, keys: DataFrame, least_words: int) -> DataFrame:
     shared = rows.sparkSession.sparkContext.broadcast(Membership.of(keys, "key"))
 
     def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        word_hash: dict[bytes, int] = {}
+        parsed, may = _ParsedLines(), shared.value.may_have
         for batch in batches:
-            at, places, leaves, parsed_words, exacts = [], [], [], [], []
-            for row, text in enumerate(batch.column(2)):
-                for place, line in enumerate((text.as_py() or b"").split(b"\n")):
-                    if parsed := parse_line(line, least_words):
-                        at.append(row), places.append(place), leaves.append(parsed[0]), parsed_words.append(parsed[1]), exacts.append(parsed[2])
-            exact = np.array(exacts, np.uint64)
-            leaf = np.array([x or 0 for x in leaves], np.uint64)
-            in_leaf = np.array([x is not None for x in leaves], bool)
-            if len(leaf):
-                in_leaf &= shared.value.may_have(leaf)
-            keep = np.flatnonzero(in_leaf | shared.value.may_have(exact)) if len(leaf) else np.empty(0, np.int64)
-            hashes, words = [], []
-            for i in keep:
-                if not in_leaf[i]:
-                    hashes.append(0), words.append(None)
+            for part in slices(batch, 2):
+                at, places, leaves, exacts, texts = [], [], [], [], []
+                for row, text in enumerate(part.column(2)):
+                    for place, line in enumerate((text.as_py() or b"").split(b"\n")):
+                        if words := line.split():
+                            whole, exact, leaf = line_keys(words)
+                            at.append(row), places.append(place), exacts.append(exact), leaves.append(leaf or 0), texts.append(whole)
+                exact, leaf = np.array(exacts, np.uint64), np.array(leaves, np.uint64)
+                in_leaf = (leaf != 0) & may(leaf)
+                keep = np.flatnonzero(in_leaf | may(exact))
+                if not len(keep):
                     continue
-                line = parsed_words[i]
-                hashes.append(_hash(b" ".join(line)))
-                if len(word_hash) > 200_000:
-                    word_hash.clear()
-                words.append(np.array([word_hash.setdefault(w, xxhash.xxh32_intdigest(w)) if w != MARK else 0 for w in line], np.uint32).tobytes())
-            take = pa.array([at[i] for i in keep], pa.int64())
-            none = ~in_leaf[keep]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0).take(take), batch.column(1).take(take), pa.array([places[i] for i in keep], pa.int32()),
-                    pa.array(leaf[keep].view(np.int64), mask=none), pa.array(np.array(hashes, np.uint64).view(np.int64), mask=none),
-                    pa.array(words, pa.binary()), pa.array(exact[keep].view(np.int64)),
-                ],
-                ["id", "digest", "place", "leaf", "line", "words", "exact"],
-            )
+                none = ~in_leaf[keep]
+                told = [parsed.get(exacts[i], texts[i]) if in_leaf[i] else (0, None) for i in keep]
+                take = pa.array(np.array(at)[keep])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        part.column(0).take(take), part.column(1).take(take), pa.array(np.array(places, np.int32)[keep]),
+                        pa.array(leaf[keep].view(np.int64), mask=none), pa.array(np.array([h for h, _ in told], np.uint64).view(np.int64), mask=none),
+                        pa.array([w for _, w in told], pa.binary()), pa.array(exact[keep].view(np.int64)),
+                    ],
+                    ["id", "digest", "place", "leaf", "line", "words", "exact"],
+                )
 
     return rows.mapInArrow(lines, "id long, digest long, place int, leaf long, line long, words binary, exact long")
 
 
+class _ParsedLines:
+    """(hash of the line with variable words masked, 32-bit hashes of its words, 0 for a variable one)."""
+
+    def __init__(self) -> None:
+        self.lines: dict[int, tuple[int, bytes]] = {}
+        self.words: dict[bytes, int] = {}
+
+    def get(self, exact: int, line: bytes) -> tuple[int, bytes]:
+        if (told := self.lines.get(exact)) is None:
+            if len(self.lines) >= CACHED_LINES:
+                self.lines.clear()
+            if len(self.words) >= 1 << 17:
+                self.words.clear()
+            masked = _masked(line)
+            known = self.words
+            hashes = [known[w] if w in known else known.setdefault(w, 0 if w == MARK else xxhash.xxh32_intdigest(w)) for w in masked.split()]
+            told = self.lines[exact] = _hash(masked), np.array(hashes, np.uint32).tobytes()
+        return told
+
+
+def _in_templates(lines: DataFrame, keys: DataFrame, support: int, constant: float) -> DataFrame:
+    """(id, digest, place) of lines of recurring templates, but for those of the first id."""
+    hot = lines.where("leaf is not null").join(keys.select(F.col("key").alias("leaf")), "leaf", "left_semi")
+    # equal lines once; digests stand for distinct texts
+    seen = settle(hot.groupBy("leaf", "line", "digest").agg(F.min("id").alias("id"), F.first("words").alias("words")), "seen-lines")
+    distinct = seen.groupBy("leaf", "line").agg(F.count("*").alias("texts"), F.first("words").alias("words"))
+    templates = settle(_templates(distinct, support, constant), "templates")
+    held = seen.join(templates, "line").groupBy("template", "constants", "digest").agg(F.min("id").alias("id"))
+    recurring = held.groupBy("template", "constants").agg(F.count("*").alias("texts"), F.min("id").alias("first"))
+    recurring = recurring.where(_recurs("texts", "constants", support))
+    known = settle(templates.join(recurring, "template").select("line", "first"), "recurring-lines")
+    places = hot.select("id", "digest", "line", "place").join(known, "line")
+    return places.where(~F.col("id").eqNullSafe(F.col("first"))).select("id", "digest", "place")
+
+
+def _templates(lines: DataFrame, support: int, constant: float) -> DataFrame:
+    """(line, template, constants) of the distinct lines whose template is constant enough."""
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = [np.frombuffer(x.as_py(), np.uint32) for x in batch.column(2)]
+            if not words:
+                continue
+            sizes = [len(x) for x in words]
+            line, leaf, texts = (np.repeat(batch.column(i).to_numpy(), sizes) for i in (0, 1, 3))
+            size, word = np.repeat(np.array(sizes, np.int32), sizes), np.concatenate(words)
+            place = np.concatenate([np.arange(n, dtype=np.int32) for n in sizes])
+            fixed = word != 0
+            columns = [x[fixed] for x in (line, leaf, place, word.astype(np.int64), texts, size)]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["line", "leaf", "place", "word", "texts", "size"])
+
+    kind = "line long, leaf long, place int, word long, texts long, size int"
+    open_ = settle(lines.select("line", "leaf", "words", "texts").mapInArrow(places, kind), "line-words")
+    fixed = open_.groupBy("leaf", "place", "word", "size").agg(F.sum("texts").alias("all")).where(_recurs("all", "size", support))
+    kept = open_.join(fixed.drop("size"), ["leaf", "place", "word"]).groupBy("line", "leaf", "size").agg(
+        F.sort_array(F.collect_list(F.struct("place", "word"))).alias("fixed")
+    )
+    kept = kept.where(F.size("fixed") >= constant * F.col("size"))
+    return kept.select("line", F.xxhash64("leaf", "fixed").alias("template"), F.size("fixed").alias("constants"))
+
+
 def _similar(rows: DataFrame, pairs: DataFrame, gone: DataFrame, percent: int) -> DataFrame:
     """The pairs (id, digest, first, first_digest) of similar texts, without the lines ``gone``."""
 
     def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
-            sets = [shingle_hashes(words_of(x.as_py()), hashes).tobytes() for x in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sets, pa.binary())], ["id", "digest", "shingles"])
+            for part in slices(batch, 2):
+                sets = [shingle_hashes(words_of(x.as_py()), hashes).tobytes() for x in part.column(2)]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(sets, pa.binary())], ["id", "digest", "shingles"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -239,28 +293,3 @@ def _similar(rows: DataFrame, pairs: DataFrame, gone: DataFrame, percent: int) -
     other = sets.select(F.col("id").alias("first"), F.col("digest").alias("first_digest"), F.col("shingles").alias("other"))
     both = one.join(other, ["first", "first_digest"]).select("id", "digest", "first", "first_digest", "one", "other")
     return settle(both.mapInArrow(compare, "id long, digest long, first long, first_digest long"), "similar-texts")
-
-
-def _templates(lines: DataFrame, least_docs: int, constant: float) -> DataFrame:
-    """(line, template) of the distinct lines whose template is constant enough."""
-
-    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            words = [np.frombuffer(x.as_py(), np.uint32) for x in batch.column(2)]
-            if not words:
-                continue
-            sizes = [len(x) for x in words]
-            line, leaf, docs = (np.repeat(batch.column(i).to_numpy(), sizes) for i in (0, 1, 3))
-            size, word = np.repeat(np.array(sizes, np.int32), sizes), np.concatenate(words)
-            place = np.concatenate([np.arange(n, dtype=np.int32) for n in sizes])
-            fixed = word != 0
-            columns = [x[fixed] for x in (line, leaf, place, word.astype(np.int64), docs, size)]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["line", "leaf", "place", "word", "docs", "size"])
-
-    kind = "line long, leaf long, place int, word long, docs long, size int"
-    open_ = settle(lines.select("line", "leaf", "words", "docs").mapInArrow(places, kind), "line-words")
-    fixed = open_.groupBy("leaf", "place", "word").agg(F.sum("docs").alias("all")).where(F.col("all") >= least_docs)
-    kept = open_.join(fixed, ["leaf", "place", "word"]).groupBy("line", "leaf", "size").agg(
-        F.sort_array(F.collect_list(F.struct("place", "word"))).alias("constants")
-    )
-    return kept.where(F.size("constants") >= constant * F.col("size")).select("line", F.xxhash64("leaf", "constants").alias("template"))

@@ -94,43 +94,112 @@ def test_overlaps_and_spanning():
     assert ngram_join.spanning(ngram_join.overlaps(sets), np.array([5, 6, 2, 6]), 80).tolist() == [0, 0, 2, 3]
 
 
+def brute_lines(rows, support=20, constant=0.5):
+    """(text, n_lines, n_dropped) per row of (id, text), line by line."""
+    holders, leaves = defaultdict(set), defaultdict(set)  # exact line, leaf: rows (id, text)
+    for doc, text in rows:
+        for line in (text or "").split("\n"):
+            if words := tuple(WORD.findall(line)):
+                masked = tuple("<*>" if re.search("[0-9]", w) else w for w in words)
+                holders[words].add((doc, text))
+                if len(words) > 3:
+                    leaves[len(words), masked[:3]].add((masked, doc, text))
+    enough = lambda texts, words: len(texts) >= 2 and len(texts) * words >= support
+    least = lambda found: min((d for d, _ in found if d is not None), default=None)
+    keeper = {w: least(found) for w, found in holders.items() if enough({t for _, t in found}, len(w))}
+    template_keeper = {}
+    for (n, _), lines in leaves.items():
+        if not enough({t for _, _, t in lines}, n):
+            continue
+        seen = defaultdict(set)
+        for masked, _, text in lines:
+            for place, word in enumerate(masked):
+                if word != "<*>":
+                    seen[place, word].add((masked, text))
+        groups = defaultdict(set)
+        for masked, doc, text in lines:
+            fixed = tuple((p, w) for p, w in enumerate(masked) if enough(seen.get((p, w), ()), n))
+            if len(fixed) >= constant * n:
+                groups[fixed].add((masked, doc, text))
+        for fixed, found in groups.items():
+            if enough({t for _, _, t in found}, len(fixed)):
+                template_keeper.update({masked: least({(d, t) for _, d, t in found}) for masked, _, _ in found})
+    out = []
+    for doc, text in rows:
+        if text is None:
+            out.append((None, 0, 0))
+            continue
+        lines, left = text.split("\n"), []
+        for line in lines:
+            words = tuple(WORD.findall(line))
+            masked = tuple("<*>" if re.search("[0-9]", w) else w for w in words)
+            gone = words in keeper and (doc is None or doc != keeper[words])
+            gone |= len(words) > 3 and masked in template_keeper and (doc is None or doc != template_keeper[masked])
+            if not gone:
+                left.append(line)
+        out.append(("\n".join(left), len(lines), len(lines) - len(left)))
+    return out
+
+
+def check_lines(spark, texts, **more):
+    """Line dedup of the texts equals the brute force; the result by row."""
+    ids = more.pop("ids", list(range(len(texts))))
+    frame = docs(spark, texts, ids=ids).withColumnRenamed("n_shingles", "n_lines").withColumnRenamed("size", "n_dropped")
+    found = line_dedup.drop_recurring_lines(frame, **more)
+    assert found.columns == frame.columns
+    told = [(r["doc_id"], r["text"], r["n_lines"], r["n_dropped"]) for r in found.collect()]
+    expected = [(i, *x) for i, x in zip(ids, brute_lines(list(zip(ids, texts)), **more))]
+    assert sorted(told, key=str) == sorted(expected, key=str)
+    return {doc: (text, dropped) for doc, text, _, dropped in told}
+
+
 def test_line_dedup(spark):
     texts = [f"own line number {passage(i, 8)}\nAll rights reserved by owner {i} of this site\nTo." for i in range(12)]
     texts += [None, "", "same text again here\n" + passage(99, 9), "same text again here\n" + passage(99, 9)]
-    found = {r["doc_id"]: r for r in line_dedup.drop_recurring_lines(docs(spark, texts)).collect()}
-    assert found[0]["text"] == texts[0] and found[0]["n_dropped"] == 0
+    found = check_lines(spark, texts)
+    assert found[0] == (texts[0], 0)
     for i in range(1, 12):
-        assert found[i]["text"].split("\n") == [texts[i].split("\n")[0], "To."] and found[i]["n_dropped"] == 1
-        assert found[i]["n_chars"] == len(found[i]["text"])
-    assert found[12]["text"] is None and found[12]["n_lines"] == 0 and found[13]["text"] == ""
-    assert found[14]["text"] == found[15]["text"] == texts[14]  # copies are not boilerplate
+        assert found[i][0].split("\n") == [texts[i].split("\n")[0], "To."]  # one word needs twenty texts
+    assert found[14][0] == found[15][0] == texts[14]  # copies are not boilerplate
     assert line_dedup.drop_recurring_lines(docs(spark, [])).count() == 0
+    assert {r["n_chars"] - len(r["text"]) for r in line_dedup.drop_recurring_lines(docs(spark, texts)).dropna(subset="text").collect()} == {0}
 
 
 def test_line_templates_generalise(spark):
     names = "red blue green black white grey pink brown gold teal cyan lime".split()
     texts = [f"posted by user {name} in the evening news" for name in names]
-    found = line_dedup.drop_recurring_lines(docs(spark, texts)).collect()
-    assert sum(r["n_dropped"] for r in found) == 11
+    assert sum(dropped for _, dropped in check_lines(spark, texts).values()) == 11
 
 
-def test_short_lines_recur(spark):
-    short = ["All rights reserved.", "Les."]
-    texts = [f"own line number {passage(i, 8)}\n{short[0]}\n{short[1]}\n\nrare" for i in range(12)]
-    texts = [t if i < 9 else t.replace("rare", f"rare {i}") for i, t in enumerate(texts)]  # nine documents are too few
-    found = {r["doc_id"]: r for r in line_dedup.drop_recurring_lines(docs(spark, texts), least_words=1).collect()}
-    assert found[0]["text"] == texts[0]
-    for i in range(1, 12):
-        own = texts[i].split("\n")
-        assert found[i]["text"].split("\n") == [own[0], "", own[4]] and found[i]["n_dropped"] == 2
+def test_line_support_is_texts_by_constant_words(spark):
+    lines = {2: passage(1, 10), 5: "four words of it", 7: "three words here", 20: "Les."}
+    for texts, line in lines.items():
+        rows = [f"{passage(500 + i, 7)}\n{line}\n\n {line.replace(' ', '  ')} " for i in range(texts)]
+        found = check_lines(spark, rows)
+        assert found[0] == (rows[0], 0) and all(found[i][1] == 2 for i in range(1, texts))
+        assert not any(dropped for _, dropped in check_lines(spark, rows[1:]).values())
+
+
+def test_lines_of_any_shape_equal_brute_force(spark):
+    rng = np.random.default_rng(11)
+    vocabulary = ["a", "b", "c", "7", "x9", "é"]
+    line = lambda: " ".join(rng.choice(vocabulary, rng.integers(0, 9)))
+    texts = ["\n".join(line() for _ in range(rng.integers(1, 7))) for _ in range(150)]
+    long = "\n".join(passage(5_000 + i, 30) for i in range(3_000))  # over a slice of text
+    texts += [long, long + "\nmore", "w " * 60_000, "v w " * 30_000 + "\n" + texts[3], None, None, "", "\n\n", "\t \x0b"] + texts[:20]
+    ids = list(range(len(texts)))
+    ids[5], ids[6], ids[7], ids[40] = None, None, 3, 3  # null and repeated ids
+    check_lines(spark, texts, ids=ids)
+    check_lines(spark, texts, ids=ids, support=60, constant=0.8)
+    check_lines(spark, texts[:9], ids=[None] * 9, support=8)
 
 
 def test_exact_lines_of_two_documents(spark):
-    shared, digits = passage(70, 60), "order 12 of 40 on 3"
-    texts = [f"{passage(10 + i, 30)}\n{shared}\n{digits}" for i in range(2)] + [passage(30, 30) + "\norder 13 of 40 on 3"]
-    found = {r["doc_id"]: r for r in line_dedup.drop_recurring_lines(docs(spark, texts)).collect()}
-    assert [found[i]["n_dropped"] for i in range(3)] == [0, 2, 0]
-    assert found[0]["text"] == texts[0] and found[1]["text"] == texts[1].split("\n")[0] and found[2]["text"] == texts[2]
+    shared, digits = passage(70, 60), "order 12 of 40 on 3 " * 2
+    texts = [f"{passage(10 + i, 30)}\n{shared}\n{digits}" for i in range(2)] + [passage(30, 30) + "\n" + digits.replace("12", "13")]
+    found = check_lines(spark, texts)
+    assert [found[i][1] for i in range(3)] == [0, 2, 0]
+    assert found[0][0] == texts[0] and found[1][0] == texts[1].split("\n")[0]
 
 
 def test_near_copies_may_stay_whole(spark):
