@@ -19,7 +19,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without boilerplate lines; n_chars follows the text. Near copies stay whole for the next stage."""
-    return line_dedup.drop_recurring_lines(docs, least_words=1, leave_similar=80).select(*docs.columns)
+    return line_dedup.drop_recurring_lines(docs, leave_similar=80).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
