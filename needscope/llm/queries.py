@@ -5,12 +5,15 @@ from __future__ import annotations
 from collections.abc import Callable
 from uuid import uuid4
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from needscope.llm import decontaminate, language, line_dedup, mixing, ngram_join, secret_scan, top_k, toxicity, url_filter, warc
+from needscope.llm import (
+    alignment, decontaminate, language, line_dedup, mixing, ngram_join, packing, secret_scan, spelling, top_k, toxicity, url_filter, warc,
+)
 from needscope.sources.readers import scan
-from needscope.sources.scratch import scratch_dir
+from needscope.sources.scratch import scratch_dir, settle
 
 # The rules that op9 judges by
 URL_RULES = [
@@ -70,6 +73,23 @@ def op10_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix_sources(scan(spark, folder, "documents"))
 
 
+def op11_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.spelling_variants(scan(spark, folder, "documents"))
+
+
+def op12_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    cut = packing.pieces(scan(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    cut = cut.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
+    return packing.place(settle(cut, "pieces"))
+
+
+def op13_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    groups = F.col(alignment.GROUPS)
+    digest = F.when(groups == "", "").otherwise(F.sha2(groups.cast("binary"), 256))
+    paths = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    return alignment.align_tokens(scan(spark, folder, "documents"), *paths, of_groups={"groups_sha256": digest})
+
+
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     import corpus_pipeline
 
@@ -78,7 +98,8 @@ def pipeline(spark: SparkSession, folder: str) -> DataFrame:
 
 OPERATORS = (
     op1_line_dedup, op2_ngram_jaccard_join, op3_warc, op4_top_k, op5_language_id, op6_secret_scan,
-    op7_decontamination, op8_toxicity, op9_url_filter, op10_mix_sources, pipeline,
+    op7_decontamination, op8_toxicity, op9_url_filter, op10_mix_sources, op11_spelling_variants,
+    op12_best_fit_packing, op13_token_alignment, pipeline,
 )
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {build.__name__: build for build in OPERATORS}
 
@@ -129,6 +150,38 @@ ORACLE = {
     d AS (SELECT id, unnest(sh) AS s FROM sets), i AS (SELECT id, len(sh) AS n, unnest(sh) AS s FROM items)
     SELECT d.id AS doc_id, i.id AS item_id, i.n AS item_shingles, count(*) AS shared
     FROM i JOIN d USING (s) GROUP BY d.id, i.id, i.n HAVING 100 * count(*) >= 80 * i.n""",
+    "op11_spelling_variants": rf"""
+    WITH RECURSIVE crc(step) AS (
+      SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0]::UBIGINT[],
+        lambda c, x: CASE WHEN c & 1 = 1 THEN xor(3988292384::UBIGINT, c >> 1) ELSE c >> 1 END) ORDER BY i) FROM range(256) r(i)
+    ), runs AS (
+      SELECT doc_id, unnest(regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '[a-z\x{{C0}}-\x{{FF}}]{{7,}}')) AS w FROM documents
+    ), coded AS (SELECT w, hex(encode(concat(doc_id, ':', w))) AS x FROM runs
+    ), hashed AS (
+      SELECT w, xor(4294967295::UBIGINT, list_reduce(list_prepend(4294967295::UBIGINT,
+        list_transform(range(1, length(x), 2), lambda i: ('0x' || substr(x, i, 2))::UBIGINT)),
+        lambda c, b: xor(c >> 8, step[(xor(c, b) & 255) + 1]))) AS h FROM coded, crc
+    ), cut AS (
+      SELECT CASE WHEN h % 31 = 0 THEN left(w, (h % length(w))::BIGINT) || substr(w, (h % length(w))::BIGINT + 2) ELSE w END AS word FROM hashed
+    ), words AS (SELECT word, count(*) AS n FROM cut WHERE length(word) >= 7 GROUP BY word HAVING count(*) >= 2
+    ), gaps AS (
+      SELECT word, n, i, left(word, i) || substr(word, i + 2) AS rest FROM words, unnest(range(length(word))) u(i)
+    ), near AS (
+      SELECT a.word, b.word AS near, b.n AS near_n FROM gaps a JOIN gaps b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+      UNION SELECT g.word, w.word, w.n FROM gaps g JOIN words w ON g.rest = w.word
+      UNION SELECT w.word, g.word, g.n FROM gaps g JOIN words w ON g.rest = w.word
+    ), best AS (
+      SELECT word, near, near_n, count(*) OVER (PARTITION BY word) AS n_near,
+        row_number() OVER (PARTITION BY word ORDER BY near_n DESC, near) AS place FROM near
+    ), told AS (
+      SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 10 * n THEN near END AS form,
+        CASE WHEN near_n >= 10 * n THEN near_n END AS form_n
+      FROM words w LEFT JOIN best b ON b.word = w.word AND place = 1
+    ), steps(word, last, depth) AS (
+      SELECT word, word, 0 FROM told
+      UNION ALL SELECT s.word, t.form, depth + 1 FROM steps s JOIN told t ON t.word = s.last WHERE t.form IS NOT NULL
+    ), roots AS (SELECT word, arg_max(last, depth) AS root FROM steps GROUP BY word)
+    SELECT word, form, root, n::BIGINT AS n, n_near::BIGINT AS n_near, form_n::BIGINT AS form_n FROM told JOIN roots USING (word)""",
     "op9_url_filter": rf"""
     WITH u AS (
       SELECT page_id, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), '{UPPER}', '{LOWER}'), '') AS host,
