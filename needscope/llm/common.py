@@ -85,9 +85,9 @@ class Membership:
         self.bits, self.table = bits, table
 
     @classmethod
-    def of(cls, keys: DataFrame, key: str) -> Membership:
+    def of(cls, keys: DataFrame, key: str, per_entry: int = 16) -> Membership:
         """From a written table of 64-bit keys (it is read twice)."""
-        bits = table_bits(keys.count(), cls.MOST_BITS)
+        bits = table_bits(keys.count(), cls.MOST_BITS, per_entry)
         cell = cell_of(F.col(key), bits)
         one = F.lit(1).cast("long")
         words = (
@@ -95,10 +95,10 @@ class Membership:
             .select("word", F.call_function("shiftleft", one, F.col("bit")).alias("mask"))
             .groupBy("word")
             .agg(F.bit_or("mask").alias("mask"))
-            .toPandas()
+            .toArrow()
         )
         table = np.zeros(1 << (bits - 6), np.uint64)
-        table[words["word"].to_numpy(np.int64)] = words["mask"].to_numpy(np.int64).view(np.uint64)
+        table[words["word"].to_numpy()] = words["mask"].to_numpy().view(np.uint64)
         return cls(bits, table)
 
     def may_have(self, keys: np.ndarray) -> np.ndarray:

@@ -77,6 +77,7 @@ def spelling_variants(docs: DataFrame, id: str = "doc_id", text: str = "text", l
 
 def count_words(docs: DataFrame, id: str, text: str) -> DataFrame:
     """(word, n): occurrences, added up inside the tasks first."""
+    most = COUNTED
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, int] = {}
@@ -94,7 +95,7 @@ def count_words(docs: DataFrame, id: str, text: str) -> DataFrame:
                         if len(word) < LEAST_LENGTH:
                             continue
                     seen[word] = seen.get(word, 0) + 1
-                if len(seen) >= COUNTED:
+                if len(seen) >= most:
                     yield _counts(seen)
                     seen.clear()
         if seen:
