@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from needscope.llm.common import binary, slices
-from needscope.llm.tokens import PartEncoder, byte_bpe, byte_bpe_bytes, piece_bpe, piece_bpe_bytes
+from needscope.llm.tokens import PartEncoder, byte_bpe, piece_bpe
 from needscope.sources.scratch import settle
 
 BLOCK_LINKS = 2_000_000  # distinct pairs of documents in a block, about
@@ -64,7 +64,7 @@ class Aligner:
 
     def __init__(self, a_path: str, b_path: str):
         self.encoders: tuple[PartEncoder, PartEncoder] = byte_bpe(a_path), piece_bpe(b_path)
-        self.tables = byte_bpe_bytes(a_path), piece_bpe_bytes(b_path)
+        self.tables = tuple(encoder.table for encoder in self.encoders)
         self.lengths = tuple(np.array([len(x) for x in table], np.int64) for table in self.tables)
         # an id with the sign behind it: first those of A, then those of B
         self.signs = [b"%d%c" % (i, sign) for table, last in zip(self.tables, b"|;") for i in range(len(table)) for sign in (ord(","), last)]
@@ -74,9 +74,9 @@ class Aligner:
         texts = [self._text(x) for x in raw]
         known = [i for i, text in enumerate(texts) if text]
         found = [(np.empty(0, np.uint32), np.empty(0, np.uint32))] * len(raw)
-        for i, *ids in zip(known, *(encoder.ids([texts[i] for i in known]) for encoder in self.encoders)):
-            whole = b" " + raw[i]
-            if all(b"".join(map(table.__getitem__, x.tolist())) == whole for table, x in zip(self.tables, ids)):
+        for at, (i, *ids) in enumerate(zip(known, *(encoder.ids([texts[i] for i in known]) for encoder in self.encoders))):
+            doubtful = any(encoder.changed[at] for encoder in self.encoders)
+            if not doubtful or all(b"".join(map(table.__getitem__, x.tolist())) == b" " + raw[i] for table, x in zip(self.tables, ids)):
                 found[i] = tuple(ids)
         return found
 
@@ -165,7 +165,7 @@ def align_tokens(
     kind = docs.schema[id].dataType.simpleString()
     counted = "n_a long, n_b long, n_groups long, n_links long"
     kinds = f"block long, doc_id {kind}, {counted}, {GROUPS} string, places binary, times binary, pair long, docs long"
-    rows = docs.select(F.col(id).alias("doc_id"), binary(text).alias("text"))
+    rows, most = docs.select(F.col(id).alias("doc_id"), binary(text).alias("text")), BLOCK_LINKS
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         aligner, number = Aligner(a_path, b_path), TaskContext.get().partitionId() << 32
@@ -179,7 +179,7 @@ def align_tokens(
             for part in slices(batch, 1):
                 block = block or _Block(number, ids)
                 block.add(part.column(0), *aligner.align([x.as_py() for x in part.column(1)]))
-                if block.links >= BLOCK_LINKS:
+                if block.links >= most:
                     yield from block.batches(schema)
                     block, number = None, number + 1
         if block:
