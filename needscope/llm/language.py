@@ -22,7 +22,8 @@ from needscope.sources.scratch import settle
 
 CELLS = 1 << 14  # hashed n-grams
 PER_LANGUAGE = 400  # training texts of a language
-MOST_TRAINING = 8_000  # training texts in all; with many languages each gets fewer, but 20
+MOST_TRAINING = 8_000  # training texts in all; with many languages each gets fewer
+MOST_LANGUAGES = 400  # the most frequent ones are learned, ties by name
 PARTS = 32  # of a language, ranked apart before they meet
 LANDMARKS = 128
 RIDGE = 1e-3
@@ -89,14 +90,19 @@ def fit_languages(docs: DataFrame, id: str = "doc_id", text: str = "text", lang:
     """Fit on a bounded sample: the ``PER_LANGUAGE`` texts of each language with
     the smallest hash of the id, none of the held-out fold, null ids or languages.
 
+    An id counts once for a language, with the text of the least hash, however
+    many rows it has. At most MOST_LANGUAGES languages and MOST_TRAINING texts
+    take part, each of at most 2 * CELLS bytes once reduced to its n-grams.
     Without such rows the model knows no language and answers ``und``.
     """
     rows = docs.select(F.col(id).alias("id"), binary(text).alias("text"), F.col(lang).alias("lang"))
     rows = rows.where(F.col("id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out("id"))
-    languages = rows.select(F.count_distinct("lang")).first()[0]
-    each = min(PER_LANGUAGE, max(20, MOST_TRAINING // max(languages, 1)))
+    frequent = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES)
+    languages = [r["lang"] for r in frequent.collect()]
+    each = min(PER_LANGUAGE, MOST_TRAINING // max(len(languages), 1))
     # first within parts of a language, so that no task ranks more than PARTS * each rows of one
-    chosen = rows.select("id", "lang", F.pmod(F.xxhash64("id", "lang"), F.lit(PARTS)).alias("part"))
+    chosen = rows.where(F.col("lang").isin(languages)).select("id", "lang").distinct()
+    chosen = chosen.withColumn("part", F.pmod(F.xxhash64("id", "lang"), F.lit(PARTS)))
     for group in (["lang", "part"], ["lang"]):
         place = F.row_number().over(Window.partitionBy(*group).orderBy(F.xxhash64("id"), "id"))
         chosen = chosen.withColumn("place", place).where(F.col("place") <= each).drop("place")
@@ -108,7 +114,7 @@ def fit_languages(docs: DataFrame, id: str = "doc_id", text: str = "text", lang:
             cells = [grams(_decoded(x.as_py())).astype(np.uint16).tobytes() for x in batch.column(2)]
             yield pa.RecordBatch.from_arrays([*batch.select([0, 1]).columns, pa.array(cells, pa.binary())], ["id", "lang", "cells"])
 
-    texts = rows.join(chosen, ["id", "lang"]).select("id", "lang", "text")
+    texts = rows.join(chosen, ["id", "lang"]).groupBy("id", "lang").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
     kind = f"id {docs.schema[id].dataType.simpleString()}, lang string, cells binary"
     sample = sorted((r["lang"], str(r["id"]), bytes(r["cells"])) for r in texts.mapInArrow(presence, kind).collect())
     return _fit([lang for lang, _, _ in sample], [np.frombuffer(cells, np.uint16) for _, _, cells in sample])
@@ -118,10 +124,13 @@ def _fit(langs: list[str], cells: list[np.ndarray]) -> LanguageModel:
     names = sorted(set(langs))
     if not names:
         return LanguageModel((), np.zeros((CELLS, 0), np.float32), np.zeros((1, 0), np.float32))
-    presence = np.zeros((len(cells), CELLS), np.float32)
-    for row, here in enumerate(cells):
-        presence[row, here] = 1
-    presence /= np.sqrt(np.maximum(presence.sum(1, keepdims=True), 1))
+
+    def presence(rows: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(rows), CELLS), np.float32)
+        for at, row in enumerate(rows):
+            out[at, cells[row]] = 1 / np.sqrt(max(len(cells[row]), 1))
+        return out
+
     target = np.where(np.array(langs)[:, None] == np.array(names), 1.0, -1.0)
     # landmarks by turns from all languages
     turn = np.zeros(len(langs), int)
@@ -129,10 +138,11 @@ def _fit(langs: list[str], cells: list[np.ndarray]) -> LanguageModel:
     for row, name in enumerate(langs):
         turn[row] = seen[name] = seen.get(name, -1) + 1
     chosen = np.argsort(turn, kind="stable")[:LANDMARKS]
-    landmarks = presence[chosen].T
-    values, vectors = np.linalg.eigh(presence[chosen].astype(np.float64) @ landmarks)
+    landmarks = presence(chosen).T
+    values, vectors = np.linalg.eigh(landmarks.T.astype(np.float64) @ landmarks)
     root = vectors / np.sqrt(np.maximum(values, 1e-6)) @ vectors.T
-    features = np.c_[(presence @ landmarks) @ root, np.ones(len(langs))]
+    blocks = [presence(np.arange(low, min(low + BATCH, len(cells)))) @ landmarks for low in range(0, len(cells), BATCH)]
+    features = np.c_[np.concatenate(blocks) @ root, np.ones(len(langs))]
     # every language weighs the same
     weight = (1 / np.array([langs.count(name) for name in names]))[[names.index(x) for x in langs]]
     gram = (features * weight[:, None]).T @ features + RIDGE * np.eye(features.shape[1])

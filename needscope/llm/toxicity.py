@@ -128,7 +128,8 @@ def fit_toxicity(
     """Fit on at most ``POSITIVES`` texts labelled 1 and ``UNLABELLED`` texts of
     any kind, those with the smallest hashes of the id; the held-out fold and
     null ids are left out. The class prior is the share of label 1 among the
-    labels of the training fold. Repeated rows of one id count once.
+    labels of the training fold. Repeated rows of one id count once, with the
+    text of the least hash.
     """
     rows = docs.select(F.col(id).alias("id"), binary(text).alias("text")).where(F.col("id").isNotNull() & ~held_out("id"))
     known = labels.select(F.col(id).alias("id"), F.col(label).alias("label"))
@@ -145,9 +146,9 @@ def fit_toxicity(
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cells, pa.binary())], ["id", "cells"])
 
         kind = f"id {docs.schema[id].dataType.simpleString()}, cells binary"
-        found = rows.join(chosen, "id").select("id", "text").mapInArrow(present, kind).collect()
-        by_id = {r["id"]: np.frombuffer(bytes(r["cells"]), np.int32) for r in found}
-        return [by_id[key] for key in sorted(by_id)]
+        texts = rows.join(chosen, "id").groupBy("id").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+        found = sorted(texts.mapInArrow(present, kind).collect(), key=lambda r: r["id"])
+        return [np.frombuffer(bytes(r["cells"]), np.int32) for r in found]
 
     positive = sample(known.where(F.col("label") == 1), POSITIVES)
     return train(positive, sample(rows, UNLABELLED), min(max(prior, 1e-4), 0.5))
