@@ -1,7 +1,10 @@
 """Deterministic sharded WARC writer, and a reader for its archives.
 
-Records are cut into shards by key ranges that follow from the data alone,
-sorted inside a shard, and written as one gzip member each. A shard rolls over
+Records are cut into shards by key ranges that follow from the data alone: the
+quantiles of the ids of least hash bound ranges, whose payloads are weighed
+exactly and joined to shards. An id whose payloads alone exceed a shard is
+dealt to several by their digest. Records are sorted inside a shard and written
+as one gzip member each. A shard rolls over
 to a new file by compressed size. Headers, record ids and digests are made
 anew from the record, so equal input gives equal bytes. A task writes under a
 temporary name and renames; only files that the manifest lists count, and the
@@ -15,22 +18,25 @@ import base64
 import hashlib
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from uuid import uuid4
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from needscope.llm.common import binary
+from needscope.llm.common import binary, slices
 from needscope.sources.scratch import settle
 
 LEAST_REVISIT = 1_000  # bytes from which equal payloads are stored once
 SHARD_BYTES = 16 << 20  # payload of a shard, about
 FILE_BYTES = 8 << 20  # compressed size at which a file is closed
 BINS = 4_096  # key ranges that the driver weighs
+SAMPLED = 65_536  # ids, about, whose quantiles bound the ranges
 SALTS = 16
 DATE = "2000-01-01T00:00:00Z"
 FIELDS = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
@@ -75,18 +81,22 @@ def write_archives(pages: DataFrame, folder: str, **names: str) -> DataFrame:
     An empty table gives an empty manifest. Extra columns are ignored.
     """
     key, size = names.get("id", "page_id"), F.coalesce(F.octet_length(names.get("html", "html")), F.lit(0)) + 1
-    shard, shards = _shards(pages, key, size)
-    records = plan_records(pages, **names).withColumn("shard", shard)
+    shard_of, shards = _shards(pages.select(F.col(key).cast("long").alias("key"), size.alias("size")))
+    records = plan_records(pages, **names)
+    records = records.withColumn("shard", shard_of("page_id", F.xxhash64("digest", "url")))
     placed = records.repartition(shards, "shard").sortWithinPartitions("shard", "page_id", "digest", "url")
 
+    limit = FILE_BYTES
+
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, at = fs.FileSystem.from_uri(folder)
         store.create_dir(at)
-        roll = _Roll(store, at)
+        roll = _Roll(store, at, limit)
         for batch in batches:
-            for row in batch.to_pylist():
-                number = row.pop("shard")
-                yield from roll.add(number, encode(Record(**row)))
+            for part in slices(batch, 2):
+                for row in part.to_pylist():
+                    number = row.pop("shard")
+                    yield from roll.add(number, encode(Record(**row)))
         yield from roll.close()
 
     manifest = placed.select("page_id", "url", "payload", "digest", "refers_to", "revisit", "shard")
@@ -94,37 +104,58 @@ def write_archives(pages: DataFrame, folder: str, **names: str) -> DataFrame:
     return pages.sparkSession.read.parquet(f"{folder}/manifest")
 
 
-def _shards(pages: DataFrame, key: str, size) -> tuple:
-    """(shard of a row, number of shards): ranges of the key with about equal payload.
+def _shards(pages: DataFrame) -> tuple[Callable[[str, Column], Column], int]:
+    """(column of the shard from id and hash, number of shards), of about equal payload.
 
-    The key range is cut into equal bins; the driver weighs the bins, not the
-    rows. Null keys are the first shard's.
+    Bounds compare, so ids may lie as far apart as longs can. The driver sees
+    a bounded number of ids and one weight for each range. Null ids come first.
     """
-    low, high = pages.agg(F.min(key), F.max(key)).first()
-    if low is None:
-        return F.lit(0), 1
-    width = -(-(high - low + 1) // BINS)
-    number = F.floor((F.col(key) - low) / width).cast("int")
-    bins = {row["bin"]: row["n"] for row in pages.groupBy(number.alias("bin")).agg(F.sum(size).alias("n")).collect()}
-    starts, held = [], 0
-    for bin_ in sorted(b for b in bins if b is not None):
-        if not starts or held >= SHARD_BYTES:
-            starts.append(bin_)
-            held = 0
-        held += bins[bin_]
-    bounds = F.array(*[F.lit(low + b * width) for b in starts[1:]]).cast("array<long>")
-    here = F.coalesce(F.size(F.filter(bounds, lambda b: b <= F.col("page_id"))), F.lit(0))
-    return F.when(F.col("page_id").isNull(), F.lit(0)).otherwise(here), len(starts)
+    known = pages.where("key is not null")
+    share = min(1.0, SAMPLED / max(known.count(), 1))
+    # 2**31 - 1 hashes: the sample is the same in any order of rows
+    picked = known.where(F.pmod(F.xxhash64("key"), F.lit(2**31 - 1)) < int(share * (2**31 - 1)) + 1)
+    ids = np.sort(picked.select("key").distinct().toArrow()["key"].to_numpy())
+    bounds = np.unique(ids[np.linspace(0, len(ids), BINS, endpoint=False).astype(int)]) if len(ids) else ids
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            key = batch.column(0).to_numpy()
+            at, back = np.unique(np.searchsorted(bounds, key, "right"), return_inverse=True)
+            low, high = np.full(len(at), np.iinfo(np.int64).max), np.full(len(at), np.iinfo(np.int64).min)
+            np.minimum.at(low, back, key), np.maximum.at(high, back, key)
+            total = np.bincount(back, batch.column(1).to_numpy(), len(at)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (at, total, low, high)], ["bin", "size", "low", "high"])
+
+    weighed = known.mapInArrow(weigh, "bin long, size long, low long, high long").groupBy("bin").agg(F.sum("size").alias("size"), F.min("low").alias("low"), F.max("high").alias("high"))
+    first, number, parts = np.zeros(len(bounds) + 1, np.int32), 0, np.ones(len(bounds) + 1, np.int32)
+    held, last = 0, 0
+    for row in weighed.orderBy("bin").collect():
+        first[last + 1 : row["bin"]] = number
+        if held and held + row["size"] > SHARD_BYTES:
+            number, held = number + 1, 0
+        first[row["bin"]] = number
+        if row["low"] == row["high"] and row["size"] > SHARD_BYTES:
+            parts[row["bin"]] = -(-row["size"] // SHARD_BYTES)
+            number, held = number + int(parts[row["bin"]]) - 1, SHARD_BYTES
+        held += row["size"]
+        last = row["bin"]
+
+    @F.pandas_udf("int")
+    def place(key: pd.Series, spread: pd.Series) -> pd.Series:
+        at = np.searchsorted(bounds, key.to_numpy(np.int64), "right")
+        return pd.Series((first[at] + spread.to_numpy(np.int64) % parts[at]).astype(np.int32))
+
+    return lambda key, spread: F.when(F.col(key).isNull(), F.lit(0)).otherwise(place(F.coalesce(key, F.lit(0)), spread)), number + 1
 
 
 class _Roll:
     """The open file of one task."""
 
-    def __init__(self, store: fs.FileSystem, at: str):
-        self.store, self.at, self.out, self.shard, self.part = store, at, None, None, 0
+    def __init__(self, store: fs.FileSystem, at: str, limit: int):
+        self.store, self.at, self.limit, self.out, self.shard, self.part = store, at, limit, None, None, 0
 
     def add(self, shard: int, member: bytes) -> Iterator[pa.RecordBatch]:
-        if self.out and (shard != self.shard or self.bytes >= FILE_BYTES):
+        if self.out and (shard != self.shard or self.bytes >= self.limit):
             yield from self.close()
         if not self.out:
             self.part = self.part + 1 if shard == self.shard else 0
