@@ -27,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from needscope.llm.common import Membership, WordHashes, binary, cell_of, shingle_hashes, table_bits, words_of
@@ -44,14 +44,17 @@ BLOCK = 400  # documents of a block of a long list
 COLUMNS = 4_096  # shingles counted at a time when blocks meet
 SMALL = 12  # documents in a list that is paired in full
 LIST_ROWS = 2_000_000  # list entries in a bucket, about
+LED = 256  # pairs that a document's set meets in one task, about
 
 
 def jaccard_components(
     docs: DataFrame, id: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80
 ) -> DataFrame:
-    """(doc_id, n_shingles, component_id), one row per row of ``docs``.
+    """(doc_id, n_shingles, component_id, text_hash, cluster), one row per row of ``docs``.
 
     component_id is the smallest id reachable by links, the own id included.
+    Where ids are shared, text_hash (xxhash64) tells the rows of an id apart
+    and cluster the components; cluster is null without words.
     Null or empty text, or text without words: no shingles, linked with
     nothing. Fewer than n words are one shingle. Repeated rows and equal texts
     share a set and so a component; a null id takes part in links, but is
@@ -59,7 +62,7 @@ def jaccard_components(
     columns are ignored. An empty table gives no rows. Shingles and sets are
     told apart by 64-bit hashes.
     """
-    rows = docs.select(F.col(id).cast("long").alias("doc_id"), binary(text).alias("text"))
+    rows = docs.select(F.col(id).cast("long").alias("doc_id"), binary(text).alias("text"), F.xxhash64(text).alias("text_hash"))
     signs = settle(_signatures(rows, n, percent, _frequency_classes(rows, n, percent)), "signatures")
     nodes = (
         signs.where("n > 0")
@@ -72,12 +75,10 @@ def jaccard_components(
     named = known.join(components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
     named = settle(named, "named")
     least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    labels = named.join(least, "component").select("node", "component_id")
-    return (
-        signs.select("doc_id", "n", "node")
-        .join(labels, "node", "left")
-        .select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
-    )
+    labels = named.join(least, "component").select("node", "component_id", F.col("component").alias("cluster"))
+    component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
+    told = signs.select("doc_id", "n", "node", "text_hash").join(labels, "node", "left")
+    return told.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), "text_hash", "cluster")
 
 
 # ---- frequency classes ----
@@ -192,11 +193,11 @@ def _signatures(rows: DataFrame, n: int, percent: int, classes: tuple[int, np.nd
                 asked.append(k)
                 prefixes.append(packed(found[: size - need + k]))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(asked, pa.int32()), pa.array(prefixes, pa.binary())],
-                ["doc_id", "n", "node", "k", "prefix"],
+                [batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(asked, pa.int32()), pa.array(prefixes, pa.binary())],
+                ["doc_id", "text_hash", "n", "node", "k", "prefix"],
             )
 
-    return rows.mapInArrow(sign, "doc_id long, n long, node long, k int, prefix binary")
+    return rows.mapInArrow(sign, "doc_id long, text_hash long, n long, node long, k int, prefix binary")
 
 
 def set_hash(found: np.ndarray) -> int:
@@ -391,14 +392,11 @@ def _merged(parts: DataFrame) -> DataFrame:
 def _linked_in_blocks(parts: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links inside lists that hold several components, without a row per pair.
 
-    A list is cut into blocks of documents, in order of component and size.
     Two blocks meet in one task, which counts all overlaps as matrix products
     and returns a spanning set of links. Blocks of one and the same component,
     or whose sizes exclude a link, don't meet.
     """
-    order = Window.partitionBy("list").orderBy("component", "n", "node")
-    place = (F.row_number().over(order) - 1) / BLOCK
-    placed = settle(parts.select("list", "node", "n", "component", F.floor(place).cast("int").alias("block")), "blocks")
+    placed = settle(_in_blocks(parts), "blocks")
     blocks = placed.groupBy("list", "block").agg(
         F.min("component").alias("low"), F.max("component").alias("high"), F.min("n").alias("least"), F.max("n").alias("most")
     )
@@ -421,6 +419,27 @@ def _linked_in_blocks(parts: DataFrame, sets: DataFrame, percent: int) -> DataFr
     return held.groupBy("list", "i", "j").applyInArrow(link, "a long, b long").distinct()
 
 
+def _in_blocks(parts: DataFrame) -> DataFrame:
+    """(list, node, n, component, block): blocks of about BLOCK documents.
+
+    Lists of more documents are cut by size first, in steps of 25 %. A
+    component that fills half a block has blocks of its own, the others share.
+    Only counts are gathered; a document finds its block by hash.
+    """
+    lists = parts.groupBy("list").agg(F.count("*").alias("all"))
+    step = F.when(F.col("all") > BLOCK, F.floor(F.log("n") / np.log(1.25))).otherwise(0)
+    banded = settle(parts.join(lists, "list").select("list", "node", "n", "component", step.alias("band")), "banded")
+    sizes = banded.groupBy("list", "band", "component").agg(F.count("*").alias("size"))
+    chunks = F.ceil(F.sum("size") / BLOCK).alias("chunks")
+    own = settle(sizes.where(F.col("size") >= BLOCK / 2).groupBy("list", "band", "component").agg(chunks), "own-blocks")
+    shared = settle(sizes.where(F.col("size") < BLOCK / 2).groupBy("list", "band").agg(chunks), "shared-blocks")
+    block = lambda *of: F.xxhash64("band", *of).alias("block")
+    kept = ["list", "node", "n", "component"]
+    alone = banded.join(own, ["list", "band", "component"]).select(*kept, block("component", F.pmod(F.xxhash64("node"), "chunks")))
+    rest = banded.join(own, ["list", "band", "component"], "left_anti").join(shared, ["list", "band"])
+    return alone.unionByName(rest.select(*kept, block(F.pmod(F.xxhash64("component"), "chunks"))))
+
+
 def overlaps(found: list[np.ndarray]) -> np.ndarray:
     """Sizes of all pairwise intersections of sorted sets."""
     token, column, times = np.unique(np.concatenate(found), return_inverse=True, return_counts=True)
@@ -484,7 +503,10 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 linked.append(100 * shared >= percent * (len(both) - shared))
             yield batch.select([0, 1]).filter(pa.array(linked, pa.bool_()))
 
+    # a leader of very many pairs meets them in several tasks
+    parts = settle(pairs.groupBy("b").agg(F.ceil(F.count("*") / LED).cast("int").alias("parts")), "pair-parts")
+    salted = pairs.join(parts, "b").withColumn("part", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int")).drop("parts")
     left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("left"))
-    right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("right"))
-    held = pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right")
+    right = sets.join(parts, sets["node"] == parts["b"]).select("b", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("shingles").alias("right"))
+    held = salted.join(left, "a").join(right, ["b", "part"]).select("a", "b", "left", "right")
     return held.mapInArrow(check, "a long, b long").distinct()

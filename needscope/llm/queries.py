@@ -31,7 +31,7 @@ def op1_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op2_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
-    return ngram_join.jaccard_components(scan(spark, folder, "documents"))
+    return ngram_join.jaccard_components(scan(spark, folder, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
 def op3_warc(spark: SparkSession, folder: str) -> DataFrame:
@@ -147,9 +147,13 @@ ORACLE = {
       CASE WHEN n >= 1000 AND page_id <> last THEN last END AS refers_to FROM s""",
     "op7_decontamination": "WITH " + _SHINGLES.format(id="doc_id", table="documents", name="sets")
     + ", " + _SHINGLES.format(id="item_id", table="benchmark", name="items").replace("words", "item_words") + """,
-    d AS (SELECT id, unnest(sh) AS s FROM sets), i AS (SELECT id, len(sh) AS n, unnest(sh) AS s FROM items)
+    i AS (SELECT items.id, least(len(w), 5) AS m, len(sh) AS n, unnest(sh) AS s FROM items JOIN item_words USING (id)),
+    d AS (
+      SELECT id, m, unnest(list_distinct(list_transform(range(1, len(w) - m + 2), lambda i: array_to_string(w[i:i+m-1], ' ')))) AS s
+      FROM words JOIN (SELECT DISTINCT m FROM i) ON len(w) >= m
+    )
     SELECT d.id AS doc_id, i.id AS item_id, i.n AS item_shingles, count(*) AS shared
-    FROM i JOIN d USING (s) GROUP BY d.id, i.id, i.n HAVING 100 * count(*) >= 80 * i.n""",
+    FROM i JOIN d USING (m, s) GROUP BY d.id, i.id, i.n HAVING 100 * count(*) >= 80 * i.n""",
     "op11_spelling_variants": rf"""
     WITH RECURSIVE crc(step) AS (
       SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0]::UBIGINT[],
@@ -160,7 +164,7 @@ ORACLE = {
     ), hashed AS (
       SELECT w, xor(4294967295::UBIGINT, list_reduce(list_prepend(4294967295::UBIGINT,
         list_transform(range(1, length(x), 2), lambda i: ('0x' || substr(x, i, 2))::UBIGINT)),
-        lambda c, b: xor(c >> 8, step[(xor(c, b) & 255) + 1]))) AS h FROM coded, crc
+        lambda c, b: xor(c >> 8, step[((xor(c, b) & 255) + 1)::BIGINT]))) AS h FROM coded, crc
     ), cut AS (
       SELECT CASE WHEN h % 31 = 0 THEN left(w, (h % length(w))::BIGINT) || substr(w, (h % length(w))::BIGINT + 2) ELSE w END AS word FROM hashed
     ), words AS (SELECT word, count(*) AS n FROM cut WHERE length(word) >= 7 GROUP BY word HAVING count(*) >= 2

@@ -8,6 +8,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from needscope.llm import decontaminate, graph, language, line_dedup, mixing, ngram_join, secret_scan, top_k, toxicity, url_filter, warc
@@ -80,6 +81,18 @@ def test_ngram_join_equals_brute_force(spark):
     assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in found) == brute_components(rows)
 
 
+def test_ngram_join_of_several_blocks(spark, monkeypatch):
+    """Long lists that merge, are cut into blocks and led by salted leaders."""
+    for name, value in (("BLOCK", 7), ("LED", 3), ("SMALL", 4), ("LIST_ROWS", 500)):
+        monkeypatch.setattr(ngram_join, name, value)
+    rng = np.random.default_rng(5)
+    common = passage(90, 30).split()
+    texts = [" ".join([*common, *rng.choice([f"v{i}" for i in range(12)], int(rng.integers(0, 9)))]) for _ in range(120)]
+    texts += texts[:5] + [passage(i, 20) for i in range(10)]
+    found = ngram_join.jaccard_components(docs(spark, texts)).collect()
+    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in found) == brute_components(list(enumerate(texts)))
+
+
 def test_ngram_join_edges(spark):
     same = passage(4)
     found = ngram_join.jaccard_components(docs(spark, [same, same, same, None], ids=[5, 5, None, None])).collect()
@@ -234,6 +247,27 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.read_archives(spark, str(tmp_path / "three")).count() == 0
 
 
+@pytest.mark.parametrize("ids", [[*range(60), 4 * 10**18], [-(2**63), *range(60), 2**63 - 1], [5] * 50 + [None] * 5 + [6]])
+def test_warc_shards_of_any_ids(spark, tmp_path, monkeypatch, ids):
+    monkeypatch.setattr(warc, "SHARD_BYTES", 4_000)
+    monkeypatch.setattr(warc, "FILE_BYTES", 600)
+    html = [passage(i, 100) for i in range(len(ids))]
+    pages = spark.createDataFrame([(i, "http://a/", h) for i, h in zip(ids, html)], "page_id long, url string, html string")
+    manifest = warc.write_archives(pages, str(tmp_path / "one")).collect()
+    found = sorted(((r["page_id"], r["payload_digest"]) for r in warc.read_archives(spark, str(tmp_path / "one")).collect()), key=repr)
+    assert found == sorted(((i, hashlib.sha1(h.encode()).hexdigest()) for i, h in zip(ids, html)), key=repr)
+    files = sorted(r["file"] for r in manifest)
+    shards = {f.split("-")[1] for f in files}
+    assert len(shards) > 5 and any(f.endswith("-0001.warc.gz") for f in files)  # several shards, rolled files
+    pages_of = [[int(re.search(rb"urn:page:(-?[0-9]*):", m)[1] or -(2**63)) for m in warc.members((tmp_path / "one" / f).open("rb"))] for f in files]
+    flat = [x for page in pages_of for x in page]
+    assert flat == sorted(flat)  # ranges in order of the shards
+    (tmp_path / "one" / ".shard-000000-0000.warc.gz.left").write_bytes(b"of a lost task")
+    assert len(warc.read_archives(spark, str(tmp_path / "one")).collect()) == len(ids)
+    again = warc.write_archives(pages.repartition(4), str(tmp_path / "two")).collect()
+    assert sorted(map(tuple, manifest)) == sorted(map(tuple, again))
+
+
 def test_top_k_equals_brute_force(spark):
     rng = np.random.default_rng(5)
     vectors = [(i, rng.normal(size=8).round(2).tolist(), "x") for i in range(3000)]
@@ -276,6 +310,16 @@ def test_language(spark):
     assert {r["lang_pred"] for r in language.identify(frame, empty).collect()} == {"und"}
 
 
+def test_language_sample_is_bounded_by_ids(spark):
+    rows = [(7, f"the cat and the hat {i % 3}", "en") for i in range(3_000)] + [(i + 10, "und der Hund ist da", "de") for i in range(30)]
+    rows += [(7, "le chat", "fr"), (9, "le chien est la", "fr")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.fit_languages(frame)
+    assert model.languages == ("de", "en", "fr") and model.landmarks.shape[1] <= 33
+    again = language.fit_languages(frame.repartition(5))
+    assert (model.landmarks == again.landmarks).all() and np.allclose(model.weights, again.weights)
+
+
 def brute_base_spans(text):
     found = []
     for order, (kind, pattern, group, least) in enumerate((
@@ -311,21 +355,68 @@ def test_secret_of_one_source_in_many_documents(spark):
     assert all(found[i]["n_live"] == 1 and found[i]["n_copied"] == 0 for i in range(12, 34))  # copies of one text, and ten texts
 
 
+def grams(text, n):
+    words = WORD.findall(text.translate(url_filter.LOWER) if text else "")
+    return {tuple(words[i : i + n]) for i in range(len(words) - n + 1)}
+
+
+def brute_contamination(texts, items):
+    out = []
+    for item, text in items:
+        n = min(5, len(WORD.findall(text or "")))
+        wanted = grams(text, n) if n else set()
+        for doc, other in texts:
+            shared = len(wanted & grams(other, n))
+            if wanted and 100 * shared >= 80 * len(wanted):
+                out.append((doc, item, len(wanted), shared))
+    return sorted(out, key=repr)
+
+
+def check_contamination(spark, texts, items):
+    bench = spark.createDataFrame([(i, t, "x") for i, t in items], "item_id long, text string, doc_id string")
+    frame = docs(spark, [t for _, t in texts], ids=[d for d, _ in texts])
+    found = sorted((tuple(r) for r in decontaminate.contamination(frame, bench).collect()), key=repr)
+    assert found == brute_contamination(texts, items)
+    clean = decontaminate.without_items(frame, bench)
+    dirty = {t for (d, t) in texts if any(brute_contamination([(0, t)], items))}
+    assert clean.columns == frame.columns
+    assert sorted((r["doc_id"], r["text"]) for r in clean.collect() if r["doc_id"] is not None) == sorted((d, t) for d, t in texts if t not in dirty and d is not None)
+    return found
+
+
 def test_decontamination_equals_brute_force(spark):
-    items = [(i, passage(300 + i, int(n)), "x") for i, n in enumerate(np.random.default_rng(1).integers(6, 60, 40))] + [(90, None, "x"), (91, "two words", "x")]
+    items = [(i, passage(300 + i, int(n))) for i, n in enumerate(np.random.default_rng(1).integers(6, 60, 40))] + [(90, None), (91, "two words"), (92, passage(1, 900))]
     texts = [passage(600 + i, 200) + " " + " ".join(items[j][1] for j in range(i % 5)) + " end" for i in range(20)]
-    texts += [" ".join(t for _, t, _ in items[:40]), " ".join(items[3][1].split()[:-2]), None, "", "two words", "has two words"]
-    bench = spark.createDataFrame(items, "item_id long, text string, doc_id string")
-    frame = docs(spark, texts)
-    found = sorted((r["doc_id"], r["item_id"], r["shared"]) for r in decontaminate.contamination(frame, bench).collect())
-    expected = [
-        (d, i, len(shingles(t) & shingles(x))) for d, t in enumerate(texts) for i, x, _ in items
-        if shingles(x) and 100 * len(shingles(t) & shingles(x)) >= 80 * len(shingles(x))
-    ]
-    assert found == sorted(expected) and len(found) > 60
-    clean = {r["doc_id"] for r in decontaminate.without_items(frame, bench).collect()}
-    assert clean == set(range(len(texts))) - {d for d, _, _ in expected}
-    assert decontaminate.contamination(frame, bench.limit(0)).count() == 0
+    texts += [" ".join(t for _, t in items[:40]), " ".join(items[3][1].split()[:-2]), None, "", "two words", "has Two\nWORDS"]
+    found = check_contamination(spark, list(enumerate(texts)), items)
+    assert len(found) > 60
+
+
+def test_short_and_repeated_items(spark):
+    items = [(1, "alpha"), (2, "alpha beta"), (3, "beta gamma delta"), (4, "one two three four"), (4, "one two three four"), (None, "a b c d e"), (6, ""), (7, " \t")]
+    texts = [(0, "x alpha y"), (1, "alpha beta"), (1, "z alpha  beta gamma delta"), (2, "one two three"), (3, "zero one two three four five"), (None, "a b c d e"), (5, None), (6, ""), (7, "w " * 40_000 + "A B C D E " + "v " * 40_000)]
+    found = check_contamination(spark, texts, items)
+    assert sum(item == 4 for _, item, *_ in found) == 2 and (7, None, 1, 1) in found
+    frame, bench = docs(spark, ["alpha"]), spark.createDataFrame(items, "item_id long, text string")
+    assert decontaminate.contamination(frame.limit(0), bench).count() == 0 and decontaminate.contamination(frame, bench.limit(0)).count() == 0
+    assert decontaminate.without_items(frame, bench.limit(0)).count() == 1
+
+
+def test_many_short_items_in_one_scan(spark):
+    """100,000 items of six words, half of them in documents; none passes through the driver."""
+    items = spark.range(100_000).selectExpr("id AS item_id", "concat_ws(' ', transform(sequence(0, 5), i -> concat('w', id * 6 + i))) AS text")
+    held = items.where("item_id % 2 = 0").groupBy(F.floor(F.col("item_id") / 100).alias("doc_id")).agg(F.concat_ws(" ", F.sort_array(F.collect_list("text"))).alias("text"))
+    found = decontaminate.contamination(held, items)
+    assert found.where("item_id % 2 = 0 and shared = item_shingles and doc_id = floor(item_id / 100)").count() == found.count() == 50_000
+
+
+def test_band_width_finds_the_least_match():
+    for least in (1, 5, 40, 300):
+        for size in range(least, 3_000, 97):
+            width = decontaminate.band_width(least, size, 80)
+            shared = 0.8 * least
+            similar = shared / max(least + size - shared, shared)
+            assert width is None or (1 - similar**width) ** (64 // width) <= 1e-9
 
 
 def test_toxicity_held_out(spark):
@@ -341,6 +432,14 @@ def test_toxicity_held_out(spark):
     assert toxicity.score_toxicity(frame, none).agg({"predicted": "max"}).first()[0] == 0
 
 
+def test_toxicity_of_repeated_ids(spark):
+    rows = [(i, passage(i, 30) + (" foulword" if i % 8 == 0 else "")) for i in range(200)] + [(8, f"other text {i}") for i in range(50)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").withColumn("score", F.lit("x"))
+    labels = spark.createDataFrame([(i, int(i % 8 == 0)) for i in range(200)] * 2, "doc_id long, toxic int")
+    one, two = (toxicity.fit_toxicity(f, labels) for f in (frame, frame.repartition(6)))
+    assert (one.weights == two.weights).all() and toxicity.score_toxicity(frame, one).count() == 250
+
+
 def test_url_filter(spark):
     from needscope.llm.queries import URL_RULES
 
@@ -408,6 +507,17 @@ def test_apportion_equals_highest_quotients(spark):
     assert [r["won"] for r in mixing.apportion(table, [], ["key"]).orderBy("key").collect()] == seats
 
 
+def test_near_duplicate_stage_goes_by_row(spark):
+    base, other, third = passage(1, 60), passage(2, 60), passage(3, 60)
+    near = base + " more"
+    rows = [(1, base), (5, near), (5, other), (5, other), (6, third), (None, third), (None, other + " x"), (None, passage(4, 50)), (8, None), (8, ""), (8, None)]
+    frame = docs(spark, [t for _, t in rows], ids=[i for i, _ in rows])
+    left = corpus_pipeline.near_duplicates(spark, frame, "")
+    assert left.columns == frame.columns
+    told = sorted(((r["doc_id"], r["text"]) for r in left.collect()), key=repr)
+    assert told == sorted([(1, base), (5, other), (6, third), (None, passage(4, 50)), (8, None), (8, ""), (8, None)], key=repr)
+
+
 def test_pipeline(spark, tmp_path):
     texts = [f"the cat and that other thing {passage(i, 30)}" for i in range(40)]
     texts += [texts[3], texts[4] + " more", passage(800, 20) + " and the cat", "12 34", None]
