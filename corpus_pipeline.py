@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from uuid import uuid4
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from needscope.llm import decontaminate, language, line_dedup, mixing, ngram_join
 from needscope.sources.readers import scan
-from needscope.sources.scratch import scratch_dir
+from needscope.sources.scratch import scratch_dir, settle
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,15 +23,27 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: the one with the smallest id.
+    """One document of each group: the one with the smallest id, ties by the hash of the text.
 
-    Documents without words stay. Of repeated rows of one id one stays; rows
-    with a null id all stay.
+    Rows go by id and text, so other texts under a removed id stay. Null ids
+    come last. Of repeated rows one stays. Documents without words all stay.
     """
-    found = ngram_join.jaccard_components(docs)
-    groups = found.where("n_shingles > 0 and doc_id <> component_id").select("doc_id").distinct()
-    left = docs.join(groups, "doc_id", "left_anti").select(*docs.columns)
-    return left.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(left.where("doc_id is null"))
+    found = settle(ngram_join.jaccard_components(docs).where("n_shingles > 0").select("doc_id", "text_hash", "cluster"), "near-duplicates")
+    row = ["doc_id", "text_hash"]
+    first = found.groupBy("cluster").agg(F.min(F.struct(F.isnull("doc_id").alias("none"), *row)).alias("kept"))
+    kept = settle(first.select(*[F.col(f"kept.{x}").alias(x) for x in row]), "kept")
+    rows = found.groupBy(*row).agg(F.count("*").alias("n"))
+    gone = settle(rows.join(kept, _same(rows, kept), "left_anti").select(*row), "gone")
+    again = settle(rows.where("n > 1").join(kept, _same(rows, kept), "left_semi").select(*row), "repeated")
+
+    left = docs.withColumn("text_hash", F.xxhash64("text"))
+    left = left.join(gone, _same(left, gone), "left_anti")
+    repeated = left.join(again, _same(left, again), "left_semi").dropDuplicates(row)
+    return left.join(again, _same(left, again), "left_anti").unionByName(repeated).select(*docs.columns)
+
+
+def _same(one: DataFrame, other: DataFrame) -> Column:
+    return one["doc_id"].eqNullSafe(other["doc_id"]) & (one["text_hash"] == other["text_hash"])
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
