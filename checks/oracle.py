@@ -621,6 +621,8 @@ _add(
     gold_benchmarks="""SELECT * EXCLUDE (benchmark_group, benchmark_label), TRUE AS has_group, TRUE AS has_label
         FROM benchmarks""",
     kmeans_groups="SELECT project_code, TRUE AS in_nearest_group FROM benchmarks",
+    comparables_fitted="""SELECT project_code, TRUE AS in_same_block, TRUE AS as_many_as_there_are,
+        TRUE AS ranks_without_gap, TRUE AS has_label FROM benchmarks""",
     kmeans_sweep="""SELECT CAST(k AS INTEGER) AS k, COUNT(*) AS n_projects, TRUE AS silhouette_in_bounds,
         TRUE AS sizes_in_bounds, CAST(1 AS BIGINT) AS n_best FROM benchmarks, RANGE(4, 10) ks(k) GROUP BY k""",
     silhouette=f"""

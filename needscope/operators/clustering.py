@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from multiprocessing.pool import ThreadPool
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
+from uuid import uuid4
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.util import inheritable_thread_target
 
 from needscope.config import Config
 from needscope.functions.labels import GROUP_LABELS
@@ -144,34 +146,142 @@ def _silhouette(df: DataFrame) -> float:
     return evaluator.evaluate(df)
 
 
-def sweep(df: DataFrame, ks: Sequence[int], cfg: Config = Config(), parallelism: int = 3) -> DataFrame:
-    """Projects, silhouette and group sizes per k over one written scaled table.
+SEEDED = 4_096  # rows, those of least hash, from which the first centres are drawn
 
-    The silhouette is null where fewer than two groups hold rows.
 
-    Fits run side by side, so executors that wait for the end of one
-    iteration work on another fit. Only per-k figures reach the driver.
-    """
-    indexed = settle(index_category(df.select(*FEATURES, CATEGORY)), "indexed")
-    scaled = settle(scale_features(indexed, [*FEATURES, f"{CATEGORY}_index"]).select("features"), "scaled").persist()
+def sweep(df: DataFrame, ks: Sequence[int], cfg: Config = Config()) -> DataFrame:
+    """Projects, silhouette and group sizes per k over one written scaled table.
 
-    def measure(k: int) -> tuple[int, int, float | None, int, int]:
-        model = _kmeans(k, cfg).fit(scaled)
-        sizes = model.summary.clusterSizes
-        score = _silhouette(model.transform(scaled)) if sum(size > 0 for size in sizes) > 1 else None
-        return k, sum(sizes), score, min(sizes), max(sizes)
+    The silhouette is null where fewer than two groups hold rows. Rows without
+    a feature are left out.
 
+    All k move together: one scan gives the sums of the centres of every k
+    that still moves, two more at the end the sizes and silhouettes of all. So
+    the scans grow with the iterations and not with the number of k.
+    """
+    indexed = settle(index_category(clean_features(df).select(*FEATURES, CATEGORY)), "indexed")
+    scaled = scale_features(indexed, [*FEATURES, f"{CATEGORY}_index"]).select(vector_to_array("features").alias("x"))
+    points = settle(scaled, "scaled").persist()
     try:
-        with ThreadPool(parallelism) as pool:
-            rows = pool.map(inheritable_thread_target(measure), ks)
+        centres = move_centres(points, first_centres(points, ks, cfg), cfg)
+        sums = group_sums(points, centres)
+        scores = silhouettes(points, centres, sums)
     finally:
-        scaled.unpersist()
+        points.unpersist()
+    rows = []
+    for k in ks:
+        sizes = [int(n) for n in sums[k][:, -1]] + [0] * (k - len(sums[k]))
+        rows.append((k, sum(sizes), scores[k], min(sizes), max(sizes)))
     schema = "k int, n_projects bigint, silhouette double, min_size bigint, max_size bigint"
     found = inline_rows(df.sparkSession, rows, schema)
     best = max(rows, key=lambda row: (row[2] is not None, row[2] or 0.0, -row[0]))[0]
     return found.withColumn("is_best", F.col("k") == best)
 
 
+Centres = dict[int, np.ndarray]  # by k; at most k rows
+
+
+def first_centres(points: DataFrame, ks: Sequence[int], cfg: Config) -> Centres:
+    """Far-apart rows of a bounded sample, each drawn by its squared distance to those before."""
+    sample = points.orderBy(F.xxhash64("x"), "x").limit(SEEDED).collect()
+    x = np.array([r["x"] for r in sample], float).reshape(len(sample), -1)
+    out: Centres = {}
+    for k in ks:
+        draw = np.random.default_rng(cfg.seed)
+        chosen = [x[draw.integers(len(x))]] if len(x) else []
+        apart = ((x - chosen[0]) ** 2).sum(1) if chosen else np.empty(0)
+        while 0 < len(chosen) < k and apart.max() > 0:
+            chosen.append(x[draw.choice(len(x), p=apart / apart.sum())])
+            apart = np.minimum(apart, ((x - chosen[-1]) ** 2).sum(1))
+        out[k] = np.array(chosen).reshape(len(chosen), x.shape[1])
+    return out
+
+
+def move_centres(points: DataFrame, centres: Centres, cfg: Config) -> Centres:
+    """Lloyd's iterations for all k at once, until none moves more than ``cfg.tol``."""
+    done, moving = dict(centres), dict(centres)
+    for _ in range(cfg.max_iter):
+        sums = group_sums(points, moving) if moving else {}
+        for k in list(moving):
+            held = sums[k][:, -1:]
+            new = np.where(held > 0, sums[k][:, :-2] / np.maximum(held, 1), moving[k])
+            still = ((new - moving[k]) ** 2).sum(1).max(initial=0.0) <= cfg.tol**2
+            done[k] = moving[k] = new
+            if still:
+                del moving[k]
+        if not moving:
+            break
+    return done
+
+
+def group_sums(points: DataFrame, centres: Centres) -> Centres:
+    """Per k and group: sums of the features, of the squared norms, and the rows. One scan."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = {k: np.zeros((len(c), c.shape[1] + 2)) for k, c in centres.items()}
+        for batch in batches:
+            x = _matrix(batch)
+            wide = np.c_[x, (x**2).sum(1), np.ones(len(x))]
+            for k, c in centres.items():
+                nearest = _distances(x, c).argmin(1) if len(c) else np.empty(0, int)
+                held[k] += (nearest[:, None] == np.arange(len(c))).T.astype(float) @ wide[: len(nearest)]
+        for k, total in held.items():
+            group, axis = np.indices(total.shape)
+            columns = [np.full(total.size, k), group.ravel(), axis.ravel(), total.ravel()]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["k", "part", "axis", "value"])
+
+    out = {k: np.zeros((len(c), c.shape[1] + 2)) for k, c in centres.items()}
+    for r in points.mapInArrow(add, _VALUES).groupBy("k", "part", "axis").agg(F.sum("value").alias("value")).collect():
+        out[r.k][r.part, r.axis] = r.value
+    return out
+
+
+def silhouettes(points: DataFrame, centres: Centres, sums: Centres) -> dict[int, float | None]:
+    """Mean silhouette by squared distances per k, in one scan.
+
+    The mean squared distance of a row to a group follows from the group's
+    sums, so no pairs are formed. A row alone in its group counts as 0.
+    """
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = dict.fromkeys(centres, 0.0)
+        for batch in batches:
+            x = _matrix(batch)
+            norm, every = (x**2).sum(1)[:, None], np.arange(len(x))
+            for k, c in centres.items():
+                rows = sums[k][:, -1]
+                if (rows > 0).sum() < 2 or not len(x):
+                    continue
+                own = _distances(x, c).argmin(1)
+                apart = np.maximum(norm * rows + sums[k][:, -2] - 2 * x @ sums[k][:, :-2].T, 0)
+                inside = apart[every, own] / np.maximum(rows[own] - 1, 1)
+                with np.errstate(invalid="ignore", divide="ignore"):
+                    apart = np.where(rows > 0, apart / rows, np.inf)
+                apart[every, own] = np.inf
+                outside = apart.min(1)
+                most = np.maximum(inside, outside)
+                value = np.where((rows[own] > 1) & (most > 0), (outside - inside) / np.where(most > 0, most, 1), 0)
+                total[k] += float(value.sum())
+        columns = [list(total), [0] * len(total), [0] * len(total), list(total.values())]
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64())
+        yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, kinds)], ["k", "part", "axis", "value"])
+
+    found = {r.k: r.value for r in points.mapInArrow(score, _VALUES).groupBy("k").agg(F.sum("value").alias("value")).collect()}
+    several = {k: (sums[k][:, -1] > 0).sum() > 1 for k in centres}
+    return {k: float(found[k] / sums[k][:, -1].sum()) if several[k] else None for k in centres}
+
+
+_VALUES = "k long, part long, axis long, value double"
+
+
+def _matrix(batch: pa.RecordBatch) -> np.ndarray:
+    return batch.column(0).flatten().to_numpy().reshape(batch.num_rows, -1) if batch.num_rows else np.empty((0, 0))
+
+
+def _distances(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    return (x**2).sum(1)[:, None] - 2 * x @ centres.T + (centres**2).sum(1)
+
+
 def group_sizes(df: DataFrame) -> DataFrame:
     return df.groupBy("benchmark_group").agg(F.count(F.lit(1)).alias("num_projects"))
 
@@ -208,15 +318,85 @@ def label_groups(df: DataFrame, cfg: Config = Config()) -> DataFrame:
     label, not the id; places beyond the texts get the plain label. The join
     is left to the planner.
     """
+    return _labelled(df, group_labels(df))
+
+
+def _labelled(df: DataFrame, lookup: DataFrame) -> DataFrame:
+    labelled = join_null_safe(df, lookup, ["benchmark_group"], "left")
+    plain = F.concat(F.lit("Group "), F.col("benchmark_group").cast("string"))
+    return labelled.withColumn("benchmark_label", F.coalesce("benchmark_label", plain))
+
+
+def group_labels(df: DataFrame) -> DataFrame:
+    """(benchmark_group, benchmark_label) by the average budget; no label beyond the texts."""
     known = df.filter(F.col("benchmark_group").isNotNull())
     budgets = known.groupBy("benchmark_group").agg(exact_avg(F.col("budget_usd")).alias("__avg"))
     order = Window.orderBy("__avg", "benchmark_group")
     placed = budgets.select("benchmark_group", (F.row_number().over(order) - 1).alias("__place"))
     names = inline_rows(df.sparkSession, list(enumerate(GROUP_LABELS)), "__place int, benchmark_label string")
-    lookup = placed.join(F.broadcast(names), "__place", "left").drop("__place")
-    labelled = join_null_safe(df, lookup, ["benchmark_group"], "left")
-    plain = F.concat(F.lit("Group "), F.col("benchmark_group").cast("string"))
-    return labelled.withColumn("benchmark_label", F.coalesce("benchmark_label", plain))
+    return placed.join(F.broadcast(names), "__place", "left").drop("__place")
+
+
+@dataclass(frozen=True)
+class GroupModel:
+    """A fitted model with the category numbers and the labels it goes with."""
+
+    model: PipelineModel
+    places: DataFrame
+    labels: DataFrame
+
+    def benchmarks(self, projects: DataFrame) -> DataFrame:
+        """The benchmark table of any projects, in the groups and labels of the fit.
+
+        Rows without a feature are left out; a sector that the fit has not
+        seen counts as one more category.
+        """
+        indexed = index_category(clean_features(projects), places=self.places)
+        return benchmarks(_labelled(assign_groups(self.model, indexed), self.labels))
+
+
+def fit_group_model(projects: DataFrame, cfg: Config = Config()) -> GroupModel:
+    clean = clean_features(projects)
+    places = category_places(clean)
+    indexed = settle(index_category(clean, places=places), "indexed")
+    model = fit_groups(indexed, cfg=cfg)
+    return GroupModel(model, places, settle(group_labels(assign_groups(model, indexed)), "group-labels"))
+
+
+_VERSIONS = "version bigint, at string"
+
+
+def save_group_model(found: GroupModel, folder: str) -> int:
+    """Keep a fit as the next version below ``folder``; its number.
+
+    Everything is written under a name of its own first. The row in
+    ``versions`` comes last and makes the version count, so a lost job leaves
+    the versions as they were. One writer at a time.
+    """
+    spark = found.places.sparkSession
+    version, at = len(_versions(spark, folder)) + 1, f"{folder}/fit-{uuid4().hex}"
+    found.model.write().save(f"{at}/model")
+    found.places.write.parquet(f"{at}/places")
+    found.labels.write.parquet(f"{at}/labels")
+    inline_rows(spark, [(version, at)], _VERSIONS).coalesce(1).write.mode("append").parquet(f"{folder}/versions")
+    return version
+
+
+def load_group_model(spark: SparkSession, folder: str, version: int | None = None) -> GroupModel:
+    """A version of the model, the latest unless named; an unknown one is an error."""
+    known = _versions(spark, folder)
+    chosen = max(known, default=0) if version is None else version
+    if chosen not in known:
+        raise LookupError(f"no version {version or ''} of a group model in {folder}")
+    at = known[chosen]
+    return GroupModel(PipelineModel.load(f"{at}/model"), spark.read.parquet(f"{at}/places"), spark.read.parquet(f"{at}/labels"))
+
+
+def _versions(spark: SparkSession, folder: str) -> dict[int, str]:
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/versions")
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        return {}
+    return {r.version: r.at for r in spark.read.schema(_VERSIONS).parquet(f"{folder}/versions").collect()}
 
 
 def benchmarks(labelled: DataFrame) -> DataFrame:

@@ -5,17 +5,20 @@ Each table is written once and read by everything behind it.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from needscope import schemas
 from needscope.config import Config
 from needscope.functions.allocations import add_allocation_metrics
 from needscope.functions.funding import add_funding_metrics
 from needscope.functions.projects import add_project_metrics
-from needscope.operators import clustering, rollups, scoring
+from needscope.operators import clustering, comparables, quality, rollups, scoring
 from needscope.operators.allocations import enrich_allocations
-from needscope.sources import sinks
+from needscope.sources import readers, sinks
 from needscope.sources.scratch import settle
 
 
@@ -51,12 +54,9 @@ def regional_ranks(silver: DataFrame) -> DataFrame:
     return settle(ranks, "regional-ranks")
 
 
-def gold_benchmarks(projects: DataFrame, cfg: Config = Config()) -> DataFrame:
-    """Projects with KMeans group and label."""
-    indexed = settle(clustering.index_category(clustering.clean_features(projects)), "indexed")
-    model = clustering.fit_groups(indexed, cfg=cfg)
-    grouped = settle(clustering.assign_groups(model, indexed), "grouped")
-    return clustering.benchmarks(clustering.label_groups(grouped, cfg))
+def gold_benchmarks(projects: DataFrame, cfg: Config = Config(), groups: clustering.GroupModel | None = None) -> DataFrame:
+    """Projects with KMeans group and label; fitted on them unless a model is given."""
+    return (groups or clustering.fit_group_model(projects, cfg)).benchmarks(projects)
 
 
 Tables = dict[str, DataFrame]
@@ -74,8 +74,40 @@ def table_sink(spark: SparkSession, database: str, location: str | None = None)
     return save
 
 
-def run(sources: Tables, sink: Sink = settle, cfg: Config = Config()) -> Tables:
-    """All tables from ``needs``, ``projects`` and ``allocations``."""
+def load_files(spark: SparkSession, paths: Mapping[str, str]) -> tuple[Tables, DataFrame]:
+    """(needs, projects and allocations from headed CSV files, (source, file, encoding, n_rows, n_bad)).
+
+    Headers are normalised and renamed to the contract, text that does not
+    parse becomes null. Records with too few or too many fields stay out and
+    are counted.
+    """
+    contracts = {"needs": (schemas.NEEDS, schemas.NEEDS_FILE_NAMES), "projects": (schemas.PROJECTS, {}), "allocations": (schemas.ALLOCATIONS, {})}
+    tables, files = {}, []
+    for name, (schema, rename) in contracts.items():
+        found = readers.read_csv(spark, paths[name])
+        tables[name] = readers.conform(readers.normalise_columns(found.rows), schema, rename)
+        files.append(found.files.select(F.lit(name).alias("source"), "*"))
+    return tables, reduce(DataFrame.unionByName, files)
+
+
+def run_files(spark: SparkSession, paths: Mapping[str, str], sink: Sink = settle, cfg: Config = Config()) -> Tables:
+    """From CSV files to all tables, with ``input_files``, ``quality_report`` and ``inventory``."""
+    sources, files = load_files(spark, paths)
+    done = run(sources, sink, cfg)
+    needs = done["needs"]
+    checks = (quality.null_counts, quality.impossible_rows, quality.required_columns, quality.contract_checks)
+    report = reduce(DataFrame.unionByName, [check(needs).withColumn("check", F.lit(check.__name__)) for check in checks])
+    done["inventory"] = sink(sinks.table_inventory(done), "inventory")
+    done["input_files"] = sink(files, "input_files")
+    done["quality_report"] = sink(report.select("check", "rule", "n_bad", "passed"), "quality_report")
+    return done
+
+
+def run(sources: Tables, sink: Sink = settle, cfg: Config = Config(), groups: clustering.GroupModel | None = None) -> Tables:
+    """All tables from ``needs``, ``projects`` and ``allocations``.
+
+    Give ``groups`` to put the projects into the groups of an earlier fit.
+    """
     done: Tables = {}
 
     def write(name: str, df: DataFrame) -> DataFrame:
@@ -94,5 +126,6 @@ def run(sources: Tables, sink: Sink = settle, cfg: Config = Config()) -> Tables:
     write("gold_regional", rollups.regional_summary(ranked))
     write("gold_cluster", rollups.cluster_summary(ranked))
     write("gold_mismatch", rollups.mismatch(ranked, cfg))
-    write("gold_benchmarks", gold_benchmarks(silver, cfg))
+    benchmarks = write("gold_benchmarks", gold_benchmarks(silver, cfg, groups))
+    write("gold_comparables", comparables.comparables_all(benchmarks, settle, cfg=cfg))
     return done

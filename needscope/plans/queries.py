@@ -480,6 +480,33 @@ def comparables_all(s: Store) -> DataFrame:
     return comparables.comparables_all(s.fixed_benchmarks, settle, cfg=s.cfg)
 
 
+@query
+def comparables_fitted(s: Store) -> DataFrame:
+    """What holds for any fit: projects put into saved groups, and their comparables."""
+    home = f"{scratch_dir(s.spark)}/group-model-{uuid4().hex}"
+    clustering.save_group_model(clustering.fit_group_model(s.silver_projects, s.cfg), home)
+    table = settle(clustering.load_group_model(s.spark, home).benchmarks(s.silver_projects), "fitted-benchmarks")
+    found = comparables.comparables_all(table, settle, cfg=s.cfg)
+    block = [*comparables.BLOCK]
+    own = table.select("project_code", *block, "benchmark_label")
+    other = own.select(F.col("project_code").alias("comparable_code"), *[F.col(c).alias(f"other_{c}") for c in block])
+    paired = found.join(own.drop("benchmark_label"), "project_code").join(other, "comparable_code")
+    same = F.col("benchmark_group").eqNullSafe(F.col("other_benchmark_group")) & (F.col("cluster") == F.col("other_cluster"))
+    told = paired.groupBy("project_code").agg(
+        F.count(F.lit(1)).alias("n"), F.max("comparable_rank").alias("last"), F.count_distinct("comparable_code").alias("codes"),
+        F.every(same & (F.col("comparable_code") != F.col("project_code"))).alias("fits"),
+    )
+    sizes = table.groupBy(*block).agg(F.count(F.lit(1)).alias("size"))
+    n = F.coalesce("n", F.lit(0))
+    return own.join(sizes, block).join(told, "project_code", "left").select(
+        "project_code",
+        F.coalesce("fits", F.lit(True)).alias("in_same_block"),
+        (n == F.least(F.col("size") - 1, F.lit(s.cfg.neighbours))).alias("as_many_as_there_are"),
+        F.coalesce((F.col("last") == n) & (F.col("codes") == n), F.lit(True)).alias("ranks_without_gap"),
+        F.col("benchmark_label").isNotNull().alias("has_label"),
+    )
+
+
 @query
 def comparables_all_split(s: Store) -> DataFrame:
     """The same over small cells, so that blocks are split in several rounds."""

@@ -1,6 +1,8 @@
 import random
 
+import numpy as np
 import pytest
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from needscope.config import Config
@@ -113,6 +115,68 @@ def test_sweep_names_one_best(spark):
     assert best.is_best
 
 
+def sweep_points(spark, n=300):
+    silver = medallion.silver_projects(golden.projects(spark, random_projects(4, n)))
+    scaled = clustering.scale_features(clustering.clean_features(silver), clustering.FEATURES)
+    return scaled.select("project_code", "features", clustering.vector_to_array("features").alias("x")).cache()
+
+
+def test_sweep_figures_equal_those_of_the_evaluator(spark):
+    rows = sweep_points(spark)
+    points, cfg = rows.select("x"), Config()
+    centres = clustering.move_centres(points, clustering.first_centres(points, [2, 5], cfg), cfg)
+    sums = clustering.group_sums(points, centres)
+    scores = clustering.silhouettes(points, centres, sums)
+    x = np.array([r.x for r in points.collect()])
+    for k in (2, 5):
+        own = ((x[:, None] - centres[k]) ** 2).sum(2).argmin(1)
+        means = np.array([x[own == g].mean(0) for g in range(k)])
+        assert np.bincount(own, minlength=k).tolist() == sums[k][:, -1].tolist()
+        assert np.abs(means - centres[k]).max() < 1e-3  # at rest
+        numbered = spark.createDataFrame([(list(map(float, p)), int(g)) for p, g in zip(x, own)], "x array<double>, benchmark_group int")
+        vectors = numbered.select(array_to_vector("x").alias("features"), "benchmark_group")
+        assert scores[k] == pytest.approx(clustering._silhouette(vectors), abs=1e-9)
+
+
+def test_sweep_scans_do_not_grow_with_the_number_of_k(spark):
+    points = sweep_points(spark).select("x")
+    cfg, context = Config(max_iter=4, tol=0.0), spark.sparkContext
+    jobs = []
+    for ks in ([6], [3, 4, 5, 6, 7, 8]):
+        context.setJobGroup(f"sweep-{len(ks)}", "")
+        clustering.move_centres(points, clustering.first_centres(points, ks, cfg), cfg)
+        jobs.append(len(context.statusTracker().getJobIdsForGroup(f"sweep-{len(ks)}")))
+    context.setLocalProperty("spark.jobGroup.id", None)
+    assert 0 < jobs[1] <= jobs[0]  # each k alone would take its own
+
+
+def test_sweep_of_few_distinct_projects(spark):
+    rows = [(f"p{i}", "A", 1000 * (1 + i % 2), 5, 1) for i in range(8)]
+    found = {r.k: r for r in clustering.sweep(medallion.silver_projects(golden.projects(spark, rows)), [1, 2, 3]).collect()}
+    assert found[1].silhouette is None and found[2].silhouette == pytest.approx(1) and found[3].min_size == 0
+    assert all(r.n_projects == 8 for r in found.values())
+
+
+def test_group_model_is_kept_by_version(spark, tmp_path):
+    old = medallion.silver_projects(golden.projects(spark, random_projects(3, 200))).cache()
+    new = medallion.silver_projects(golden.projects(spark, [*random_projects(9, 50), ("new", "Unseen sector", 500_000, 1_000, 1)])).cache()
+    folder = str(tmp_path / "models")
+    with pytest.raises(LookupError):
+        clustering.load_group_model(spark, folder)
+    first = clustering.fit_group_model(old)
+    assert clustering.save_group_model(first, folder) == 1
+    assert clustering.save_group_model(clustering.fit_group_model(old, Config(groups=3)), folder) == 2
+    (tmp_path / "models" / "fit-of-a-lost-job").mkdir()
+    told = lambda df: sorted((r.project_code, r.benchmark_group, r.benchmark_label) for r in df.collect())
+    again = clustering.load_group_model(spark, folder, 1)
+    assert told(again.benchmarks(new)) == told(first.benchmarks(new)) and len(told(again.benchmarks(new))) == 51
+    assert told(again.benchmarks(old)) == told(medallion.gold_benchmarks(old, groups=first))
+    assert {g for _, g, _ in told(clustering.load_group_model(spark, folder).benchmarks(old))} == {0, 1, 2}
+    pairs = comparables.comparables_all(settle(again.benchmarks(new), "b"), settle).collect()
+    group = {code: g for code, g, _ in told(again.benchmarks(new))}
+    assert pairs and all(group[r.project_code] == group[r.comparable_code] and r.project_code != r.comparable_code for r in pairs)
+
+
 def test_dominant_sector_and_index_ties_go_by_name(spark):
     rows = [("a", "B", 1000, 5, 1), ("b", "A", 1000, 5, 1), ("c", "A", 1000, 5, 1), ("d", "B", 1000, 5, 1)]
     df = medallion.silver_projects(golden.projects(spark, rows)).withColumn("benchmark_group", F.lit(0))

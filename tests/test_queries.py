@@ -12,7 +12,7 @@ from needscope.plans.queries import all_queries
 
 FOLDER = os.environ.get("CHECK_SF_DIR", "/root/testdata/sf0.001")
 QUERIES, ORACLE = all_queries(), ENGINE_ORACLE
-IN_CELLS = {"comparables_all", "comparables_all_split"}
+IN_CELLS = {"comparables_all", "comparables_all_split", "comparables_fitted"}
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
 

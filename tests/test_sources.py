@@ -85,7 +85,7 @@ def test_all_tables_end_to_end(spark, tmp_path):
     assert widths == {
         "needs": 13, "projects": 11, "allocations": 7, "silver_funding": 26, "silver_projects": 20,
         "silver_allocations": 15, "gold_rankings": 28, "gold_regional": 12, "gold_cluster": 9,
-        "gold_mismatch": 15, "gold_benchmarks": 20,
+        "gold_mismatch": 15, "gold_benchmarks": 20, "gold_comparables": 4,
     }
     assert tables["silver_allocations"].count() == 29 and tables["gold_benchmarks"].count() == 90
     assert tables["gold_rankings"].orderBy("global_overlook_rank").first().iso3 == "SDN"
@@ -96,3 +96,53 @@ def test_csv_columns_are_taken_by_name(spark, tmp_path):
     file.write_text('n,other,name\n7,x,"Su\ndan"\n8,y,Mali\n')
     found = readers.scan_csv(spark, str(file), T.StructType.fromDDL("name string, n int, missing double"), multi_line=True)
     assert sorted(map(tuple, found.collect())) == [("Mali", 8, None), ("Su\ndan", 7, None)]
+
+
+def test_encoding_goes_by_file_in_one_scan(spark, tmp_path):
+    folder = tmp_path / "mixed"
+    folder.mkdir()
+    write(folder / "a.csv", "name,n,note\nCôte d'Ivoire,1,é\nPlain,2,\n", "utf-8")
+    # the first row alone would pass as UTF-8
+    write(folder / "b.csv", "name,n,note\nÃ©,3,x\nPérou,4,y\n", "latin-1")
+    schema = T.StructType.fromDDL("name string, n int")
+    rows = readers.scan_csv(spark, str(folder), schema)
+    assert sorted(map(tuple, rows.collect())) == sorted([("Côte d'Ivoire", 1), ("Plain", 2), ("Ã©", 3), ("Pérou", 4)])
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "csv" not in plan.lower().split("location")[0] and "FileScan parquet" in plan
+    held, names = readers._held_csv(spark, str(folder), schema, None, False, True)
+    parsed, _ = readers._parsed_csv(spark, str(folder), schema, readers.LATIN, None, False, True)
+    assert names == ["name", "n", "note"] and parsed._jdf.queryExecution().executedPlan().toString().count("FileScan csv") == 1
+    assert {r[0].rsplit("/", 1)[1] for r in held.filter(readers.OTHER).select(readers.FILE).collect()} == {"b.csv"}
+
+
+def test_bad_records_have_their_own_table(spark, tmp_path):
+    folder = tmp_path / "bad"
+    folder.mkdir()
+    write(folder / "a.csv", "naïve,n\nx,1\ny,oops\nz,3,4\n", "utf-8")
+    write(folder / "b.csv", "naïve,n\né,5\n", "utf-8")
+    found = readers.read_csv(spark, str(folder), T.StructType.fromDDL("n int, `naïve` string, absent date"))
+    assert sorted(map(tuple, found.rows.collect())) == [(1, "x", None), (5, "é", None)]
+    assert sorted(r.record for r in found.bad.collect()) == ["y,oops", "z,3,4"]
+    told = {r.file.rsplit("/", 1)[1]: (r.encoding, r.n_rows, r.n_bad) for r in found.files.collect()}
+    assert told == {"a.csv": ("UTF-8", 3, 2), "b.csv": ("UTF-8", 1, 0)}
+    text = readers.read_csv(spark, str(folder))
+    assert text.rows.columns == ["naïve", "n"] and text.bad.count() == 1 and text.rows.count() == 3
+
+
+def test_from_files_to_report(spark, tmp_path):
+    needs = golden.needs(spark)
+    back = {new: old for old, new in schemas.NEEDS_FILE_NAMES.items()}
+    paths = {name: str(tmp_path / name) for name in ("needs", "projects", "allocations")}
+    needs.select(*[F.col(c).alias(back[c]) for c in needs.columns if c in back]).coalesce(1).write.option("header", True).csv(paths["needs"])
+    golden.projects(spark, random_projects(8, 90)).coalesce(1).write.option("header", True).csv(paths["projects"])
+    golden.allocations(spark).coalesce(1).write.option("header", True).csv(paths["allocations"])
+    tables = medallion.run_files(spark, paths)
+    direct = medallion.silver_funding(needs.withColumn("population_millions", F.lit(None).cast("double")))
+    order = lambda df: sorted(map(str, df.select("iso3", "overlook_score", "global_overlook_rank").collect()))
+    assert order(tables["silver_funding"]) == order(direct)
+    assert {(r.source, r.n_bad) for r in tables["input_files"].collect()} == {("needs", 0), ("projects", 0), ("allocations", 0)}
+    report = tables["quality_report"].collect()
+    assert {r.check for r in report} == {"null_counts", "impossible_rows", "required_columns", "contract_checks"} and all(r.passed for r in report)
+    assert {r.table_name for r in tables["inventory"].collect()} >= {"gold_comparables", "silver_projects", "TOTAL"}
+    pairs = tables["gold_comparables"].join(tables["gold_benchmarks"].select("project_code", "benchmark_group"), "project_code")
+    assert pairs.select("project_code").distinct().count() > 60
