@@ -60,23 +60,24 @@ GROUP_LABELS = (
 Steps = Sequence[tuple[float, str]]
 
 
-def _first_match(tests: Sequence[tuple[Column, str]], otherwise: str) -> Column:
-    return F.coalesce(*[F.when(test, F.lit(text)) for test, text in tests], F.lit(otherwise))
+def label_where(tests: Sequence[tuple[Column, str]], otherwise: str) -> Column:
+    """Text of the first test that holds; a null test does not."""
+    (test, text), *more = tests
+    chain = F.when(test, text)
+    for test, text in more:
+        chain = chain.when(test, text)
+    return chain.otherwise(otherwise)
 
 
 def label_at_least(value: Column, steps: Steps, otherwise: str) -> Column:
     """First step whose cut point the value reaches; null gets the last label."""
-    return _first_match([(value >= cut, text) for cut, text in steps], otherwise)
+    return label_where([(value >= cut, text) for cut, text in steps], otherwise)
 
 
 def label_below(value: Column, steps: Steps, otherwise: str) -> Column:
     """First step whose cut point the value stays under; null gets the last label."""
-    return _first_match([(value < cut, text) for cut, text in steps], otherwise)
+    return label_where([(value < cut, text) for cut, text in steps], otherwise)
 
 
 def label_at_most(value: Column, steps: Steps, otherwise: str) -> Column:
-    return _first_match([(value <= cut, text) for cut, text in steps], otherwise)
-
-
-def label_where(tests: Sequence[tuple[Column, str]], otherwise: str) -> Column:
-    return _first_match(tests, otherwise)
+    return label_where([(value <= cut, text) for cut, text in steps], otherwise)
