@@ -69,7 +69,7 @@ def mix_sources(
     parts = settle(in_shards(narrow).groupBy("__source", "__shard").agg(F.sum("size").alias("words")), "shard-words")
 
     targets = settle(_targets(parts, weights, share, repeats), "targets")
-    total = targets.agg(F.sum("target")).first()[0] or 0.0
+    total = float(targets.agg(F.sum(F.col("target").cast("decimal(38,6)"))).first()[0] or 0)  # the same in any order
     seats = F.lit(int(total / block_words + 0.5))
     dealt = apportion(targets.withColumn("vote", F.col("target")).withColumn("seats", seats), [], ["__source"])
     voting = parts.join(settle(dealt, "source-blocks"), "__source").withColumn("vote", F.col("words").cast("double"))
