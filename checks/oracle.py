@@ -322,6 +322,40 @@ _add(
     ),
 )
 
+GATE_RULES = {
+    "null_counts.country": "country IS NULL",
+    "null_counts.people_in_need_millions": "people_in_need_millions IS NULL",
+    "null_counts.required_funding_musd": "required_funding_musd IS NULL",
+    "null_counts.funding_received_musd": "funding_received_musd IS NULL",
+    "impossible_rows.impossible_rows":
+        "required_funding_musd <= 0 OR people_in_need_millions <= 0 OR severity < 1 OR severity > 4",
+    **{
+        f"required_columns.{name}": "FALSE"
+        for name in (
+            "country", "iso3", "year", "people_in_need_millions", "required_funding_musd",
+            "funding_received_musd", "severity",
+        )
+    },
+    "contract_checks.people_in_need_positive": "people_in_need_millions <= 0",
+    "contract_checks.required_funding_positive": "required_funding_musd <= 0",
+    "contract_checks.severity_between_1_and_4": "severity IS NULL OR severity NOT BETWEEN 1 AND 4",
+    "contract_checks.iso3_has_3_characters": "iso3 IS NULL OR LENGTH(iso3) <> 3",
+    "own.more_received_than_required": "funding_received_musd > required_funding_musd",
+}
+SET_ASIDE = {"severity_of_one": "severity = 1", "few_people": "people_in_need_millions < 1"}
+_aside = " OR ".join(f"COALESCE({bad}, FALSE)" for bad in SET_ASIDE.values())
+_broken = ", ".join(f"CASE WHEN {bad} THEN '{rule}' END" for rule, bad in SET_ASIDE.items())
+
+_add(
+    (NEEDS,),
+    dq_gate=" UNION ALL ".join(
+        [f"SELECT '{rule}.report' AS item, COUNT(*) FILTER (WHERE {bad}) AS n_rows FROM needs" for rule, bad in GATE_RULES.items()]
+        + [f"SELECT 'own.{rule}.set_aside', COUNT(*) FILTER (WHERE {bad}) FROM needs" for rule, bad in SET_ASIDE.items()]
+        + [f"SELECT 'kept.severity.' || severity, COUNT(*) FROM needs WHERE NOT ({_aside}) GROUP BY severity"]
+        + [f"SELECT 'aside.' || CONCAT_WS('+', {_broken}) AS item, COUNT(*) FROM needs WHERE {_aside} GROUP BY item"]
+    ),
+)
+
 ORACLE["table_inventory"] = _sql(
     (NEEDS, PROJECTS, ALLOCATIONS),
     """, counts AS (

@@ -5,7 +5,7 @@ Each table is written once and read by everything behind it.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -93,20 +93,26 @@ def load_files(spark: SparkSession, paths: Mapping[str, str]) -> tuple[Tables, D
 def run_files(spark: SparkSession, paths: Mapping[str, str], sink: Sink = settle, cfg: Config = Config()) -> Tables:
     """From CSV files to all tables, with ``input_files``, ``quality_report`` and ``inventory``."""
     sources, files = load_files(spark, paths)
-    done = run(sources, sink, cfg)
-    needs = done["needs"]
-    checks = (quality.null_counts, quality.impossible_rows, quality.required_columns, quality.contract_checks)
-    report = reduce(DataFrame.unionByName, [check(needs).withColumn("check", F.lit(check.__name__)) for check in checks])
+    done = run(sources, sink, cfg, rules={"needs": quality.needs_rules(sources["needs"])})
     done["inventory"] = sink(sinks.table_inventory(done), "inventory")
     done["input_files"] = sink(files, "input_files")
-    done["quality_report"] = sink(report.select("check", "rule", "n_bad", "passed"), "quality_report")
     return done
 
 
-def run(sources: Tables, sink: Sink = settle, cfg: Config = Config(), groups: clustering.GroupModel | None = None) -> Tables:
+def run(
+    sources: Tables,
+    sink: Sink = settle,
+    cfg: Config = Config(),
+    groups: clustering.GroupModel | None = None,
+    rules: Mapping[str, Sequence[quality.Rule]] | None = None,
+) -> Tables:
     """All tables from ``needs``, ``projects`` and ``allocations``.
 
     Give ``groups`` to put the projects into the groups of an earlier fit.
+    ``rules`` by source are counted while that source is read: the run returns
+    ``quality_report`` and ``<source>_aside``, goes on with the rows that break
+    no ``set_aside`` rule, and stops before any table is replaced if one breaks
+    a ``fail`` rule.
     """
     done: Tables = {}
 
@@ -114,6 +120,17 @@ def run(sources: Tables, sink: Sink = settle, cfg: Config = Config(), groups: cl
         done[name] = sink(df, name)
         return done[name]
 
+    unknown = set(rules or {}) - {"needs", "projects", "allocations"}
+    if unknown:
+        raise ValueError(f"rules for unknown sources: {sorted(unknown)}")
+    gated = {name: quality.gate(sources[name], given, name) for name, given in (rules or {}).items()}
+    sources = {**sources, **{name: each.kept for name, each in gated.items()}}
+    for name, each in gated.items():
+        write(f"{name}_aside", each.aside)
+    if gated:
+        reports = [each.report.select(F.lit(name).alias("source"), "*") for name, each in gated.items()]
+        write("quality_report", reduce(DataFrame.unionByName, reports))
+
     needs = write("needs", sources["needs"])
     projects = write("projects", sources["projects"])
     allocations = write("allocations", sources["allocations"])

@@ -179,6 +179,22 @@ def dq_contract_checks(s: Store) -> DataFrame:
     return quality.contract_checks(s.needs)
 
 
+@query
+def dq_gate(s: Store) -> DataFrame:
+    """The report observed while needs are written, and the kept and set-aside rows by severity."""
+    gated = quality.gate(s.needs, [
+        *quality.needs_rules(s.needs),
+        quality.Rule("own", "more_received_than_required", F.col("funding_received_musd") > F.col("required_funding_musd")),
+        quality.Rule("own", "severity_of_one", F.col("severity") == 1, "set_aside"),
+        quality.Rule("own", "few_people", F.col("people_in_need_millions") < 1, "set_aside"),
+    ])
+    report = gated.report.select(F.concat_ws(".", "check", "rule", "action").alias("item"), F.col("n_bad").alias("n_rows"))
+    kept = gated.kept.groupBy(F.concat(F.lit("kept.severity."), "severity").alias("item"))
+    aside = gated.aside.groupBy(F.concat(F.lit("aside."), F.concat_ws("+", "broken_rules")).alias("item"))
+    rows = F.count(F.lit(1)).alias("n_rows")
+    return report.unionByName(kept.agg(rows)).unionByName(aside.agg(rows))
+
+
 @query
 def dq_duplicate_keys(s: Store) -> DataFrame:
     return quality.duplicate_keys(s.allocations, ["iso3"])

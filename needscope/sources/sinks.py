@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,7 +12,7 @@ from pyspark.sql import functions as F
 
 def ensure_database(spark: SparkSession, name: str, location: str | None = None) -> None:
     """Create the database if it is missing and make it current."""
-    quoted = "`" + name.replace("`", "``") + "`"
+    quoted = _quoted(name)
     if location:
         spark.sql(f"CREATE DATABASE IF NOT EXISTS {quoted} LOCATION :at", args={"at": location})
     else:
@@ -18,20 +20,69 @@ def ensure_database(spark: SparkSession, name: str, location: str | None = None)
     spark.sql(f"USE {quoted}")
 
 
+def _quoted(*parts: str) -> str:
+    return ".".join("`" + part.replace("`", "``") + "`" for part in parts)
+
+
+def _split(spark: SparkSession, name: str) -> tuple[str, str]:
+    """(database, table) of ``name``; without a database it is the current one."""
+    database, _, table = name.replace("`", "").rpartition(".")
+    return database or spark.catalog.currentDatabase(), table
+
+
+def versions(spark: SparkSession, name: str) -> list[str]:
+    """Tables that hold the complete versions of ``name``, oldest first."""
+    database, table = _split(spark, name)
+    rows = spark.sql(f"SHOW TABLES IN {_quoted(database)}").collect()
+    form = re.compile(re.escape(table.lower()) + r"__v[0-9]{6,}_[0-9a-f]{8}")
+    found = [row.tableName for row in rows if form.fullmatch(row.tableName.lower())]
+    return sorted(found, key=lambda version: (int(version.rsplit("__v", 1)[1].split("_")[0]), version))
+
+
 def save_table(
     df: DataFrame, name: str, partition_by: Sequence[str] = (), path: str | None = None
 ) -> None:
-    """Replace a table, its schema included.
+    """Replace a table, its schema included, without a moment in which it is missing.
 
-    Without ``path`` it is a managed table in the warehouse folder; with
-    ``path`` it is an external one.
+    The rows go into a table of their own, a version; then the view ``name`` is
+    turned to it in one step of the catalog. A job that is lost before that
+    leaves the former version in place, readers of the former version finish,
+    and ``df`` may read ``name`` itself. Without ``path`` versions are managed
+    tables in the warehouse folder; with ``path`` they are external ones in
+    folders below it. ``drop_versions`` removes former ones. A plain table of
+    that name is dropped once the first version is complete.
     """
-    writer = df.write.format("parquet").mode("overwrite")
+    spark = df.sparkSession
+    database, table = _split(spark, name)
+    former = versions(spark, name)
+    number = int(former[-1].rsplit("__v", 1)[1].split("_")[0]) + 1 if former else 1
+    version = f"{table}__v{number:06d}_{uuid4().hex[:8]}"
+    writer = df.write.format("parquet").mode("errorifexists")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     if path:
-        writer = writer.option("path", path)
-    writer.saveAsTable(name)
+        writer = writer.option("path", f"{path}/{version}")
+    writer.saveAsTable(_quoted(database, version))
+    target = _quoted(database, table)
+    if spark.catalog.tableExists(target) and spark.catalog.getTable(target).tableType != "VIEW":
+        spark.sql(f"DROP TABLE {target}")
+    spark.sql(f"CREATE OR REPLACE VIEW {target} AS SELECT * FROM {_quoted(database, version)}")
+
+
+def drop_versions(spark: SparkSession, name: str, keep: int = 1) -> list[str]:
+    """Drop all but the newest ``keep`` versions of ``name``; their names are returned.
+
+    The version that ``name`` shows is always kept. Files of external versions
+    stay in their folders. Call it when no job reads the dropped versions.
+    """
+    if keep < 1:
+        raise ValueError("keep at least one version")
+    database, table = _split(spark, name)
+    shown = spark.sql(f"SHOW CREATE TABLE {_quoted(database, table)}").first()[0]
+    dropped = [version for version in versions(spark, name)[:-keep] if version not in shown]
+    for version in dropped:
+        spark.sql(f"DROP TABLE {_quoted(database, version)}")
+    return dropped
 
 
 def table_inventory(tables: Mapping[str, DataFrame]) -> DataFrame:

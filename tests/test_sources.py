@@ -3,9 +3,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from needscope import schemas
+from needscope.operators import quality
 from needscope.plans import medallion
 from needscope.sources import readers, sinks
-from needscope.sources.scratch import scratch_dir
+from needscope.sources.scratch import scratch_dir, settle
 from tests import golden
 from tests.test_projects import random_projects
 
@@ -146,3 +147,73 @@ def test_from_files_to_report(spark, tmp_path):
     assert {r.table_name for r in tables["inventory"].collect()} >= {"gold_comparables", "silver_projects", "TOTAL"}
     pairs = tables["gold_comparables"].join(tables["gold_benchmarks"].select("project_code", "benchmark_group"), "project_code")
     assert pairs.select("project_code").distinct().count() > 60
+
+
+def test_lost_write_keeps_the_old_table(spark, tmp_path):
+    name = "versions_test"
+    before = spark.catalog.currentDatabase()
+    sinks.ensure_database(spark, name, str(tmp_path / "db"))
+    spark.catalog.setCurrentDatabase(before)
+    table, path = f"{name}.t", str(tmp_path / "files")
+    spark.range(2).write.option("path", str(tmp_path / "plain")).saveAsTable(table)
+    sinks.save_table(spark.range(3).withColumn("g", F.lit("007")), table, ["g"], path)
+    old = spark.table(table)
+    broken = spark.range(9).select(F.when(F.col("id") == 8, F.raise_error(F.lit("lost"))).otherwise(F.col("id")).cast("long").alias("id"))
+    with pytest.raises(Exception, match="lost"):
+        sinks.save_table(broken, table, path=path)
+    assert len(sinks.versions(spark, table)) == 1
+    assert sorted((r.id, r.g) for r in spark.table(table).collect()) == [(0, "007"), (1, "007"), (2, "007")]
+    sinks.save_table(spark.table(table).filter("id > 0").withColumn("more", F.lit(1)), table, path=path)
+    assert old.count() == 3
+    assert spark.table(table).columns == ["id", "g", "more"] and spark.table(table).count() == 2
+    first, second = sinks.versions(spark, table)
+    assert sinks.drop_versions(spark, table) == [first] and sinks.versions(spark, table) == [second]
+    assert sinks.drop_versions(spark, table) == [] and spark.table(table).count() == 2
+    with pytest.raises(ValueError, match="at least one"):
+        sinks.drop_versions(spark, table, keep=0)
+
+
+def test_gate_counts_sets_aside_and_fails(spark):
+    df = spark.createDataFrame([(1, 5, 1), (2, None, 2), (3, -1, 3), (4, -1, 9), (4, -1, 9)], "id int, broken_rules int, `set.aside` int")
+    rule = lambda name, bad, action="report": quality.Rule("mine", name, bad, action)
+    negative, large = F.col("broken_rules") < 0, F.col("id") > 3
+    found = quality.gate(df, [rule("none", F.col("broken_rules").isNull()), rule("negative", negative, "set_aside"), rule("large", large, "set_aside")])
+    assert [(r.rule, r.n_bad, r.passed) for r in found.report.collect()] == [("none", 1, False), ("negative", 3, False), ("large", 2, False)]
+    assert found.kept.columns == df.columns and sorted(map(tuple, found.kept.collect())) == [(1, 5, 1), (2, None, 2)]
+    assert found.aside.columns == [*df.columns, "broken_rules_"]
+    assert sorted((r[0], r[3]) for r in found.aside.collect()) == [(3, ["negative"]), (4, ["negative", "large"]), (4, ["negative", "large"])]
+    with pytest.raises(quality.QualityError, match="mine.negative: 3 rows"):
+        quality.gate(df, [rule("negative", negative, "fail")])
+    empty = quality.gate(df.limit(0), [rule("negative", negative, "fail"), rule("large", large, "set_aside")])
+    assert empty.kept.count() == empty.aside.count() == 0 and all(r.passed for r in empty.report.collect())
+    assert quality.gate(df, []).kept.count() == 5
+    with pytest.raises(ValueError, match="same check"):
+        quality.gate(df, [rule("a", negative), rule("a", large)])
+    report = quality.gate(golden.needs(spark), quality.needs_rules(golden.needs(spark))).report.filter("not passed")
+    assert report.count() == 0
+    lacking = [r for r in quality.needs_rules(golden.needs(spark).drop("year")) if r.check == "required_columns"]
+    told = quality.gate(golden.needs(spark).drop("year"), lacking).report.filter("not passed").collect()
+    assert [(r.rule, r.n_bad) for r in told] == [("year", golden.needs(spark).count())]
+
+
+def test_run_with_rules(spark, tmp_path):
+    needs = golden.needs(spark)
+    first = needs.orderBy("iso3").first().iso3
+    sources = {"needs": needs, "projects": golden.projects(spark, random_projects(8, 90)), "allocations": golden.allocations(spark)}
+    written = []
+
+    def sink(df, name):
+        written.append(name)
+        return settle(df, name)
+
+    rules = quality.needs_rules(needs)
+    own = lambda action: [*rules, quality.Rule("own", "first", F.col("iso3") == first, action)]
+    with pytest.raises(quality.QualityError, match="own.first: 1 rows"):
+        medallion.run(sources, sink, rules={"needs": own("fail")})
+    assert written == []
+    tables = medallion.run(sources, sink, rules={"needs": own("set_aside")})
+    assert [r.iso3 for r in tables["needs_aside"].collect()] == [first]
+    assert tables["silver_funding"].count() == needs.count() - 1
+    assert {(r.source, r.rule) for r in tables["quality_report"].filter("not passed").collect()} == {("needs", "first")}
+    with pytest.raises(ValueError, match="unknown sources"):
+        medallion.run(sources, sink, rules={"need": []})
