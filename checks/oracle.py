@@ -431,6 +431,9 @@ _add(
         FROM (SELECT budget_usd IS NOT NULL AND target_beneficiaries IS NOT NULL AND ben_per_1000_usd IS NOT NULL
           AND funding_coverage_pct IS NOT NULL AND cluster IS NOT NULL AS kept FROM silver)""",
     silver_projects="SELECT * FROM silver",
+    sector_stats_merged="""SELECT cluster, MAX(cluster_avg_ben_ratio) AS cluster_avg_ben_ratio,
+        MAX(cluster_std_ben_ratio) AS cluster_std_ben_ratio, COUNT(*) AS n_rows,
+        MIN(ben_per_1000_usd) AS least, MAX(ben_per_1000_usd) AS most FROM silver GROUP BY cluster""",
     outlier_count_share=f"SELECT {_COUNTS} FROM silver",
     outlier_count_share_by_cluster=f"SELECT cluster, {_COUNTS} FROM silver GROUP BY cluster",
     outlier_report=f"""SELECT project_code, country, cluster, {r('budget_usd / 1000000::DOUBLE', 2)} AS budget_musd,

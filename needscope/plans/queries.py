@@ -14,6 +14,7 @@ from needscope.functions import allocations as allocation_columns
 from needscope.functions import funding, projects
 from needscope.operators import (
     allocations, charts, clustering, comparables, outliers, panels, quality, rollups, scoring,
+    states,
 )
 from needscope.plans.store import Store, store_of
 from needscope.sources import readers, sinks, star
@@ -157,6 +158,18 @@ def allocation_musd(s: Store) -> DataFrame:
     )
 
 
+@query
+def sector_stats_merged(s: Store) -> DataFrame:
+    """Sector figures from the states of every country and sector."""
+    value = "ben_per_1000_usd"
+    parts = states.group_state(s.silver_projects, ["country", "cluster"], [value])
+    merged = states.merge_states(parts, ["cluster"], [value])
+    return states.sector_stats(merged).join(
+        merged.select("cluster", "n_rows", F.col(f"{value}.least").alias("least"), F.col(f"{value}.most").alias("most")),
+        "cluster",
+    )
+
+
 # ---- data quality ----
 
 @query

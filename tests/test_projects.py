@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from needscope.config import Config
 from needscope.functions import projects as columns
 from needscope.functions.projects import add_project_metrics, efficiency_vs_cluster
-from needscope.operators import charts, clustering, comparables, outliers, quality, scoring
+from needscope.operators import charts, clustering, comparables, outliers, quality, scoring, states
 from needscope.plans import medallion
+from needscope.sources import sinks
 from needscope.sources.scratch import settle
 from tests import golden
 
@@ -302,3 +303,34 @@ def test_nan_rows_are_dropped_and_reported(spark):
     df = spark.createDataFrame([(1.0,), (float("nan"),), (None,)], "x double")
     assert quality.drop_null_features(df, ["x"]).count() == 1
     assert tuple(quality.dropped_report(df, ["x"]).first()) == (3, 1, 2)
+
+
+def test_merged_states_have_the_bits_of_one_run(spark, tmp_path):
+    sectors = ("Food", "Health", None)
+    rows = [(code, cluster, None if i % 17 == 0 else budget, people, received)
+            for i, (code, cluster, budget, people, received) in enumerate(random_projects(21, 400, sectors))]
+    whole = add_project_metrics(golden.projects(spark, rows)).withColumn("part", F.crc32("project_code") % 2).cache()
+    value, by = "ben_per_1000_usd", ["cluster"]
+    told = lambda df: sorted(map(str, df.collect()))
+    expected = told(scoring.sector_stats(whole))
+    states_of = lambda df: states.merge_states(df, by, [value])
+    assert told(states.sector_stats(states_of(states.group_state(whole, ["part", *by], [value])))) == expected
+    bounds = states.score_bounds(states.group_state(whole, by, [value]), value, by)
+    assert told(bounds) == told(scoring.score_bounds(whole, value, by))
+
+    before = spark.catalog.currentDatabase()
+    sinks.ensure_database(spark, "states_test", str(tmp_path / "db"))
+    spark.catalog.setCurrentDatabase(before)
+    take = lambda df, batch: states.update_states(df, "states_test.sectors", batch, by, [value], str(tmp_path / "files"))
+    first, second = whole.filter("part = 0"), whole.filter("part = 1")
+    assert told(states.sector_stats(take(first, "a"))) == told(scoring.sector_stats(first))
+    take(second.limit(3), "b")
+    for batch, df in (("b", second), ("a", first), ("nothing", whole.limit(0))):
+        assert told(states.sector_stats(take(df, batch))) == expected
+    assert take(first, "a").agg(F.sum("n_rows")).first()[0] == 400
+    again = medallion.silver_projects(whole.drop("part"), stats=states.sector_stats(take(first, "a")))
+    assert told(again.select("project_code", "ben_ratio_zscore")) == told(
+        medallion.silver_projects(whole.drop("part")).select("project_code", "ben_ratio_zscore"))
+    for clash in ([["batch"], ["x"]], [["x"], ["n_rows"]], [["x"], ["X"]]):
+        with pytest.raises(ValueError, match="names of their own"):
+            states.group_state(whole, *clash)
