@@ -616,6 +616,14 @@ _SCALED = ", ".join(
 _NORM = "(f0 * f0 + f1 * f1 + f2 * f2 + f3 * f3)"
 _STRONGEST = "(SELECT * FROM benchmarks ORDER BY ABS(ben_ratio_zscore) DESC, project_code LIMIT 1)"
 
+_ONE_COMPARABLES = f"""SELECT a.project_code, a.country, a.cluster,
+  {r('a.budget_usd / 1000000::DOUBLE', 2)} AS budget_musd, a.target_beneficiaries,
+  {r('a.ben_per_1000_usd', 1)} AS efficiency, {r('a.funding_coverage_pct', 1)} AS coverage_pct,
+  a.outlier_classification AS status, {_DISTANCE} AS similarity_distance
+  FROM benchmarks a JOIN {_STRONGEST} b
+    ON a.benchmark_group = b.benchmark_group AND a.cluster = b.cluster AND a.project_code <> b.project_code
+  ORDER BY {_ORDER}, a.project_code LIMIT 5"""
+
 _add(
     _TO_BENCHMARKS,
     fixed_benchmarks="SELECT * FROM benchmarks",
@@ -646,13 +654,8 @@ _add(
         {r('funding_coverage_pct', 1)} AS funding_coverage_pct
         FROM (SELECT * FROM benchmarks WHERE is_efficiency_outlier
           ORDER BY ABS(ben_ratio_zscore) DESC, project_code LIMIT 20)""",
-    comparables_for_project=f"""SELECT a.project_code, a.country, a.cluster,
-        {r('a.budget_usd / 1000000::DOUBLE', 2)} AS budget_musd, a.target_beneficiaries,
-        {r('a.ben_per_1000_usd', 1)} AS efficiency, {r('a.funding_coverage_pct', 1)} AS coverage_pct,
-        a.outlier_classification AS status, {_DISTANCE} AS similarity_distance
-        FROM benchmarks a JOIN {_STRONGEST} b
-          ON a.benchmark_group = b.benchmark_group AND a.cluster = b.cluster AND a.project_code <> b.project_code
-        ORDER BY {_ORDER}, a.project_code LIMIT 5""",
+    comparables_for_project=_ONE_COMPARABLES,
+    comparables_lookup=_ONE_COMPARABLES,
     comparables_all=_ALL_COMPARABLES,
     comparables_all_split=_ALL_COMPARABLES,
     gold_benchmarks="""SELECT * EXCLUDE (benchmark_group, benchmark_label), TRUE AS has_group, TRUE AS has_label

@@ -504,6 +504,12 @@ def comparables_for_project(s: Store) -> DataFrame:
     return comparables.comparables_of(s.fixed_benchmarks, _strongest_outlier(s), cfg=s.cfg)
 
 
+@query
+def comparables_lookup(s: Store) -> DataFrame:
+    """The same from the files of an index, of which it opens the folders that it needs."""
+    return s.comparable_index.nearest(_strongest_outlier(s).first()["project_code"], cfg=s.cfg)
+
+
 @query
 def comparables_all(s: Store) -> DataFrame:
     return comparables.comparables_all(s.fixed_benchmarks, settle, cfg=s.cfg)

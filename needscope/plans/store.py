@@ -6,7 +6,9 @@ per application and folder; all queries read the written tables.
 
 from __future__ import annotations
 
+from dataclasses import replace
 from functools import cached_property
+from uuid import uuid4
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
@@ -14,11 +16,11 @@ from pyspark.sql import DataFrame, SparkSession
 from needscope.config import Config
 from needscope.functions.funding import add_funding_metrics
 from needscope.functions.projects import add_project_metrics
-from needscope.operators import charts, clustering, rollups, scoring
+from needscope.operators import charts, clustering, lookup, rollups, scoring
 from needscope.plans import medallion
 from needscope.sources import star
 from needscope.sources.readers import scan
-from needscope.sources.scratch import settle
+from needscope.sources.scratch import scratch_dir, settle
 
 
 class Store:
@@ -113,6 +115,13 @@ class Store:
         grouped = star.fixed_groups(clustering.clean_features(self.silver_projects))
         return settle(clustering.benchmarks(clustering.label_groups(grouped, self.cfg)), "fixed-benchmarks")
 
+    @cached_property
+    def comparable_index(self) -> lookup.ComparableIndex:
+        """Lookup files with small cells, so that blocks are split in several rounds."""
+        path = f"{scratch_dir(self.spark)}/comparables-{uuid4().hex}"
+        cfg = replace(self.cfg, leaf_rows=64)
+        return lookup.write_index(self.fixed_benchmarks, path, settle, cfg=cfg, part_places=256)
+
     @cached_property
     def clustered(self) -> DataFrame:
         """Projects with KMeans group, scaled features kept for evaluation."""
@@ -129,6 +138,7 @@ class Store:
     TABLES = (
         "entity_lines", "needs", "projects", "allocations", "silver_funding", "silver_projects",
         "silver_allocations", "rankings", "fixed_benchmarks",
+        "comparable_index",
     )
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from needscope.config import Config
 from needscope.functions import projects as columns
 from needscope.functions.projects import add_project_metrics, efficiency_vs_cluster
-from needscope.operators import charts, clustering, comparables, outliers, quality, scoring, states
+from needscope.operators import charts, clustering, comparables, lookup, outliers, quality, scoring, states
 from needscope.plans import medallion
 from needscope.sources import sinks
 from needscope.sources.scratch import settle
@@ -334,3 +334,51 @@ def test_merged_states_have_the_bits_of_one_run(spark, tmp_path):
     for clash in ([["batch"], ["x"]], [["x"], ["n_rows"]], [["x"], ["X"]]):
         with pytest.raises(ValueError, match="names of their own"):
             states.group_state(whole, *clash)
+
+
+# ---- lookups from files ----
+
+def nearest_of(index, code, n=5, cfg=Config()):
+    return [(r.similarity_distance, r.project_code) for r in index.nearest(code, n, cfg).collect()]
+
+
+def test_lookup_files_agree_with_brute_force(spark, tmp_path):
+    """Random projects, a hot place, a far outlier, a tiny block, quotes in a code."""
+    rows = random_projects(11, 400) + [(f"HOT-{i:04d}", "Food", 1_000_000, 50_000, 500_000) for i in range(200)]
+    rows += [("FAR-0001", "Food", 1_400_000, 1_400_000_000, 0), ("O'K-1", "Logistics", 900, 5, 1), ("O'K-2", "Logistics", 800, 5, 1)]
+    bench = benchmark_rows(spark, rows).cache()
+    expected = brute_force(bench, 5)
+    lookup.write_index(bench.withColumn("cell", F.lit("x")), f"{tmp_path}/index", settle, most=6, cfg=Config(leaf_rows=16), part_places=64)
+    index = lookup.open_index(spark, f"{tmp_path}/index")
+    for code in ("SDN-00000", "SDN-00123", "HOT-0000", "HOT-0199", "FAR-0001", "O'K-1"):
+        assert nearest_of(index, code) == expected[code], code
+    assert index.nearest("unknown").columns == comparables.comparables_for(bench, "x").columns
+    assert nearest_of(index, "unknown") == [] == nearest_of(index, "HOT-0000", 0)
+    other = Config(efficiency_weight=3.0, coverage_weight=0.01, budget_weight=0.5)
+    for code in ("SDN-00123", "HOT-0007"):
+        by_scan = comparables.comparables_for(bench, code, 6, other).collect()
+        assert index.nearest(code, 6, other).collect() == by_scan
+    with pytest.raises(ValueError):
+        index.nearest("SDN-00000", 7)
+
+
+def test_lookup_reads_the_folders_within_reach(spark, tmp_path):
+    bench = benchmark_rows(spark, random_projects(12, 1_500, ("Food",)))
+    index = lookup.write_index(bench, f"{tmp_path}/index", settle, cfg=Config(leaf_rows=16), part_places=32)
+    folders = len(list((tmp_path / "index" / "rows").glob("part=*")))
+    assert folders > 25
+    for code in ("SDN-00001", "SDN-02222"):
+        read = {file.rsplit("/", 2)[1] for file in index.nearest(code).inputFiles() if "/rows/" in file}
+        assert 0 < len(read) < folders / 4
+        codes = {file.rsplit("/", 2)[1] for file in index.nearest(code).inputFiles() if "/codes/" in file}
+        assert len(codes) == 1
+
+
+def test_lookup_of_an_empty_table_and_of_gaps(spark, tmp_path):
+    bench = benchmark_rows(spark, random_projects(13, 30)).cache()
+    empty = lookup.write_index(bench.limit(0), f"{tmp_path}/empty", settle)
+    assert nearest_of(empty, "SDN-00001") == []
+    gaps = bench.withColumn("budget_usd", F.when(F.col("project_code") > "SDN-00020", F.col("budget_usd")))
+    index = lookup.write_index(gaps.unionByName(gaps), f"{tmp_path}/gaps", settle)
+    assert nearest_of(index, "SDN-00001") == []
+    assert nearest_of(index, "SDN-00025") == brute_force(gaps.dropna(), 5)["SDN-00025"]
