@@ -253,6 +253,10 @@ _TO_BENCHMARKS = (*_TO_SILVER, BENCHMARKS)
 _TO_ENRICHED = (*_TO_FUNDING, ALLOCATIONS, ENRICHED)
 
 
+_LAST_YEAR = """
+last_year AS (SELECT * FROM needs WHERE year = (SELECT MAX(year) FROM needs))"""
+
+
 def _sql(ctes: tuple[str, ...], body: str) -> str:
     return "WITH " + ",".join(ctes) + "\n" + body
 
@@ -265,6 +269,13 @@ def _add(ctes: tuple[str, ...], **bodies: str) -> None:
         ORACLE[name] = _sql(ctes, body)
 
 
+# ---- one analysis year ----
+
+_add(
+    (NEEDS, _LAST_YEAR, METRICS.replace("FROM needs)", "FROM last_year)"), FUNDING, RANKINGS),
+    gold_rankings_of_year="SELECT *, year AS analysis_year FROM rankings",
+)
+
 # ---- sources and sinks ----
 
 ORACLE["scan_table"] = "SELECT * FROM orders"

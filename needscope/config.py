@@ -7,6 +7,9 @@ from dataclasses import dataclass
 
 @dataclass(frozen=True)
 class Config:
+    year: int | None = None
+    """Analysis year of needs and allocations; None takes all years together."""
+
     # coverage and need
     overlooked_coverage_pct: float = 40.0
     overlooked_min_severity: int = 3

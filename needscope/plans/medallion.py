@@ -74,6 +74,21 @@ def table_sink(spark: SparkSession, database: str, location: str | None = None)
     return save
 
 
+def year_sink(spark: SparkSession, root: str, year: int) -> Sink:
+    """Write into the partition of an analysis year below ``root`` and read back from it."""
+
+    def save(df: DataFrame, name: str) -> DataFrame:
+        sinks.replace_year(df, f"{root}/{name}", year)
+        return sinks.read_year(spark, f"{root}/{name}", year, df.schema)
+
+    return save
+
+
+def of_year(df: DataFrame, cfg: Config) -> DataFrame:
+    """Rows of the analysis year; of a table partitioned by year only its files are read."""
+    return df if cfg.year is None else df.filter(F.col("year") == cfg.year)
+
+
 def load_files(spark: SparkSession, paths: Mapping[str, str]) -> tuple[Tables, DataFrame]:
     """(needs, projects and allocations from headed CSV files, (source, file, encoding, n_rows, n_bad)).
 
@@ -112,7 +127,8 @@ def run(
     ``rules`` by source are counted while that source is read: the run returns
     ``quality_report`` and ``<source>_aside``, goes on with the rows that break
     no ``set_aside`` rule, and stops before any table is replaced if one breaks
-    a ``fail`` rule.
+    a ``fail`` rule. With ``cfg.year`` needs and allocations are those of that
+    year, so scores and ranks are within it; projects are those of all years.
     """
     done: Tables = {}
 
@@ -120,6 +136,7 @@ def run(
         done[name] = sink(df, name)
         return done[name]
 
+    sources = {name: df if name == "projects" else of_year(df, cfg) for name, df in sources.items()}
     unknown = set(rules or {}) - {"needs", "projects", "allocations"}
     if unknown:
         raise ValueError(f"rules for unknown sources: {sorted(unknown)}")
@@ -131,18 +148,33 @@ def run(
         reports = [each.report.select(F.lit(name).alias("source"), "*") for name, each in gated.items()]
         write("quality_report", reduce(DataFrame.unionByName, reports))
 
-    needs = write("needs", sources["needs"])
+    done |= run_funding(sources, sink, cfg)
     projects = write("projects", sources["projects"])
-    allocations = write("allocations", sources["allocations"])
+    silver = write("silver_projects", silver_projects(projects, cfg, project_stats(projects, cfg)))
+    benchmarks = write("gold_benchmarks", gold_benchmarks(silver, cfg, groups))
+    write("gold_comparables", comparables.comparables_all(benchmarks, settle, cfg=cfg))
+    return done
+
 
+def run_funding(sources: Tables, sink: Sink = settle, cfg: Config = Config()) -> Tables:
+    """The tables of needs and allocations alone.
+
+    With ``cfg.year`` and a ``year_sink`` of that year a rerun reads the
+    partition of the year from sources partitioned by year, and replaces that
+    partition of each table; the other years stay as they are.
+    """
+    done: Tables = {}
+
+    def write(name: str, df: DataFrame) -> DataFrame:
+        done[name] = sink(df, name)
+        return done[name]
+
+    needs = write("needs", of_year(sources["needs"], cfg))
+    allocations = write("allocations", of_year(sources["allocations"], cfg))
     funding = write("silver_funding", silver_funding(needs, cfg, global_ranks(needs, cfg)))
-    silver = write("silver_projects", silver_projects(projects, cfg, project_stats(projects, cfg)))
     write("silver_allocations", silver_allocations(allocations, funding, cfg))
-
     ranked = write("gold_rankings", rollups.rankings(funding, cfg, regional_ranks(funding)))
     write("gold_regional", rollups.regional_summary(ranked))
     write("gold_cluster", rollups.cluster_summary(ranked))
     write("gold_mismatch", rollups.mismatch(ranked, cfg))
-    benchmarks = write("gold_benchmarks", gold_benchmarks(silver, cfg, groups))
-    write("gold_comparables", comparables.comparables_all(benchmarks, settle, cfg=cfg))
     return done

@@ -16,6 +16,7 @@ from needscope.operators import (
     allocations, charts, clustering, comparables, outliers, panels, quality, rollups, scoring,
     states,
 )
+from needscope.plans import medallion
 from needscope.plans.store import Store, store_of
 from needscope.sources import readers, sinks, star
 from needscope.sources.scratch import scratch_dir, settle
@@ -362,6 +363,16 @@ for _build in (funding.mismatch_score, funding.recommended_additional_cbpf_musd)
     _mismatch_column(_build)
 
 
+@query
+def gold_rankings_of_year(s: Store) -> DataFrame:
+    """The last year of needs by itself, from sources and into tables partitioned by year."""
+    home = f"{scratch_dir(s.spark)}/by-year-{uuid4().hex}"
+    sources = {name: settle(df, name, partition_by=["year"]) for name, df in (("needs", s.needs), ("allocations", s.allocations))}
+    year = s.needs.agg(F.max("year")).first()[0]
+    medallion.run_funding(sources, medallion.year_sink(s.spark, home, year), replace(s.cfg, year=year))
+    return sinks.read_years(s.spark, f"{home}/gold_rankings")
+
+
 @query
 def gold_rankings(s: Store) -> DataFrame:
     return rollups.by_rank(s.rankings)

@@ -6,8 +6,9 @@ import re
 from collections.abc import Mapping, Sequence
 from uuid import uuid4
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def ensure_database(spark: SparkSession, name: str, location: str | None = None) -> None:
@@ -85,6 +86,41 @@ def drop_versions(spark: SparkSession, name: str, keep: int = 1) -> list[str]:
     return dropped
 
 
+YEAR = "analysis_year"
+
+
+def replace_year(df: DataFrame, path: str, year: int) -> None:
+    """Replace the partition of one analysis year below ``path``; other years stay.
+
+    The rows are staged beside the partition and take its place when all of
+    them are there, so a job that is lost in between leaves the former rows,
+    and ``df`` may read ``path`` itself. Who reads that year meanwhile has to
+    read it again: use ``save_table`` where readers must finish. A table without
+    rows empties the partition. ``df`` must not have a column called ``analysis_year``.
+    """
+    if YEAR in df.columns:
+        raise ValueError(f"a table by year has no column {YEAR} of its own")
+    seen = Observation()
+    marked = df.observe(seen, F.count(F.lit(1)).alias("n_rows")).withColumn(YEAR, F.lit(year))
+    writer = marked.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy(YEAR).parquet(path)
+    if not seen.get["n_rows"]:
+        # an overwrite of the partitions that have rows would leave the former ones
+        nothing = df.sparkSession.createDataFrame([], df.schema)
+        nothing.write.mode("overwrite").parquet(f"{path}/{YEAR}={year}")
+
+
+def read_year(spark: SparkSession, path: str, year: int, schema: StructType | None = None) -> DataFrame:
+    """One analysis year of a table; no other partition is listed."""
+    reader = spark.read.schema(schema) if schema else spark.read
+    return reader.parquet(f"{path}/{YEAR}={year}")
+
+
+def read_years(spark: SparkSession, path: str) -> DataFrame:
+    """All years of a table with the column ``analysis_year``."""
+    return spark.read.parquet(path)
+
+
 def table_inventory(tables: Mapping[str, DataFrame]) -> DataFrame:
     """(table_name, n_rows, n_cols) per table and one TOTAL row."""
     counts: DataFrame | None = None

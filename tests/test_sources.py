@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from needscope import schemas
+from needscope.config import Config
 from needscope.operators import quality
 from needscope.plans import medallion
 from needscope.sources import readers, sinks
@@ -217,3 +218,66 @@ def test_run_with_rules(spark, tmp_path):
     assert {(r.source, r.rule) for r in tables["quality_report"].filter("not passed").collect()} == {("needs", "first")}
     with pytest.raises(ValueError, match="unknown sources"):
         medallion.run(sources, sink, rules={"need": []})
+
+
+# ---- by analysis year ----
+
+def two_years(spark, path):
+    """Needs and allocations of 2023, and of 2024 with a tenth of the money, partitioned by year."""
+    sources = {"needs": golden.needs(spark).dropDuplicates(["iso3"]), "allocations": golden.allocations(spark)}
+    for name, df in sources.items():
+        money = "funding_received_musd" if name == "needs" else "allocation_musd"
+        later = df.withColumns({"year": F.lit(2024), money: F.col(money) / 10})
+        df.unionByName(later).write.partitionBy("year").parquet(f"{path}/{name}")
+    return {name: spark.read.parquet(f"{path}/{name}") for name in sources}
+
+
+def test_a_year_is_ranked_by_itself_and_replaced_alone(spark, tmp_path):
+    sources = two_years(spark, tmp_path)
+    home = f"{tmp_path}/tables"
+    for year in (2023, 2024):
+        tables = medallion.run_funding(sources, medallion.year_sink(spark, home, year), Config(year=year))
+        assert {r[0] for r in tables["needs"].select("year").distinct().collect()} == {year}
+        alone = {name: df.filter(F.col("year") == year) for name, df in sources.items()}
+        for name, df in medallion.run_funding(alone).items():
+            assert sorted(map(str, df.collect())) == sorted(map(str, tables[name].select(df.columns).collect())), name
+    both = sinks.read_years(spark, f"{home}/gold_rankings")
+    n_rows = both.count()
+    tops = both.filter("global_overlook_rank = 1").groupBy("analysis_year").count().collect()
+    assert {r.analysis_year for r in tops} == {2023, 2024}
+
+    files = lambda year: sorted(p.name for p in (tmp_path / "tables").glob(f"*/analysis_year={year}/*.parquet"))
+    former = {year: files(year) for year in (2023, 2024)}
+    medallion.run_funding(sources, medallion.year_sink(spark, home, 2024), Config(year=2024))
+    assert files(2023) == former[2023] and not set(files(2024)) & set(former[2024])
+    assert sinks.read_years(spark, f"{home}/gold_rankings").count() == n_rows
+
+
+def test_a_run_of_a_year_reads_the_files_of_that_year(spark, tmp_path):
+    sources = two_years(spark, tmp_path)
+    for df in sources.values():
+        found = medallion.of_year(df, Config(year=2024))
+        text = found._jdf.queryExecution().executedPlan().toString()
+        assert "PartitionFilters: [isnotnull(year" in text and "= 2024)" in text
+        assert {r[0].split("/year=")[1][:4] for r in found.select(F.input_file_name()).distinct().collect()} == {"2024"}
+        assert medallion.of_year(df, Config()) is df
+
+
+def test_replacing_a_year_survives_a_lost_write_and_empties(spark, tmp_path):
+    path = f"{tmp_path}/t"
+    rows = spark.createDataFrame([(1, "a"), (2, "b"), (3, None)], "x int, analysis string")
+    for year in (2023, 2024):
+        sinks.replace_year(rows, path, year)
+    lost = rows.repartition(3, "x").withColumn("x", F.when(F.col("x") == 2, F.raise_error("lost")).otherwise(F.col("x")).cast("int"))
+    with pytest.raises(Exception, match="lost"):
+        sinks.replace_year(lost, path, 2024)
+    assert sinks.read_years(spark, path).count() == 6
+    # a table may be replaced by what is read of itself
+    sinks.replace_year(sinks.read_year(spark, path, 2024).filter("x > 1"), path, 2024)
+    assert sorted(r.x for r in sinks.read_year(spark, path, 2024).collect()) == [2, 3]
+    sinks.replace_year(rows.filter("x > 9"), path, 2024)
+    sinks.replace_year(rows.limit(0), path, 2025)
+    assert sinks.read_year(spark, path, 2024).count() == sinks.read_year(spark, path, 2025).count() == 0
+    assert {tuple(r) for r in sinks.read_years(spark, path).groupBy("analysis_year").count().collect()} == {(2023, 3)}
+    with pytest.raises(ValueError, match="analysis_year"):
+        sinks.replace_year(rows.withColumn("analysis_year", F.lit(1)), path, 2024)
