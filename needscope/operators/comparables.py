@@ -6,11 +6,12 @@ the weighted differences in efficiency, coverage and log budget.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,6 +30,7 @@ Settle = Callable[[DataFrame, str], DataFrame]
 PLACES = 9
 SLACK = 1.1e-9
 ROUNDING = 4e-15
+MOST_GAPS = 1 << 20  # distances between places of cells that a task takes together
 
 
 MEASURES = ("ben_per_1000_usd", "funding_coverage_pct", "log_budget")
@@ -170,14 +172,17 @@ def _places(clean: DataFrame, n: int, cfg: Config) -> DataFrame:
             "place_id": F.monotonically_increasing_id(),
             "n_codes": F.size("codes"),
             "cell": F.lit("c"),
+            "around": F.lit("c"),
             "reach": F.lit(float("inf")),
         }
     )
 
 
 CELL = (*BLOCK, "cell")
+AROUND = (*BLOCK, "around")
 SEARCH = ("x0", "x1", "x2")
 WAYS = 8
+MOST_AROUND = 1024  # places of a cell whose distances are all compared
 
 
 def _split_cells(places: DataFrame, settle: Settle, most: int) -> tuple[DataFrame, list[DataFrame]]:
@@ -195,9 +200,10 @@ def _split_cells(places: DataFrame, settle: Settle, most: int) -> tuple[DataFram
         crowded = settle(_cuts(places, most), "splits")
         if crowded.isEmpty():
             return reduce(DataFrame.unionByName, finished, places), splits
-        splits.append(crowded.select(*CELL, "axis", "cuts"))
+        splits.append(crowded)
         finished.append(places.join(crowded.select(*CELL), list(CELL), "left_anti").select(*places.columns))
         joined = places.join(crowded, list(CELL))
+        child = _child(_slot(_on_axis(), F.lit(0.0)))
         far = sum(
             (F.greatest(F.col(x) - F.col(f"{x}_lo"), F.col(f"{x}_hi") - F.col(x)) for x in SEARCH), F.lit(0.0)
         )
@@ -206,7 +212,9 @@ def _split_cells(places: DataFrame, settle: Settle, most: int) -> tuple[DataFram
                 {
                     # every place of the cell before the split is this near
                     "reach": far,
-                    "cell": _child(_slot(_on_axis(), F.lit(0.0))),
+                    "cell": child,
+                    # a cell of few places tells little of the distance to the next ones
+                    "around": F.when(F.col("n_places") <= MOST_AROUND, F.col("cell")).otherwise(child),
                 }
             ).select(*places.columns),
             "places",
@@ -246,6 +254,7 @@ def _cuts(places: DataFrame, most: int) -> DataFrame:
     fallback = F.array(F.when(half > lo, half).otherwise(hi))
     return chosen.select(
         *CELL,
+        "n_places",
         F.col("best.axis").alias("axis"),
         F.when(F.size(above) > 0, above).otherwise(fallback).alias("cuts"),
         *[f"{x}_{end}" for x in SEARCH for end in ("lo", "hi")],
@@ -267,52 +276,110 @@ def _child(slot: Column) -> Column:
 
 
 def _with_reach(places: DataFrame, n: int) -> DataFrame:
-    """Lower ``reach`` to the distance of the (n + 1)-th code in the own cell."""
-    df = places.select("place_id", *PLACE, "log_budget", *SEARCH, "n_codes", "cell", "reach")
-
-    def cover(cell: pd.DataFrame) -> pd.DataFrame:
-        codes = cell["n_codes"].to_numpy()
-        if codes.sum() <= n:
-            return cell
-        gaps = np.zeros((len(cell), len(cell)))
-        for x in SEARCH:
-            at = cell[x].to_numpy()
-            gaps += np.abs(at[:, None] - at[None, :])
-        # every place has at least one code, so n + 1 places always suffice
-        k = min(n, len(cell) - 1)
-        close = np.argpartition(gaps, k, axis=1)[:, : k + 1]
-        gaps = np.take_along_axis(gaps, close, axis=1)
-        order = np.argsort(gaps, axis=1)
-        covered = np.cumsum(np.take_along_axis(codes[close], order, axis=1), axis=1) > n
-        sorted_gaps = np.take_along_axis(gaps, order, axis=1)
-        inside = np.take_along_axis(sorted_gaps, covered.argmax(axis=1)[:, None], axis=1)[:, 0]
-        return cell.assign(reach=np.minimum(cell["reach"].to_numpy(), inside))
-
-    # A group is one cell, at most ``leaf_rows`` rows. The work per byte is
-    # high, so the partitions must not be merged for being small.
+    """Lower ``reach`` to the distance of the (n + 1)-th code in the own cell.
+
+    Children of a cell of at most ``MOST_AROUND`` places are taken together:
+    alone they often hold fewer than n + 1 codes.
+    """
+    df = places.select("place_id", *PLACE, "log_budget", *SEARCH, "n_codes", "cell", "around", "reach")
+    # The rows compared with each other are bounded. The work per byte is high,
+    # so the partitions must not be merged for being small.
     partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(partitions, *CELL).groupBy(*CELL).applyInPandas(cover, df.schema)
+    ordered = df.repartition(partitions, *AROUND).sortWithinPartitions(*AROUND)
+    return ordered.mapInArrow(_cover_cells(n), df.schema).drop("around")
+
+
+def _cover_cells(n: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Lowers ``reach`` in rows ordered by ``AROUND``, many cells at a time, as cells
+    may be small and very many. Its steps are inside, so that they travel to
+    the tasks by value.
+    """
+
+    def starts_of(batch: pa.RecordBatch | pa.Table) -> np.ndarray:
+        begins = np.zeros(batch.num_rows, bool)
+        begins[0] = True
+        for name in AROUND:
+            values = batch.column(name)
+            begins[1:] |= pc.not_equal(values[1:], values[:-1]).to_numpy(zero_copy_only=False)
+        return np.flatnonzero(begins)
+
+    def whole_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            if held and any(held[-1].column(name)[-1] != batch.column(name)[0] for name in AROUND):
+                yield pa.Table.from_batches(held)
+                held = []
+            last = int(starts_of(batch)[-1])
+            if last:
+                yield pa.Table.from_batches([*held, batch.slice(0, last)])
+                held = []
+            held.append(batch.slice(last))
+        if held:
+            yield pa.Table.from_batches(held)
+
+    def inside(rows: np.ndarray, codes: np.ndarray, at: list[np.ndarray]) -> np.ndarray:
+        """Distance of the (n + 1)-th code, by cell and place; ``rows`` are those of cells of one size."""
+        size = rows.shape[1]
+        gaps = np.zeros((*rows.shape, size))
+        for x in at:
+            gaps += np.abs(x[rows][:, :, None] - x[rows][:, None, :])
+        # every place has at least one code, so n + 1 places always suffice
+        k = min(n, size - 1)
+        close = np.argpartition(gaps, k, axis=2)[:, :, : k + 1]
+        gaps = np.take_along_axis(gaps, close, axis=2)
+        order = np.argsort(gaps, axis=2)
+        near = rows[:, :1, None] + np.take_along_axis(close, order, axis=2)
+        covered = np.cumsum(codes[near], axis=2) > n
+        sorted_gaps = np.take_along_axis(gaps, order, axis=2)
+        return np.take_along_axis(sorted_gaps, covered.argmax(axis=2)[:, :, None], axis=2)[:, :, 0]
+
+    def cover(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for cells in whole_cells(batches):
+            codes, old, *at = (cells[name].to_numpy() for name in ("n_codes", "reach", *SEARCH))
+            reach, starts = old.copy(), starts_of(cells)
+            sizes = np.diff(np.r_[starts, len(codes)])
+            enough = np.add.reduceat(codes.astype(np.int64), starts) > n
+            for size in np.unique(sizes[enough]).tolist():
+                same, step = starts[enough & (sizes == size)], max(1, MOST_GAPS // size**2)
+                for low in range(0, len(same), step):
+                    rows = same[low : low + step, None] + np.arange(size)
+                    reach[rows] = np.minimum(old[rows], inside(rows, codes, at))
+            field = cells.schema.get_field_index("reach")
+            yield from cells.set_column(field, cells.schema.field(field), pa.array(reach)).to_batches()
+
+    return cover
 
 
 def _visits(seekers: DataFrame, places: DataFrame, splits: list[DataFrame]) -> DataFrame:
-    """One row per place and cell that its reach touches."""
+    """One row per place and cell that its reach touches.
+
+    A cell that is split again is left where its box is out of reach, so a
+    place does not carry the children of such cells through the rounds.
+    """
     error = sum((F.abs(x) for x in SEARCH), F.col("reach")) * ROUNDING
     reach = F.col("reach") + SLACK + error
     visits = seekers.withColumns({"cell": F.lit("c"), "reach": reach}).drop("n_codes")
     for split in splits:
-        joined = visits.join(split, list(CELL), "left")
+        whole = F.col("cuts").isNull()
+        joined = visits.join(split, list(CELL), "left").filter(whole | (_away() <= F.col("reach")))
         touched = F.sequence(_slot(_on_axis(), -F.col("reach")), _slot(_on_axis(), F.col("reach")))
-        cells = F.when(F.col("cuts").isNull(), F.array("cell")).otherwise(F.transform(touched, _child))
+        cells = F.when(whole, F.array("cell")).otherwise(F.transform(touched, _child))
         visits = joined.withColumn("cell", F.explode(cells)).select(*visits.columns)
     if not splits:
         return visits
     boxes = places.groupBy(*CELL).agg(
         *[end(x).alias(f"{x}_{name}") for x in SEARCH for name, end in (("lo", F.min), ("hi", F.max))]
     )
-    away = sum(
+    return visits.join(boxes, list(CELL)).filter(_away() <= F.col("reach")).select(*visits.columns)
+
+
+def _away() -> Column:
+    """Distance of a place from the box of a cell."""
+    return sum(
         (F.greatest(F.col(f"{x}_lo") - F.col(x), F.col(x) - F.col(f"{x}_hi"), F.lit(0.0)) for x in SEARCH), F.lit(0.0)
     )
-    return visits.join(boxes, list(CELL)).filter(away <= F.col("reach")).select(*visits.columns)
 
 
 def _pairs_in_reach(visits: DataFrame, hosts: DataFrame, cfg: Config) -> DataFrame:

@@ -278,6 +278,36 @@ def test_a_tight_crowd_is_not_paired(spark):
         assert comparables._pairs_in_reach(visits, hosts, cfg).count() < 50 * n
 
 
+def test_children_of_small_cells_share_their_search(spark):
+    """Cells of two or three places: the reach is that of the cell they were split from,
+    and one call of Python takes many cells, however batches cut them."""
+    rng, n, cfg = random.Random(16), 3_000, Config(leaf_rows=16)
+    rows = [(f"P-{i:05d}", i % 3, "Food", 40 * rng.random(), 100 * rng.random(), rng.randint(1, 10**6)) for i in range(n)]
+    bench = spark.createDataFrame(rows, ["project_code", "benchmark_group", "cluster", *comparables.AXES])
+    places = settle(comparables._places(bench, 5, cfg), "places")
+    cells, splits = comparables._split_cells(places.drop("codes"), settle, cfg.leaf_rows)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        reached = comparables._with_reach(cells, 5)
+        assert "FlatMapGroups" not in reached._jdf.queryExecution().executedPlan().toString()
+        found = {r.place_id: r.reach for r in reached.collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    around: dict[tuple, list] = {}
+    for r in cells.collect():
+        around.setdefault((r.benchmark_group, r.around), []).append(r)
+    assert len(found) == n and len(around) < cells.select(*comparables.CELL).distinct().count() / 2
+    for near in around.values():
+        for r in near:
+            gaps = sorted(abs(r.x0 - o.x0) + abs(r.x1 - o.x1) + abs(r.x2 - o.x2) for o in near)
+            assert found[r.place_id] == pytest.approx(min(r.reach, gaps[5]) if len(near) > 5 else r.reach)
+
+    visits = comparables._visits(comparables._with_reach(cells, 5), cells, splits)
+    hosts = cells.join(places.select("place_id", "codes"), "place_id")
+    assert comparables._pairs_in_reach(visits, hosts, cfg).count() < 25 * n
+
+
 def test_single_lookup_agrees_with_all(spark):
     rows = random_projects(7, 80, ("Food",)) + [("it's \"quoted\"", "Food", 500_000, 2_000, 100)]
     bench = benchmark_rows(spark, rows).cache()
