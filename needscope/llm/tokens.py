@@ -53,11 +53,10 @@ class PartEncoder:
             self.known.clear()
             self.odd.clear()
         parts = [self.split(text) for text in texts]
-        found = [list(map(self.known.get, x)) for x in parts]
-        new = {part for here, ids in zip(parts, found) if None in ids for part, x in zip(here, ids) if x is None}
-        self._learn(sorted(new))
         known = self.known
-        joined = [b"".join([known[part] if x is None else x for part, x in zip(here, ids)] if None in ids else ids) for here, ids in zip(parts, found)]
+        new = set().union(*parts).difference(known)
+        self._learn(sorted(new))
+        joined = [b"".join(map(known.__getitem__, x)) for x in parts]
         self.changed = [bool(self.odd) and not self.odd.isdisjoint(x) for x in parts]
         for part in new:
             if len(part) > LONG_PART:
@@ -66,7 +65,7 @@ class PartEncoder:
         return [np.frombuffer(x, np.uint32) for x in joined]
 
     def _learn(self, parts: list[str]) -> None:
-        letters = [x for x in parts if x.isalpha() and not _WIDE.search(x)]
+        letters = [x for x in parts if x.isalpha() and (x.isascii() or not _WIDE.search(x))]
         for low in range(0, len(letters), self.TOGETHER):
             here = letters[low : low + self.TOGETHER]
             ids = np.array(self.encode([" ".join(here)])[0], np.uint32)
@@ -75,7 +74,8 @@ class PartEncoder:
             self.known.update((part, raw[4 * start : 4 * end]) for part, start, end in zip(here, at.tolist(), ends))
             if self.table and b"".join([self.table[i] for i in ids.tolist()]) != b" " + " ".join(here).encode():
                 self.odd.update(part for part in here if not self._spells(part, np.frombuffer(self.known[part], np.uint32).tolist()))
-        rest = sorted(set(parts).difference(letters))
+        taken = set(letters)
+        rest = [x for x in parts if x not in taken]
         for part, ids in zip(rest, self.encode(rest)):
             self.known[part] = array("I", ids).tobytes()
             if self.table and not self._spells(part, ids):

@@ -181,3 +181,24 @@ def test_alignment_equals_brute_force(spark, plain, monkeypatch, links):
     told = {(r["doc_id"], r["groups_sha256"]) for r in hashed.collect()}
     assert told == {(r["doc_id"], hashlib.sha256(r["groups"].encode()).hexdigest()) for r in found.collect()}
     assert alignment.align_tokens(frame.limit(0), BYTE, PIECE).count() == 0
+
+
+def test_a_part_is_looked_up_once_where_it_stands():
+    """New parts are found by the distinct parts of all texts, not by the places of each."""
+
+    class Counted(dict):
+        looked = 0
+
+        def get(self, part, default=None):
+            self.looked += 1
+            return super().get(part, default)
+
+        def __getitem__(self, part):
+            self.looked += 1
+            return super().__getitem__(part)
+
+    encoder = tokens.PartEncoder(lambda parts: [[len(x)] for x in parts], lambda text: text.split(" "), np.ones(100, bool))
+    encoder.known = Counted()
+    found = encoder.ids(["a1 bb2 a1 ccc3", "", "bb2 a1"])
+    assert [x.tolist() for x in found] == [[2, 3, 2, 4], [0], [3, 2]]
+    assert encoder.known.looked == 7
